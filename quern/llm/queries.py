@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .embed_dedup import op10_embedding_near_dedup
+from .simhash import op8_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
