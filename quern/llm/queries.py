@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
+from .decontaminate import op2_decontaminate
 from .embed_dedup import op10_embedding_near_dedup
+from .line_dedup import op3_line_dedup
 from .simhash import op8_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
+from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_bpe": op5_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
