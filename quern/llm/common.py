@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised code looks at in one step; bounds the memory of a Python worker.
@@ -17,6 +18,10 @@ SLICE_BYTES = 1 << 21
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
+#: What parts words of letters and digits; bytes above 127 count as letters.
+BREAK = np.ones(256, bool)
+BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 _RNG = np.random.default_rng(20240117)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)
@@ -111,6 +116,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(value, at) + lens.astype(np.uint64))
 
 
+def letter_words(col) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of letters and digits of a string column, and where each text's begin."""
+    data, off = text_buffers(pc.utf8_lower(col))
+    starts, ends, first = word_spans(data, off, BREAK)
+    return span_hashes(data, starts, ends), first
+
+
 def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hashes of all windows of ``width`` consecutive hashes."""
     n = len(h) - width + 1

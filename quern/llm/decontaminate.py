@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rolling, slices, span_hashes, text_buffers, word_spans
+from .common import letter_words, rolling, slices
 
 MASKS = ("110110110011", "111010011101", "101101101101")
 SPAN = 12
@@ -28,18 +27,10 @@ SPAN = 12
 MATCHES = 13
 LEAST_WORDS = 5
 BLOCK_BYTES = 8 << 20
-_BREAK = np.ones(256, bool)
-_BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _MIX = 0x9E3779B97F4A7C15
 _FILTER_BITS = 22
 
 
-def _words(col):
-    data, off = text_buffers(pc.utf8_lower(col))
-    starts, ends, first = word_spans(data, off, _BREAK)
-    return span_hashes(data, starts, ends), first
-
-
 def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     n = len(h) - len(mask) + 1
     out = np.full(max(n, 0), salt, np.uint64)
@@ -54,7 +45,7 @@ class Index:
     """Seeds of a block of items, sorted, with a bit table before them."""
 
     def __init__(self, texts: list[str | None], least: int):
-        self.h, self.first = _words(pa.array(texts, pa.string()))
+        self.h, self.first = letter_words(pa.array(texts, pa.string()))
         count = np.diff(self.first)
         seeds, place = [], []
         item = np.repeat(np.arange(len(count)), count)
@@ -94,7 +85,7 @@ def _best(match: np.ndarray) -> tuple[int, int, int]:
 
 def _scan(col, index: Index, matches: int):
     """(row, item, start, end, matches) of each item in each text: word offsets of the best stretch."""
-    h, first = _words(col)
+    h, first = letter_words(col)
     count = np.diff(first)
     left = np.repeat(first[1:], count) - np.arange(len(h))
     found: dict[tuple[int, int], tuple[int, int, int]] = {}

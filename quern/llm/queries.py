@@ -6,9 +6,12 @@ from .bpe import op5_bpe
 from .decontaminate import op2_decontaminate
 from .embed_dedup import op10_embedding_near_dedup
 from .line_dedup import op3_line_dedup
+from .lm_score import op6_lm_score
+from .pii import op9_pii
 from .simhash import op8_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op4_token_counts
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -16,7 +19,10 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_bpe": op5_bpe,
+    "op6_lm_score": op6_lm_score,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_pii": op9_pii,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
