@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, slices
 
@@ -109,7 +110,7 @@ def common_lines(earlier: list[int], later: list[int]) -> list[int]:
 
 
 def dedup_lines(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated lines cut from text_col, and the columns n_lines and n_removed_lines."""
+    """docs with the repeated lines cut from text_col, and the columns n_lines and n_removed_lines, which replace any of these names."""
     uid = F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
 
@@ -121,9 +122,13 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id",
     signs = materialise(docs.select(order.alias("at"), F.col(text_col).alias("text"), uid.alias("uid")).mapInArrow(hashed, "at long, uid long, lines array<long>"), "lines")
     held = signs.select("at", "uid", F.explode(F.array_distinct("lines")).alias("line")).where("line % 2 <> 0")
     owner = held.groupBy("line").agg(F.min(F.struct("at", "uid")).alias("first"), F.max("at").alias("last")).where("first.at < last")
-    pairs = held.join(owner, "line").where("first.at < at").select("uid", F.col("first.uid").alias("other")).distinct()
+    # an aggregate above the join's own exchange keeps Spark from splitting a hot key; a key of its own has an exchange of its own
+    apart = lambda c: F.bitwise_not(F.col(c))
+    owner = owner.select(apart("line").alias("not_line"), "first")
+    pairs = held.withColumn("not_line", apart("line")).join(owner, "not_line").where("first.at < at").select("uid", F.col("first.uid").alias("other")).distinct()
     sides = signs.groupBy("uid").agg(F.first("lines").alias("lines"))
-    both = pairs.join(sides, "uid").join(sides.select(F.col("uid").alias("other"), F.col("lines").alias("earlier")), "other")
+    first = sides.select(apart("uid").alias("not_other"), F.col("lines").alias("earlier"))
+    both = pairs.join(sides, "uid").withColumn("not_other", apart("other")).join(first, "not_other")
 
     def aligned(batches):
         for b in batches:
@@ -132,10 +137,11 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id",
 
     cuts = both.select("uid", "lines", "earlier").mapInArrow(aligned, "uid long, cut array<int>").where("size(cut) > 0")
     cuts = cuts.select(F.col("uid").alias("__uid"), F.explode("cut").alias("i")).distinct().groupBy("__uid").agg(F.collect_list("i").alias("__cut"))
+    made = T.StructType.fromDDL("n_lines long, n_removed_lines long")
+    docs = docs.drop(*made.names)
     names = docs.columns
-    tagged = docs.withColumn("__key", uid).join(cuts, F.col("__key") == F.col("__uid"), "left").select(*(F.col(f"`{c}`") for c in names), "__cut")
-    out = tagged.select(*(F.col(f"`{c}`") for c in names), "__cut").schema
-    schema = type(out)([f for f in out if f.name != "__cut"]).add("n_lines", "long").add("n_removed_lines", "long")
+    tagged = docs.select(*(F.col(f"`{c}`") for c in names), uid.alias("__key")).join(cuts, F.col("__key") == F.col("__uid"), "left").select(*(F.col(f"`{c}`") for c in names), "__cut")
+    schema = T.StructType([*tagged.schema.fields[:-1], *made.fields])
 
     def rewritten(batches):
         for b in batches:
@@ -148,7 +154,7 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id",
                 gone.append(len(drop))
                 new.append("\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else t)
             cols = [pa.array(new, pa.string()) if i == names.index(text_col) else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
     return tagged.mapInArrow(rewritten, schema)
 
