@@ -61,7 +61,9 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if both:
             at = at.unionByName(pairs.select(F.col("v").alias("n"), F.col("u").alias("m")))
         least = at.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
-        linked = at.join(least, "n")
+        # the join gets a key and so an exchange of its own: Spark splits it where a node has many neighbours
+        apart = F.bitwise_not(F.col("n"))
+        linked = at.withColumn("k", apart).join(least.select(apart.alias("k"), "low"), "k")
         if both:
             return linked.where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
         own = least.select(F.col("n").alias("u"), F.col("low").alias("v"))

@@ -87,9 +87,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(near_links(classes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")))
     named = classes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    # a component has many fingerprints at most where it is large: a partial minimum, then back to each of them
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    # a partial minimum, then back to each fingerprint by a key of its own, which Spark can split where a component is large
+    apart = F.bitwise_not(F.col("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id")).select(apart.alias("k"), "component_id")
+    label = named.select("fp", apart.alias("k")).join(least, "k").select("fp", "component_id")
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
