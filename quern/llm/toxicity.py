@@ -16,6 +16,8 @@ score. Null or empty texts have no terms. Without labels, or with one label only
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ LEAST_CHI2 = 40.0
 LEAST_DOCS = 5
 K = 15
 BLOCK = 64
+#: Searches that a worker remembers, by their terms and counts.
+KNOWN = 50_000
 
 
 def _term_counts(h: np.ndarray, first: np.ndarray):
@@ -67,9 +71,18 @@ class Model:
         some = norm > 0
         self.none = (labels[~some] @ weights[~some] + 2 * share) / (weights[~some].sum() + 2) if n else share
         x, self.ids, self.labels, self.weights = x[some] / norm[some, None], ids[some], labels[some], weights[some]
+        mass, density = mass[some], mass[some] / np.maximum(words[some], 1)
+        # examples of equal vectors are one, with their number and mean label
+        x, first, group = np.unique(x.round(9), axis=0, return_index=True, return_inverse=True)
+        group, own_label, own_weight = group.ravel(), self.labels, self.weights
+        self.ids = self.ids[first]
+        self.weights = np.bincount(group, own_weight, len(x))
+        self.labels = np.bincount(group, own_weight * own_label, len(x)) / np.maximum(self.weights, 1e-12)
         lead = np.argsort(-x, axis=1)[:, :2] if len(x) and x.shape[1] > 1 else np.zeros((len(x), 2), int)
         order = np.lexsort((lead[:, 1], lead[:, 0])) if len(x) else np.zeros(0, int)
-        mass, density = mass[some][order], (mass[some] / np.maximum(words[some], 1))[order]
+        place = np.empty(len(x), np.int64)
+        place[order] = np.arange(len(x))
+        group = place[group]
         x, self.ids, self.labels, self.weights = x[order], self.ids[order], self.labels[order], self.weights[order]
         self.blocks, self.top = [], np.zeros((len(vocab), -(-len(x) // BLOCK)))
         for b in range(self.top.shape[1]):
@@ -81,22 +94,26 @@ class Model:
             self.blocks.append((slot, part[:, used]))
         self.fit = None
         if len(x) > 20 and 0 < self.labels.mean() < 1:
-            votes = np.array([self.vote(*self.nearest(np.flatnonzero(r), r[r > 0], i)) for i, r in enumerate(x)])
-            self.fit = _logistic(self.features(votes, mass, density), self.labels, self.weights)
+            near = [self.nearest(np.flatnonzero(r), r[r > 0]) for r in x]
+            votes = np.array([self.vote(*near[g], (g, y, w)) for g, y, w in zip(group, own_label, own_weight, strict=True)])
+            self.fit = _logistic(self.features(votes, mass, density), own_label, own_weight)
+        self.known = OrderedDict()
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray):
+        """Indices and exact cosines of the K nearest examples with any common term; q: unit weights of the terms.
 
-    def nearest(self, terms: np.ndarray, q: np.ndarray, leave: int = -1):
-        """Indices and exact cosines of the K nearest examples with any common term; q: unit weights of the terms."""
+        Of examples as near as the K-th, those in blocks of the greater bound, then of the lower number, count.
+        """
         bound = q @ self.top[terms]
         order = np.argsort(-bound, kind="stable")
         at, sims, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in order:
-            if bound[b] <= 0 or len(sims) == K and bound[b] < worst:
+            if bound[b] <= 0 or len(sims) == K and bound[b] <= worst + 1e-12:
                 break
             slot, part = self.blocks[b]
             s = slot[terms]
             got = part[:, s[s >= 0]] @ q[s >= 0]
             i = np.flatnonzero(got > 0)
-            i = i[i + b * BLOCK != leave]
             at, sims = np.append(at, i + b * BLOCK), np.append(sims, got[i])
             if len(sims) > K:
                 keep = np.lexsort((at, -sims))[:K]
@@ -105,9 +122,14 @@ class Model:
         keep = np.lexsort((at, -sims))
         return at[keep], sims[keep]
 
-    def vote(self, at: np.ndarray, sims: np.ndarray) -> float:
-        w = self.weights[at] / (1.05 - sims)
-        return float((w @ self.labels[at] + 2 * self.share) / (w.sum() + 2))
+    def vote(self, at: np.ndarray, sims: np.ndarray, leave=None) -> float:
+        """The share of label 1 among neighbours, by weight; leave: (example, label, weight) that has no vote."""
+        w = self.weights[at] / (1.05 - np.minimum(sims, 1))
+        up, all_ = w @ self.labels[at], w.sum()
+        if leave is not None:
+            for s in sims[at == leave[0]]:
+                up, all_ = up - leave[1] * leave[2] / (1.05 - min(s, 1)), all_ - leave[2] / (1.05 - min(s, 1))
+        return float((max(up, 0) + 2 * self.share) / (max(all_, 0) + 2))
 
     @staticmethod
     def features(votes, mass, density):
@@ -125,11 +147,18 @@ class Model:
         cut = np.flatnonzero(np.diff(d)) + 1
         for a, b in zip([0, *cut], [*cut, len(d)], strict=True) if len(d) else ():
             q = (1 + np.log(n[a:b])) * self.idf[t[a:b]]
-            at, s = self.nearest(t[a:b], q / np.linalg.norm(q))
-            v = self.vote(at, s)
+            key = (t[a:b].tobytes(), n[a:b].tobytes())
+            got = self.known.get(key)
+            if got is None:
+                at, sim = self.nearest(t[a:b], q / np.linalg.norm(q))
+                got = self.known[key] = (self.vote(at, sim), self.ids[at[:3]].tolist(), sim[:3].tolist())
+                if len(self.known) > KNOWN:
+                    self.known.popitem(last=False)
+            v, ids[d[a]], sims[d[a]] = got
             if self.fit is not None:
-                v = 1 / (1 + np.exp(-float((self.features(np.array([v]), np.array([q.sum()]), np.array([q.sum() / words[d[a]]])) @ self.fit)[0])))
-            score[d[a]], ids[d[a]], sims[d[a]] = v, self.ids[at[:3]].tolist(), s[:3].tolist()
+                z = self.features(np.array([v]), np.array([q.sum()]), np.array([q.sum() / words[d[a]]])) @ self.fit
+                v = 1 / (1 + np.exp(-float(z[0])))
+            score[d[a]] = v
         return score, ids, sims
 
 
