@@ -3,12 +3,12 @@
 P(word | history) = P(class | history) P(word | class). The class factor is a log-linear model over hashed features of the
 three words before: each alone (skips included) and the nearest two together. Words count as themselves where they are
 among the most frequent and as a hash of their last three bytes elsewhere. Classes are: unknown words, ends, the most
-frequent words one by one, and clusters of endings by the frequent words that stand before them. The word factor is the
+frequent words one by one, and clusters of endings by the endings that stand before them. The word factor is the
 discounted share of the word in its class, over all training tokens.
 
 1. Documents are dealt into chunks. Chunks send their distinct words with counts to hash buckets and get back each word's
    total, so no table of all words is ever in one place.
-2. Frequent words and the counts of endings, tables of fixed size, go to the driver, which forms the classes.
+2. Frequent words and the counts of endings and of their neighbours, tables of fixed size, go to the driver, which forms the classes.
 3. Weights are trained by rounds of distributed gradient updates: each chunk of a round starts from the shared weights, takes
    AdaGrad steps over all its training tokens, and the updates are averaged by how often each feature was seen. Every
    training token is used once. Words seen once stand in for unknown words.
@@ -22,6 +22,7 @@ Words are told apart by 64-bit hashes: a collision among V words has a chance of
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .substring_dedup import _bucket, _runs, chunked
 
 CHUNK_BYTES = 6 << 20
 TOP, OWN, ENDINGS, CLUSTERS = 126, 30, 1024, 32
+#: Endings before a word, hashed, by which endings are clustered.
+NEAR = 128
 CODES = TOP + 2 + ENDINGS
 BEGIN = TOP + 1
 PAIRS = 8192
@@ -40,7 +43,7 @@ FEATURES = 3 * CODES + PAIRS
 CLASSES = 2 + OWN + CLUSTERS
 UNKNOWN, END_CLASS = 0, 1
 DISCOUNT = 0.5
-BATCH, RATE, ROUNDS = 2048, 0.15, 3
+BATCH, RATE, ROUNDS = 4096, 0.15, 3
 END_HASH = np.uint64(0xE0D0E0D0E0D0E0D1)
 _NOTE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())])
 _REPLY = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
@@ -80,12 +83,16 @@ class _Tokens:
         self.doc = np.repeat(np.arange(len(n)), self.size)
         self.pos = np.arange(total) - np.repeat(self.first[:-1], self.size)
         self.train = ~self.held[self.doc]
-        self.uniq, self.inverse = np.unique(self.h, return_inverse=True)
+
+    @cached_property
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes, sorted, and which of them each token has."""
+        return np.unique(self.h, return_inverse=True)
 
     def totals(self, replies: pa.Table) -> np.ndarray:
         """The training count of each token's word over the whole corpus."""
         got = [np.frombuffer(t, np.uint32) for _, t in sorted(zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True))]
-        return np.concatenate([np.zeros(0, np.uint32), *got]).astype(np.int64)[self.inverse]
+        return np.concatenate([np.zeros(0, np.uint32), *got]).astype(np.int64)[self.distinct[1]]
 
     def codes(self, top: np.ndarray) -> np.ndarray:
         """The context code of each token: top is (hash, rank) sorted by hash."""
@@ -162,7 +169,7 @@ class Model:
             z /= z.sum(axis=1, keepdims=True)
             z[np.arange(len(want)), want] -= 1
             for row in part:
-                order = np.argsort(row, kind="stable")
+                order = np.argsort(row.astype(np.uint16), kind="stable")
                 r = row[order]
                 at = np.flatnonzero(np.diff(r, prepend=-1))
                 g = np.add.reduceat(z[order], at, axis=0)
@@ -173,20 +180,20 @@ class Model:
         return update, seen
 
 
-def _summed(blobs: DataFrame, size: int, kind: str = "<f4") -> np.ndarray:
-    """Sum of the blobs (arrays of ``size`` numbers) of a one-column frame, first within tasks."""
+def _summed(blobs: DataFrame, size: int, kind: str, k: int) -> np.ndarray:
+    """Sum of the arrays of ``size`` numbers in the second column, dealt by the first; summed within tasks, and 32 sums at most here."""
 
     def of(batches):
-        total = np.zeros(size, np.float64)
+        total = np.zeros(size, kind)
         for b in batches:
-            for x in b.column(0):
+            for x in b.column(1):
                 total += np.frombuffer(x.as_buffer(), kind)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4" if kind == "<f4" else "<i8").tobytes()], pa.binary())], names=["x"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
-    kind_out = "<f4" if kind == "<f4" else "<i8"
+    key, x = blobs.columns
     total = np.zeros(size, np.float64 if kind == "<f4" else np.int64)
-    for r in blobs.repartition(4).mapInArrow(of, "x binary").toLocalIterator():
-        total += np.frombuffer(r[0], kind_out)
+    for r in blobs.repartition(min(32, max(6, k // 64)), key).select(key, x).mapInArrow(of, "x binary").collect():
+        total += np.frombuffer(r[0], kind)
     return total
 
 
@@ -223,15 +230,28 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def words(table: pa.Table) -> pa.Table:
         t, chunk = _Tokens(table), table.column("chunk")[0].as_py()
-        n = np.bincount(t.inverse[t.train], minlength=len(t.uniq)).astype(np.uint32)
-        ending = np.zeros(len(t.uniq), np.uint16)
-        ending[t.inverse] = t.ending
-        of = _bucket(t.uniq, 64, n_buckets)
-        rows = [(int(of[a]), chunk, t.uniq[a:b].tobytes() + n[a:b].tobytes() + ending[a:b].tobytes()) for a, b in _runs(of)]
+        uniq, inverse = t.distinct
+        n = np.bincount(inverse[t.train], minlength=len(uniq)).astype(np.uint32)
+        ending = np.zeros(len(uniq), np.uint16)
+        ending[inverse] = t.ending
+        of = _bucket(uniq, 64, n_buckets)
+        rows = [(int(of[a]), chunk, uniq[a:b].tobytes() + n[a:b].tobytes() + ending[a:b].tobytes()) for a, b in _runs(of)]
+        use = t.train & ~t.end
+        near = np.zeros(ENDINGS * NEAR, np.int64)
+        for j in (1, 2):
+            b = t.before(t.ending, j)
+            mask = use & (t.pos >= j)
+            near += np.bincount(t.ending[mask] * NEAR + b[mask] % NEAR, minlength=len(near))
+        rows.append((-1 - chunk % n_buckets, chunk, near.astype("<i4").tobytes()))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(_NOTE.types)], schema=_NOTE)
 
     def totals(table: pa.Table) -> pa.Table:
         blobs, chunks = [b.as_py() for b in table.column("blob")], table.column("chunk").to_pylist()
+        if (bucket := table.column("bucket")[0].as_py()) < 0:
+            near = np.zeros(ENDINGS * NEAR, np.int64)
+            for b in blobs:
+                near += np.frombuffer(b, "<i4")
+            return pa.Table.from_arrays([pa.array([x], y) for x, y in zip((-2, bucket, near.astype("<i8").tobytes()), _REPLY.types, strict=True)], schema=_REPLY)
         sizes = [len(b) // 14 for b in blobs]
         h = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes, strict=True)])
         c = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n) for b, n in zip(blobs, sizes, strict=True)])
@@ -245,7 +265,6 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         often = often[text[often]]
         facts = [int(total.sum()), int(known.sum()), int(total[uniq == END_HASH].sum()), int((total == 1).sum())]
         note = np.array([len(often), *facts], np.int64).tobytes() + uniq[often].tobytes() + total[often].tobytes() + word[often].tobytes() + per(text, total).tobytes() + per(text).tobytes() + per(text & (total > 1), total).tobytes()
-        bucket = table.column("bucket")[0].as_py()
         rows = [(-1, bucket, note)]
         seen, at = total[inverse].clip(max=(1 << 32) - 1).astype(np.uint32), 0
         for chunk, n in zip(chunks, sizes, strict=True):
@@ -266,16 +285,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     top = np.sort(np.array([(h, i) for i, (_, h, _) in enumerate(often)], _TOP), order="h")
     own = replies.where("chunk >= 0").groupBy("chunk")
 
-    def contexts(table: pa.Table) -> pa.Table:
-        t = _Tokens(table)
-        code, x = t.codes(top), np.zeros(ENDINGS * (TOP + 2), np.int64)
-        for j in (1, 2):
-            b = t.before(code, j)
-            use = t.train & ~t.end & (b < TOP + 2)
-            x += np.bincount(t.ending[use] * (TOP + 2) + b[use], minlength=len(x))
-        return pa.Table.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary())], names=["x"])
-
-    near = _summed(by.applyInArrow(contexts, "x binary"), ENDINGS * (TOP + 2), "<i4").reshape(ENDINGS, TOP + 2)
+    near = _summed(replies.where("chunk = -2").select("bucket", F.col("totals").alias("x")), ENDINGS * NEAR, "<i8", k).reshape(ENDINGS, NEAR)
     cluster = _clusters(near.astype(float), counts[0].astype(float), CLUSTERS)
     rest, kinds, twice = counts.astype(float)
     for c, _, e in often[:OWN]:
@@ -296,18 +306,19 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def updates(shared):
         def of(table: pa.Table, reply: pa.Table) -> pa.Table:
             if not table.num_rows:
-                return pa.table({"x": pa.array([], pa.binary())})
+                return pa.table({"chunk": pa.array([], pa.int32()), "x": pa.array([], pa.binary())})
             t = _Tokens(table)
             update, seen = shared.value.train(t, t.totals(reply))
-            return pa.Table.from_arrays([pa.array([np.append((update * seen[:, None]).ravel(), seen).astype("<f4").tobytes()], pa.binary())], names=["x"])
+            blob = np.append((update * seen[:, None]).ravel(), seen).astype("<f4").tobytes()
+            return pa.Table.from_arrays([table.column("chunk").slice(0, 1), pa.array([blob], pa.binary())], names=["chunk", "x"])
 
         return of
 
     for r in range(min(ROUNDS, k) if n else 0):
         shared = spark.sparkContext.broadcast(model)
         mine = F.pmod("chunk", F.lit(ROUNDS)) == r
-        blobs = dealt.where(mine).groupBy("chunk").cogroup(replies.where((F.col("chunk") >= 0) & mine).groupBy("chunk")).applyInArrow(updates(shared), "x binary")
-        total = _summed(blobs, FEATURES * (CLASSES + 1))
+        blobs = dealt.where(mine).groupBy("chunk").cogroup(replies.where((F.col("chunk") >= 0) & mine).groupBy("chunk")).applyInArrow(updates(shared), "chunk int, x binary")
+        total = _summed(blobs, FEATURES * (CLASSES + 1), "<f4", k)
         seen = total[FEATURES * CLASSES :, None]
         model.w = (model.w + total[: FEATURES * CLASSES].reshape(FEATURES, CLASSES) / np.maximum(seen, 1)).astype(np.float32)
     final = spark.sparkContext.broadcast(model)
