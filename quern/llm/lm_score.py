@@ -184,11 +184,13 @@ def _summed(blobs: DataFrame, size: int, kind: str, k: int) -> np.ndarray:
     """Sum of the arrays of ``size`` numbers in the second column, dealt by the first; summed within tasks, and 32 sums at most here."""
 
     def of(batches):
-        total = np.zeros(size, kind)
+        total = None
         for b in batches:
             for x in b.column(1):
-                total += np.frombuffer(x.as_buffer(), kind)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
+                part = np.frombuffer(x.as_buffer(), kind)
+                total = part.copy() if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
     key, x = blobs.columns
     total = np.zeros(size, np.float64 if kind == "<f4" else np.int64)
