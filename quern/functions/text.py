@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 W = r"\p{L}\p{N}_"
@@ -77,11 +77,12 @@ def distinct_ignoring_case(words: Column) -> Column:
     return F.filter(words, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
 
-def shingles(text: Column, n: int = 4) -> Column:
-    """The set of n-word shingles; a shorter text is one shingle; no words give none."""
-    t = tokens(text)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+def with_shingles(df: DataFrame, text: str, out: str, n: int = 4) -> DataFrame:
+    """Adds the set of n-word shingles; a shorter text is one shingle; no words give none. Words are a column of their own, found once."""
+    t = f"__{out}_t"
+    x = df.withColumn(t, tokens(F.col(text)))
+    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col(t), i, n), " "))
+    return x.withColumn(out, F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))).drop(t)
 
 
 def sentences(text: Column) -> Column:

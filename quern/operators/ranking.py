@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import freshness, metadata_score, minmax
-from ..functions.text import content_terms, estimate_tokens, rerank_terms, sentences, shingles, squeeze
+from ..functions.text import content_terms, estimate_tokens, rerank_terms, sentences, squeeze, with_shingles
 
 PER = Win.partitionBy("query_id")
 
@@ -55,7 +56,7 @@ def rerank_with(rows: DataFrame, score_pairs) -> DataFrame:
                 s = np.asarray(b.column("score").to_pylist(), float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "raw_score"])
 
-    out = rows.mapInArrow(of, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", raw_score double")
+    out = rows.mapInArrow(of, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("raw_score double").fields]))
     return out.withColumn("rerank_score", minmax(F.col("raw_score"), PER)).drop("raw_score")
 
 
@@ -71,8 +72,7 @@ def dedupe_exact(rows: DataFrame) -> DataFrame:
 
 
 def _fold(rows: DataFrame, of, extra: str) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy("query_id").applyInArrow(of, f"{schema}, {extra}")
+    return rows.groupBy("query_id").applyInArrow(of, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(extra).fields]))
 
 
 def dedupe(rows: DataFrame, threshold: float = 0.85, collapse: bool = True) -> DataFrame:
@@ -80,7 +80,7 @@ def dedupe(rows: DataFrame, threshold: float = 0.85, collapse: bool = True) -> D
 
     Adds dupes_absorbed. One exchange by query_id; a query has as many rows as the merged limit lets through.
     """
-    rows = rows.withColumn("__sh", shingles(F.col("text"))).withColumn("__key", F.lower(squeeze(F.col("text"))))
+    rows = with_shingles(rows, "text", "__sh").withColumn("__key", F.lower(squeeze(F.col("text"))))
 
     def of(t: pa.Table) -> pa.Table:
         col = {c: t.column(c).to_pylist() for c in ("chunk_id", "source_id", "chunk_index", "score", "section_title", "__sh", "__key")}
@@ -163,9 +163,9 @@ def within_budget(rows: DataFrame, max_tokens: int = 4000, max_chunks: int = 8)
 def compress(rows: DataFrame, radius: int = 1, least: int = 60) -> DataFrame:
     """Adds compressed: the sentences that share a content term with the query, and those beside them; the text itself
     where the query has no terms, nothing matches, or less than ``least`` characters are left."""
-    q = content_terms(F.col("query"))
-    s = sentences(F.col("text"))
-    hit = F.transform(s, lambda x: F.arrays_overlap(q, content_terms(x)))
-    near = lambda i: F.exists(F.slice(hit, F.greatest(i - radius + 1, F.lit(1)), F.least(i, F.lit(radius)) + radius + 1), lambda h: h)
-    kept = F.trim(F.array_join(F.filter(s, lambda x, i: near(i)), " "))
-    return rows.withColumn("compressed", F.when(F.col("text") == "", "").when((F.size(q) == 0) | (F.size(s) == 0) | ~F.exists(hit, lambda h: h) | (F.length(kept) < least), F.col("text")).otherwise(kept))
+    x = rows.withColumn("__q", content_terms(F.col("query"))).withColumn("__s", sentences(F.col("text")))
+    x = x.withColumn("__hit", F.transform("__s", lambda t: F.arrays_overlap(F.col("__q"), content_terms(t))))
+    near = lambda i: F.array_contains(F.slice("__hit", F.greatest(i - radius + 1, F.lit(1)), F.least(i, F.lit(radius)) + radius + 1), True)
+    x = x.withColumn("__kept", F.trim(F.array_join(F.filter("__s", lambda t, i: near(i)), " ")))
+    none = (F.size("__q") == 0) | (F.size("__s") == 0) | ~F.array_contains("__hit", True) | (F.length("__kept") < least)
+    return x.withColumn("compressed", F.when(F.col("text") == "", "").when(none, F.col("text")).otherwise(F.col("__kept"))).drop("__q", "__s", "__hit", "__kept")

@@ -68,7 +68,7 @@ def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save
     plain = found.where("not sub").withColumn("query_id", F.col("parent_id")).drop("parent_id", "sub")
     reranked = plain.unionByName(merged.select(*plain.columns)).withColumn("max_chunks", F.col("lim.max_chunks")).withColumn("squash", F.col("lim.compression")).drop("lim", "parent_chunk_id")
     kept = ranking.dedupe(reranked)
-    picked = ranking.mmr(kept, cfg.max_tokens, cfg.max_chunks, cfg.mmr_lambda)
+    picked = ranking.mmr(save(kept), cfg.max_tokens, cfg.max_chunks, cfg.mmr_lambda)
     rewritten = understood.select("query_id", F.concat_ws(" ", F.col("rw.semantic_queries")[0], F.array_join("rw.must_have", " ")).alias("anchor"), F.col("rw.semantic_queries")[0].alias("rewritten"))
     small = ranking.compress(picked.drop("query").join(rewritten.select("query_id", F.col("anchor").alias("query")), "query_id"))
     small = small.withColumn("compressed", F.when(F.col("squash"), F.col("compressed")).otherwise(F.col("text")))

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import source_id
 
@@ -80,7 +81,7 @@ def convert_html(rows: DataFrame, column: str = "html") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([html_to_markdown(x) for x in b.column(column).to_pylist()], pa.string())], names=[*b.schema.names, "text"])
 
-    return rows.mapInArrow(of, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string")
+    return rows.mapInArrow(of, StructType([*rows.schema.fields, *StructType.fromDDL("text string").fields]))
 
 
 def csv_to_markdown(text: str) -> str:
@@ -101,8 +102,6 @@ def _text_of(kind: str, data: bytes) -> str:
 
 def extract(files: DataFrame) -> DataFrame:
     """(path, content) to (path, file_type, text, error_stage, error_reason): a row for every file, errors in it."""
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL("path string, file_type string, text string, error_stage string, error_reason string")
 
     def of(batches):
