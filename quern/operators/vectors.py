@@ -31,10 +31,10 @@ def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFr
     """(key, vec) for a corpus: words are counted by an aggregate, and the array is made once for each row."""
     words = rows.select(key, F.explode_outer(F.filter(F.split(squeeze(F.lower(text)), " "), lambda w: w != "")).alias("w"))
     bucket = (F.conv(F.right(F.sha1("w"), F.lit(2)), 16, 10).cast("int") % dim).cast("int")
-    sums = [F.count(F.when(bucket == i, 1)).cast("double").alias(f"b{i}") for i in range(dim)]
-    flat = words.groupBy(key).agg(*sums)
-    norm = F.sqrt(sum((F.col(f"b{i}") * F.col(f"b{i}") for i in range(1, dim)), F.col("b0") * F.col("b0")))
-    return flat.withColumn("norm", norm).select(key, F.array(*(F.when(F.col("norm") > 0, F.col(f"b{i}") / F.col("norm")).otherwise(0.0) for i in range(dim))).alias("vec"))
+    counts = words.select(key, bucket.alias("b")).groupBy(key, "b").agg(F.count("b").cast("double").alias("c"))
+    flat = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"), F.map_from_entries(F.filter(F.collect_list(F.struct("b", "c")), lambda x: x["b"].isNotNull())).alias("m"))
+    part = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)
+    return flat.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), part).alias("vec"))
 
 
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:

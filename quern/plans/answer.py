@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import queries as Q
 from ..operators import evidence, ranking, retrieval, vectors
+from ..sources.tables import written
 
 #: No plan asks for more of a leg or of merged candidates; a literal bound lets Spark cut before it sorts.
 MOST = 400
@@ -48,7 +49,7 @@ def _search(asked: DataFrame, corpus: Corpus, cfg: Config) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(over)).where((F.col("rank") <= MOST) & (F.col("rank") <= F.col("lim.rerank_top_k")))
 
 
-def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save=lambda df: df) -> DataFrame:
+def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written) -> DataFrame:
     """One evidence record for each question; complex questions are split, searched in parts and ranked again as a whole."""
     deep = F.col("route.strategy") == "deep"
     parts = F.when(deep, Q.decompose(F.col("query"), cfg.deep_max, cfg.deep_min)).otherwise(F.array("query"))
@@ -76,10 +77,10 @@ def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save
     return evidence.package(heads, reranked, small, cfg.max_tokens)
 
 
-def answer(questions: DataFrame, corpus: Corpus, cfg: Config = Config(), save=lambda df: df) -> DataFrame:
+def answer(questions: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written) -> DataFrame:
     """Answers with evidence. Weak results are searched once more with the terms they lack; the better result stays.
 
-    save: cuts the plan after each pass, e.g. by a written table; the second pass reads only flagged questions.
+    save: cuts the plan after each step, by default with a written table; the second pass reads only flagged questions.
     """
     asked = save(understand(questions, cfg))
     first = save(retrieve(asked, corpus, cfg, save))
