@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 CHUNK_BITS = 9
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 48 << 20
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint64)
 _WINDOW = 32
 #: Places that no token of the byte-level pattern spans: a non-space before white space, a letter before punctuation.
@@ -245,6 +245,7 @@ def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 kind = pa.string() if digest else pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], names=names)
 
+    small_batches(docs.sparkSession)
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(of, f"doc_id long, n_tokens long, {names[2]} {'string' if digest else 'array<int>'}, {names[3]} string")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised code looks at in one step; bounds the memory of a Python worker.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: ASCII white space as the word pattern ``[^\x20\x09-\x0D]+`` has it.
 SPACE = np.zeros(256, bool)
@@ -48,6 +48,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of texts of ``rows`` rows at most: long texts would make larger ones crowd workers and executors."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of a string column, nulls being empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import letter_words, rolling, slices
+from .common import letter_words, rolling, slices, small_batches
 
 MASKS = ("110110110011", "111010011101", "101101101101")
 SPAN = 12
@@ -116,6 +116,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     """(doc_id, item_id, start_word, end_word, n_matched, n_item_words) for each item found in each document."""
     schema = "doc_id long, item_id long, start_word int, end_word int, n_matched int, n_item_words int"
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     n_blocks = max(1, -(-(tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // block_bytes))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices
+from .common import materialise, slices, small_batches
 
 WORDS = 4
 _LEAST = -(1 << 63)
@@ -111,6 +111,7 @@ def common_lines(earlier: list[int], later: list[int]) -> list[int]:
 
 def dedup_lines(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines cut from text_col, and the columns n_lines and n_removed_lines, which replace any of these names."""
+    small_batches(docs.sparkSession)
     uid = F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
 

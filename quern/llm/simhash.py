@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_buffers, word_spans
+from .common import materialise, slices, small_batches, text_buffers, word_spans
 from .components import connected_components
 
 BITS = 64
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
             for s in slices(b):
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(fingerprints_of(s.column(1), words).view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, "doc_id long, fp long")
 
 

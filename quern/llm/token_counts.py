@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import materialise, slices
+from .common import materialise, slices, small_batches
 
 BLOCK_BYTES = 1 << 20
 SUPER = 1024
@@ -83,6 +83,7 @@ def write_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if ids is not None else pa.array([None], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([tokens], pa.binary()), lists], names=["shard", "block", "tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = materialise(rows.mapInArrow(of, "shard int, block int, tokens binary, ids array<long>"), "tokens")
     where = both.where("tokens is null").select("shard", F.col("block").cast("long").alias("base"), F.posexplode("ids").alias("i", "doc_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import letter_words, materialise, slices
+from .common import letter_words, materialise, slices, small_batches
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 512
@@ -178,6 +178,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, least_chi2: float = LEAST_CHI2) -> Model:
     """Learn from the labelled rows whose crc32(id as text) mod 5 is not 0; see the module for what is bounded."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.avg("y").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).toArrow().to_pydict()
@@ -252,6 +253,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Columns of docs with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     made = T.StructType.fromDDL("toxic_score double, toxic_predicted int, nearest array<long>, similarity array<double>")
     docs = docs.drop(*made.names)
     at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, *made.fields])
