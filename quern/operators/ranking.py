@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions.scores import freshness, metadata_score, minmax
 from ..functions.text import content_terms, estimate_tokens, rerank_terms, sentences, squeeze, with_shingles
 
-PER = Win.partitionBy("query_id")
+def _per() -> Win:
+    return Win.partitionBy("query_id")
 
 
 def _share(q, t):
@@ -33,7 +34,7 @@ def rerank_weighted(rows: DataFrame, as_of=None) -> DataFrame:
     priority = F.coalesce(F.col("priority"), F.lit(0.0)) if "priority" in has else F.lit(0.0)
     match = F.coalesce(F.col("workspace_match").cast("double"), F.lit(1.0)) if "workspace_match" in has else F.lit(1.0)
     meta = metadata_score(fresh, _share(q, rerank_terms(F.col("title"))), _share(q, rerank_terms(F.col("section_title"))), priority, match)
-    out = rows.withColumn("vector_norm", minmax(v, PER)).withColumn("keyword_norm", minmax(F.coalesce("keyword_score", F.lit(0.0)), PER)).withColumn("metadata_score", meta)
+    out = rows.withColumn("vector_norm", minmax(v, _per())).withColumn("keyword_norm", minmax(F.coalesce("keyword_score", F.lit(0.0)), _per())).withColumn("metadata_score", meta)
     return out.withColumn("rerank_score", F.round(0.45 * F.col("vector_norm") + 0.35 * F.col("keyword_norm") + 0.20 * F.col("metadata_score"), 9))
 
 
@@ -57,11 +58,11 @@ def rerank_with(rows: DataFrame, score_pairs) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "raw_score"])
 
     out = rows.mapInArrow(of, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("raw_score double").fields]))
-    return out.withColumn("rerank_score", minmax(F.col("raw_score"), PER)).drop("raw_score")
+    return out.withColumn("rerank_score", minmax(F.col("raw_score"), _per())).drop("raw_score")
 
 
 def cut(rows: DataFrame, k: int, by: str = "rerank_score") -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(PER.orderBy(F.desc(by), "chunk_id"))).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(_per().orderBy(F.desc(by), "chunk_id"))).where(F.col("rank") <= k)
 
 
 def dedupe_exact(rows: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def mmr(rows: DataFrame, max_tokens: int = 4000, max_chunks: int = 8, lam: float
 
 def within_budget(rows: DataFrame, max_tokens: int = 4000, max_chunks: int = 8) -> DataFrame:
     """Greedy by rank (a column): the first is always kept; the rest until one does not fit or the budget is full."""
-    over = PER.orderBy("rank")
+    over = _per().orderBy("rank")
     out = rows.withColumn("cost", estimate_tokens(F.col("text"))).withColumn("used", F.sum("cost").over(over.rowsBetween(Win.unboundedPreceding, 0)))
     return out.where((F.col("rank") <= max_chunks) & ((F.col("rank") == 1) | ((F.col("used") <= max_tokens) & (F.col("used") - F.col("cost") < max_tokens))))
 
