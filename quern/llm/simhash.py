@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     """(doc_id, fingerprint, component_id) for each row of docs."""
     own = materialise(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(near_links(classes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")))
+    parts = connected_components(near_links(classes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.bitwise_not("fp"))))
     named = classes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # a partial minimum, then back to each fingerprint by a key of its own, which Spark can split where a component is large
     apart = F.bitwise_not(F.col("component"))
