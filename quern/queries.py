@@ -388,7 +388,7 @@ ORACLE_SQL = {
     "corpus_stats": f"WITH {CHUNKS} SELECT count(*) AS n, round(avg(len({_kw('text')})), 6) AS avgdl FROM chunks",
     "bm25_topk": f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
     "bm25_filtered_topk": f"WITH {_TOP10.replace('FROM documents WHERE', chr(70) + 'ROM documents WHERE source IN (' + repr('src1') + ', ' + repr('src2') + ') AND')} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw",
-    "boolean_all_terms": f"WITH {BM25}, need AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), fit AS (SELECT query_id, chunk_id FROM tf JOIN qt USING (term) GROUP BY ALL HAVING count(*) = (SELECT m FROM need WHERE need.query_id = qt.query_id)) SELECT query_id, chunk_id, round(score, 6) AS score FROM kws JOIN fit USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10",
+    "boolean_all_terms": f"WITH {BM25}, need AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), fit AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS c FROM tf JOIN qt USING (term) GROUP BY ALL) JOIN need USING (query_id) WHERE c = m) SELECT query_id, chunk_id, round(score, 6) AS score FROM kws JOIN fit USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10",
     "hash_bow_vectors": f"WITH {CHUNKS} SELECT chunk_id, CAST(b AS BIGINT) AS bucket, round(x, 6) AS x FROM {_bow('chunks', 'chunk_id')}",
     "vector_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
     "vector_bow_topk": f"WITH {CHUNKS} {VEC} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ve",
