@@ -43,6 +43,8 @@ def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 def links(x: np.ndarray, y: np.ndarray, threshold: float, step: int = 256):
     """Index pairs (i, j) with cosine of x[i] and y[j] at or above the threshold."""
+    # powers of two scale without rounding, and no square overflows or vanishes
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None]) for v in (x, y))
     xu, yu = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
     (q, s, e), (r, t, f) = quantise(xu), quantise(yu)
     for a in range(0, len(x), step):
@@ -59,7 +61,7 @@ def links(x: np.ndarray, y: np.ndarray, threshold: float, step: int = 256):
         k = np.flatnonzero(open_)
         if len(k):
             u, v = x[a + i[k]], y[j[k]]
-            cos = np.einsum("ij,ij->i", u, v) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v)))
+            cos = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
             sure[k] = cos >= threshold
         yield a + i[sure], j[sure]
 

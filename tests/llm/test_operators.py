@@ -345,8 +345,10 @@ def test_embeddings_equal_brute_force(spark):
     x[5] = x[9] * 3
     x[20] = x[21]
     odd = [None, [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [float("inf")], [None] * 16, [1.0, 2.0], []]
-    rows = [(i, v) for i, v in enumerate([*x.tolist(), *odd])]
     u = x / np.linalg.norm(x, axis=1)[:, None]
+    x[50:60] *= 1e200
+    x[60:70] *= 1e-200
+    rows = [(i, v) for i, v in enumerate([*x.tolist(), *odd])]
     pairs = np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist()
     n, part = Counter(i for p in pairs for i in p), components_of(len(rows), pairs)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=20).collect()}
