@@ -14,6 +14,7 @@ from .functions import text as X
 from .functions.scores import freshness
 from .operators import chunking, evaluate, evidence, ranking, retrieval, vectors
 from .plans import answer as plans
+from .plans import ingest
 from .sources import files, store
 from .sources.tables import written
 
@@ -215,6 +216,13 @@ def neighbour_expansion(spark, d):
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source", "parent_chunk_id")
 
 
+def vector_multi_query_max(spark, d):
+    """Questions of several vectors (every 50th vector, five questions): the best score of each vector over its question's."""
+    v = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    q = v.where("chunk_id % 50 = 0").select((F.col("chunk_id") % 5 + F.floor(F.col("chunk_id") / 50) % 5).alias("query_id"), F.col("chunk_id").alias("variant"), "vec")
+    return vectors.top_k(q, v, 10, 10).select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # --- ranking, selection, evidence ------------------------------------------
 
 
@@ -257,6 +265,15 @@ def coverage_gaps(spark, d):
     return top.select("query_id", F.array_join(gaps, ",").alias("gaps"), F.round(evidence.coverage(F.col("query"), F.col("texts")), 6).alias("coverage"))
 
 
+def passthrough_answer(spark, d):
+    """The three best chunks as an answer, and which of them the marks [2], [1] and [9] name."""
+    top = _rows(spark, d, retrieval.bm25_top_k(_questions(spark, d), _chunks(spark, d), 3))
+    con = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("context"))
+    con = _questions(spark, d).join(con, "query_id", "left")
+    named = F.array_join(F.transform(evidence.cited(F.lit("as [2] and [1] say, not [9]; see [2]"), F.col("context")), lambda c: c["chunk_id"]), ",")
+    return con.select("query_id", F.md5(evidence.passthrough_answer(F.col("context"))).alias("answer_md5"), F.coalesce(named, F.lit("")).alias("cited"))
+
+
 def _corpus(spark, d):
     c = _chunks(spark, d)
     c = written(c)
@@ -304,6 +321,17 @@ def decompose_rules(spark, d):
     return _user(spark, d).select("conv_id", "turn", F.posexplode(Q.decompose(F.col("query"))).alias("part", "sub_query"))
 
 
+def query_must_have(spark, d):
+    return _user(spark, d).select("conv_id", "turn", F.array_join(Q.must_have(F.col("query")), "|").alias("must_have"), Q.understand(F.col("query"))["exact_match"].alias("exact_match"))
+
+
+def retry_decision(spark, d):
+    """Whether the eight best rows of a question call for a second search."""
+    top = _reranked(spark, d).where("rank <= 8").groupBy("query_id", "query").agg(F.max("rerank_score").alias("top"), F.collect_list("text").alias("texts"))
+    gaps = evidence.coverage_gaps(F.col("query"), F.col("texts"))
+    return top.withColumn("r", Q.retry_decision(F.col("top"), F.size(gaps), 0.3)).select("query_id", "r.triggered", "r.reason")
+
+
 # --- evaluation -------------------------------------------------------------
 
 
@@ -352,6 +380,20 @@ def doc_delete(spark, d):
     return kept
 
 
+def _ingested(spark, d):
+    return _docs(spark, d).select("document_id", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("text"), "file_type", F.col("source_type").alias("title"))
+
+
+def ingest_summary(spark, d):
+    """Documents and chunks by status, with the texts of some documents taken away."""
+    return ingest.summary(ingest.ingest(_ingested(spark, d))[1])
+
+
+def ingest_results(spark, d):
+    """What became of each document; the text of some is taken away."""
+    return ingest.ingest(_ingested(spark, d))[1].select("document_id", "status", "error_stage", "error_reason")
+
+
 def store_info(spark, d):
     return store.info(_docs(spark, d), _chunks(spark, d))
 
@@ -360,6 +402,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_word_windows, chunk_token_estimates, chunk_identity_hashes, chunker_decision, hierarchical_parents, semantic_chunks, adaptive_chunks, section_split_pages, contextual_preambles, sentence_counts,
     term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_filtered_topk, boolean_all_terms, hash_bow_vectors, vector_topk, vector_bow_topk, hybrid_fusion, hybrid_stats, neighbour_expansion,
     rerank_fallback, rerank_lexical, freshness_decay, dedupe_exact_rules, dedupe_full, mmr_select, token_budget_greedy, compress_extractive, coverage_gaps, evidence_package, agent_answer,
+    vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results,
     query_classify, query_rewrite, search_plan, strategy_route, decompose_rules, golden_relevance, eval_report, eval_by_tag, latency_percentiles, doc_upsert, chunk_replace, doc_delete, store_info,
 )}
 
@@ -373,6 +416,12 @@ _TYPE = f"CASE WHEN {_has(Q.TROUBLE)} OR {_has(Q.CODE_HINT)} THEN 'troubleshooti
 _SEEN = rf"""u AS (SELECT conv_id, turn, text, {_TYPE} AS query_type, {_has(Q.MULTI_HOP)} OR len(regexp_replace(text, '[^?]', '', 'g')) >= 2 AS multi_hop,
 CASE WHEN {_has(Q.FRESH_HIGH)} THEN 'high' WHEN {_has(Q.FRESH_MEDIUM)} THEN 'medium' ELSE 'low' END AS freshness,
 concat_ws(',', CASE WHEN {_has(Q.KNOWLEDGE)} THEN 'knowledge_base' END, CASE WHEN {_has(Q.CODE_SOURCE)} OR {_TYPE} = 'coding' THEN 'code' END, CASE WHEN {_has(Q.TICKETS)} THEN 'tickets' END) AS s FROM conversations WHERE role = 'user')"""
+_EXACT = "(" + " OR ".join(f"regexp_matches(trim(text), '{p}')" for p in (Q.QUOTED.replace("'", "''"), Q.CODE, Q.ID_LIKE)) + ")"
+#: The plan of each question: its breadth and whether it needs exact matches decide the limits.
+_PLANNED = rf"""{_SEEN}, x AS (SELECT *, multi_hop OR query_type IN ('comparison', 'decision_support', 'troubleshooting') AS wide, {_EXACT} AS exact_match, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, len(regexp_replace(text, '[^?]', '', 'g')) AS marks FROM u),
+p AS (SELECT *, CAST(CASE WHEN wide THEN CASE WHEN exact_match THEN 67 ELSE 45 END WHEN exact_match THEN 45 ELSE 30 END AS INT) AS kw, CASE WHEN wide THEN 75 ELSE 50 END AS merged, CASE WHEN flat = '' THEN 0 ELSE len(string_split(flat, ' ')) END AS words FROM x),
+r AS (SELECT *, CASE WHEN multi_hop AND (marks >= 2 OR words > 25) THEN 'multi_hop_long_or_multi_q' WHEN multi_hop THEN 'multi_hop' WHEN query_type IN ('comparison', 'summarization', 'decision_support') THEN 'qt=' || query_type WHEN words > 20 THEN 'long_query' WHEN query_type = 'factual' AND NOT exact_match AND words <= 8 THEN 'short_factual' ELSE 'default' END AS reason FROM p),
+st AS (SELECT *, CASE reason WHEN 'multi_hop_long_or_multi_q' THEN 'agentic' WHEN 'short_factual' THEN 'simple' WHEN 'default' THEN 'hybrid' ELSE 'deep' END AS strategy FROM r)"""
 _TOP10 = BM25.replace("QUALIFY rank <= 30", "QUALIFY rank <= 10")
 _SCORED = rf"""{_TOP10}, rel AS (SELECT b.item_id AS id, min(CASE WHEN contains(lower(c.text), lower(b.text)) AND b.text <> '' THEN rank END) AS first_rank FROM benchmark b LEFT JOIN kw ON kw.query_id = b.item_id LEFT JOIN chunks c USING (chunk_id) GROUP BY 1),
 sc AS (SELECT id, first_rank, coalesce(first_rank <= 1, false) AS hit_at_1, coalesce(first_rank <= 3, false) AS hit_at_3, coalesce(first_rank <= 5, false) AS hit_at_5, coalesce(1.0 / first_rank, 0) AS rr FROM rel)"""
@@ -402,6 +451,12 @@ ORACLE_SQL = {
     "token_budget_greedy": f"WITH {BM25} {VEC} {FUSE} {RR}, c AS (SELECT query_id, chunk_id, rank, CAST(ceil(len(text) / 4.0) AS BIGINT) AS cost FROM cut JOIN chunks USING (chunk_id)), s AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM c) SELECT query_id, chunk_id, cost, used FROM s WHERE rank <= 8 AND (rank = 1 OR (used <= 2000 AND used - cost < 2000))",
     "coverage_gaps": f"WITH {BM25.replace('QUALIFY rank <= 30', 'QUALIFY rank <= 8')}, p AS (SELECT query_id, {_ct('any_value(b.text)')} AS q, {_ct(chr(115) + 'tring_agg(c.text, chr(32))')} AS t FROM kw JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = query_id GROUP BY query_id) SELECT query_id, array_to_string(list_sort(list_filter(q, lambda x: NOT list_contains(t, x))), ',') AS gaps, round(len(list_intersect(q, t)) / greatest(1, len(q)), 6) AS coverage FROM p",
     "query_classify": f"WITH {_SEEN} SELECT conv_id, turn, query_type, freshness, multi_hop, CASE WHEN s = '' THEN 'documents' ELSE s END AS sources FROM u",
+    "search_plan": f"WITH {_PLANNED} SELECT conv_id, turn, CASE WHEN s LIKE '%knowledge_base%' THEN 'knowledge_base' WHEN s = '' THEN 'documents' ELSE 'documents,knowledge_base' END AS routes, kw AS keyword_top_k, CAST(CASE WHEN wide THEN 45 ELSE 30 END AS INT) AS vector_top_k, CAST(merged AS INT) AS merged_limit, CAST(CASE WHEN wide THEN 25 ELSE 20 END AS INT) AS rerank_top_k FROM p",
+    "strategy_route": f"WITH {_PLANNED} SELECT conv_id, turn, strategy, reason, CAST(CASE strategy WHEN 'simple' THEN least(kw, 10) WHEN 'agentic' THEN greatest(kw, 60) WHEN 'deep' THEN greatest(kw, 50) ELSE kw END AS INT) AS keyword_top_k, CAST(CASE strategy WHEN 'simple' THEN least(merged, 15) WHEN 'agentic' THEN greatest(merged, 100) WHEN 'deep' THEN greatest(merged, 80) ELSE merged END AS INT) AS merged_limit, CAST(CASE strategy WHEN 'simple' THEN 4 ELSE 8 END AS INT) AS max_chunks, strategy <> 'simple' AS compression FROM st",
+    "retry_decision": f"WITH {BM25} {VEC} {FUSE} {RR}, p AS (SELECT query_id, max(rerank_score) AS top, {_ct('any_value(b.text)')} AS q, {_ct("string_agg(c.text, ' ')")} AS t FROM cut JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 8 GROUP BY query_id), d AS (SELECT query_id, CASE WHEN top < 0.3 THEN 'low_rerank_below_0.3' WHEN len(list_filter(q, lambda x: NOT list_contains(t, x))) > 0 THEN 'coverage_gaps' ELSE 'above_floor' END AS reason FROM p) SELECT query_id, reason <> 'above_floor' AS triggered, reason FROM d",
+    "passthrough_answer": f"WITH {BM25.replace('QUALIFY rank <= 30', 'QUALIFY rank <= 3')}, a AS (SELECT query_id, string_agg('[' || rank || '] ' || trim(text), chr(10) || chr(10) ORDER BY rank) AS t, max(chunk_id) FILTER (rank = 1) AS c1, max(chunk_id) FILTER (rank = 2) AS c2 FROM kw JOIN chunks USING (chunk_id) GROUP BY query_id) SELECT item_id AS query_id, md5(coalesce(t, 'No evidence retrieved for this query.')) AS answer_md5, concat_ws(',', c2, c1) AS cited FROM benchmark LEFT JOIN a ON query_id = item_id",
+    "vector_multi_query_max": "WITH s AS (SELECT q.vec_id % 5 + (q.vec_id // 50) % 5 AS query_id, q.vec_id AS variant, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, vec_id) <= 10), b AS (SELECT query_id, vec_id, max(score) AS score FROM t GROUP BY ALL) SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b",
+    "ingest_results": r"WITH e AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' OR doc_id % 10 = 3 AS bad FROM documents) SELECT 'doc:' || doc_id AS document_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'extract' END AS error_stage, CASE WHEN bad THEN 'extracted text is empty' END AS error_reason FROM e",
     "golden_relevance": f"WITH {_SCORED} SELECT id, first_rank, hit_at_1, hit_at_3, hit_at_5, round(rr, 6) AS rr FROM sc",
     "eval_report": f"WITH {_SCORED} SELECT count(*) AS total, CAST(0 AS BIGINT) AS errors, round(avg(hit_at_1::INT), 6) AS recall_at_1, round(avg(hit_at_3::INT), 6) AS recall_at_3, round(avg(hit_at_5::INT), 6) AS recall_at_5, round(avg(rr), 6) AS mrr FROM sc",
     "eval_by_tag": f"WITH {_SCORED} SELECT tag, count(*) AS n, round(avg(hit_at_5::INT), 6) AS recall_at_5, round(avg(rr), 6) AS mrr FROM (SELECT *, unnest([CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END, 'all']) AS tag FROM sc) GROUP BY tag",

@@ -13,6 +13,7 @@ from quern.config import Config, load_config
 from quern.functions import queries as Q
 from quern.functions import text as X
 from quern.operators import chunking, evaluate, evidence, ranking, retrieval, vectors
+from quern.plans import ingest
 from quern.sources import files, store
 
 
@@ -188,6 +189,23 @@ def test_store(spark):
     assert [r.document_id for r in left.collect()] == ["a"] and gone.first().deleted == 1
 
 
+def test_ingest_replaces_and_reports(spark):
+    schema = "document_id string, text string, file_type string, title string"
+    first, _ = ingest.ingest(spark.createDataFrame([("a", "word " * 1500, "text", "A"), ("b", "other text", "text", "B")], schema))
+    docs = spark.createDataFrame([("a", "now short", "text", "A2"), ("c", " \n", "text", None), (None, "x", "text", "N"), ("d", None, "text", "D"), ("e", "twice", "text", "E"), ("e", "twice", "text", "E")], schema)
+    now, results = ingest.ingest(docs, first)
+    assert sorted((r.document_id or "", r.status, r.error_stage, r.n_chunks) for r in results.collect()) == [("", "error", "validate", 0), ("a", "ok", None, 1), ("c", "error", "extract", 0), ("d", "error", "extract", 0), ("e", "ok", None, 1), ("e", "repeated", None, 0)]
+    assert sorted(map(tuple, now.documents.select("document_id", "title").collect())) == [("a", "A2"), ("b", "B"), ("e", "E")]
+    ids = lambda t: sorted(r.chunk_id for r in t.collect())
+    assert ids(now.chunks) == ids(now.vectors) == ["a:0", "b:0", "e:0"]
+    again = ingest.reindex(now, spark.createDataFrame([("a",)], "document_id string"))
+    assert sorted(map(str, again.vectors.collect())) == sorted(map(str, now.vectors.collect())) == sorted(map(str, ingest.reindex(now).vectors.collect()))
+    left, gone = ingest.drop(now, spark.createDataFrame([("b",), ("z",)], "document_id string"))
+    assert ids(left.chunks) == ids(left.vectors) == ["a:0", "e:0"] and gone.first().deleted == 1
+    none, results = ingest.ingest(docs.limit(0))
+    assert none.chunks.count() == none.vectors.count() == results.count() == 0
+
+
 def test_golden_and_files(spark, tmp_path):
     g = tmp_path / "g.jsonl"
     g.write_text('# note\n\n{"id": "1", "query": "q", "expectedSubstrings": ["x"]}\nnot json\n')
@@ -218,7 +236,7 @@ def _rows(d, cols):
     return sorted([tuple("" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, Number) else str(x) for x in r) for r in d[cols].itertuples(index=False)])
 
 
-@pytest.mark.parametrize("name", ["chunk_word_windows", "chunk_identity_hashes", "sentence_counts", "bm25_topk", "bm25_filtered_topk", "hybrid_fusion", "neighbour_expansion", "rerank_fallback", "rerank_lexical", "token_budget_greedy", "coverage_gaps", "query_classify", "golden_relevance", "latency_percentiles"])
+@pytest.mark.parametrize("name", ["chunk_word_windows", "chunk_identity_hashes", "sentence_counts", "bm25_topk", "bm25_filtered_topk", "hybrid_fusion", "neighbour_expansion", "rerank_fallback", "rerank_lexical", "token_budget_greedy", "coverage_gaps", "query_classify", "golden_relevance", "latency_percentiles", "search_plan", "strategy_route", "retry_decision", "passthrough_answer", "vector_multi_query_max", "ingest_results"])
 def test_queries_equal_sql(spark, data, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "events", "embeddings"):
