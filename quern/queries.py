@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import queries as Q
 from .functions import text as X
 from .functions.scores import freshness
-from .operators import chunking, evaluate, evidence, ranking, retrieval, vectors
+from .operators import chunking, evaluate, evidence, fulltext, ranking, retrieval, vectors
 from .plans import answer as plans
 from .plans import ingest
 from .sources import files, store
@@ -181,6 +181,13 @@ def bm25_filtered_topk(spark, d):
     return retrieval.bm25_top_k(_questions(spark, d), retrieval.filtered(c, source_types=["src1", "src2"]), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def fulltext_topk(spark, d):
+    """Three words of each question in their order as alternatives beside its first four as a whole, over pages' worth of documents."""
+    words = F.split(F.trim("query"), r"\s+")
+    asked = _questions(spark, d).select("query_id", F.concat(F.array_join(F.slice(words, 1, 4), " "), F.lit(' or "'), F.array_join(F.slice(words, 3, 3), " "), F.lit('"')).alias("query"))
+    return fulltext.search(asked, _chunks(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def boolean_all_terms(spark, d):
     return retrieval.boolean_search(_questions(spark, d), _chunks(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -400,7 +407,7 @@ def store_info(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     chunk_word_windows, chunk_token_estimates, chunk_identity_hashes, chunker_decision, hierarchical_parents, semantic_chunks, adaptive_chunks, section_split_pages, contextual_preambles, sentence_counts,
-    term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_filtered_topk, boolean_all_terms, hash_bow_vectors, vector_topk, vector_bow_topk, hybrid_fusion, hybrid_stats, neighbour_expansion,
+    term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_filtered_topk, boolean_all_terms, fulltext_topk, hash_bow_vectors, vector_topk, vector_bow_topk, hybrid_fusion, hybrid_stats, neighbour_expansion,
     rerank_fallback, rerank_lexical, freshness_decay, dedupe_exact_rules, dedupe_full, mmr_select, token_budget_greedy, compress_extractive, coverage_gaps, evidence_package, agent_answer,
     vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results,
     query_classify, query_rewrite, search_plan, strategy_route, decompose_rules, golden_relevance, eval_report, eval_by_tag, latency_percentiles, doc_upsert, chunk_replace, doc_delete, store_info,
