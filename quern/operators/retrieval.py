@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import bm25, minmax
 from ..functions.text import keyword_phrase, keyword_tokens
+from ..sources.tables import written
 from .vectors import sent
 
 
@@ -46,7 +47,7 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks that share a term, with the bonuses for title terms and whole phrases."""
     terms = query_terms(queries)
-    tf = term_frequencies(chunks, terms)
+    tf = written(term_frequencies(chunks, terms))  # read four times below; holds the query terms' postings alone
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(chunks)
     part = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("s", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
