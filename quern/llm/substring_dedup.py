@@ -22,6 +22,7 @@ a doc_id are one document's rows: of equal starts neither is earlier. Extra colu
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import pack_sorted, rolling, slices, span_hashes, text_buffers, unpack_sorted, word_spans
 
+#: Bytes of text in a chunk: CHUNK_BYTES, or the root of NOTE_BYTES times the corpus where that is more. With as many
+#: buckets as chunks, the notes between them keep their size and neither chunks nor buckets outgrow a worker (256 MB of text at 100 TB).
 CHUNK_BYTES = 6 << 20
+NOTE_BYTES = 655
 _LEAST = -(1 << 63)
 _NOTE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())])
 _REPLY = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("mask", pa.binary()), ("n", pa.int32())])
@@ -43,7 +47,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, least
     """(chunk, doc_id, text) with chunks that ascend by doc_id, and their number."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    k = max(least, -(-total // chunk_bytes))
+    k = max(least, -(-total // max(chunk_bytes, math.isqrt(NOTE_BYTES * total))))
     cuts = base.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k).alias("c")).first()["c"] or []
     cuts = sorted({float(c) for c in cuts})
     if not cuts:
@@ -97,7 +101,7 @@ class _Chunk:
 
 
 def _bucket(key: np.ndarray, bits: int, n: int) -> np.ndarray:
-    return ((key >> np.uint64(bits - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
+    return ((key >> np.uint64(bits - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 def _runs(of: np.ndarray):
@@ -149,7 +153,7 @@ def find_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", t
     if window < 2:
         raise ValueError("window must be 2 words at least")
     dealt, k = chunked(docs, id_col, text_col, chunk_bytes)
-    n_buckets = min(4096, max(32, k))
+    n_buckets = max(32, k)
 
     def probes(table: pa.Table) -> pa.Table:
         c, chunk = _Chunk(table, window), table.column("chunk")[0].as_py()
