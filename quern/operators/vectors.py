@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import dot
 from ..functions.text import squeeze
@@ -12,6 +15,8 @@ from ..functions.text import squeeze
 DIM = 64
 #: Rows of queries that go to all executors at once; more are joined without a hint.
 MOST_SENT = 50_000
+#: Vectors and queries of one matrix product: 32 MB of scores.
+BLOCK = 2048
 
 
 def with_hash_vector(df: DataFrame, text: str, out: str = "vec", dim: int = DIM) -> DataFrame:
@@ -42,13 +47,51 @@ def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _block_scores(queries: pa.Table, vectors: DataFrame, most: int, dim: int) -> DataFrame:
+    """(chunk_id, q, score): of each batch of vectors those that may be among the best ``most`` of query row q.
+
+    A matrix product for each tile of BLOCK vectors and BLOCK queries; what is within 2e-9 of the least of a tile's best
+    stays, so that ties after rounding to nine places are all there.
+    """
+    flat = queries.column("qv").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    matrix = np.ascontiguousarray(flat.reshape(-1, dim).T)
+    key = vectors.schema["chunk_id"]
+    schema = T.StructType([key, T.StructField("q", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+    def of(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                own = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                for first in range(0, matrix.shape[1], BLOCK):
+                    score = own @ matrix[:, first : first + BLOCK]
+                    keep = np.ones(score.shape, bool)
+                    if len(own) > most:
+                        keep = score >= np.partition(score, len(own) - most, axis=0)[len(own) - most] - 2e-9
+                    row, col = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((col + first).astype(np.int32)), pa.array(score[row, col])], names=["chunk_id", "q", "score"])
+
+    return vectors.select("chunk_id", "vec").where(_sound("vec", dim)).mapInArrow(of, schema)
+
+
+def _sound(vec: str, dim: int) -> Column:
+    return F.coalesce((F.size(vec) == dim) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: Column | int, most: int, dim: int = DIM) -> DataFrame:
     """queries (query_id, variant, vec[, k]) against vectors (chunk_id, vec): the best k chunks of each query, best variant first.
 
-    Unit vectors; zero vectors score 0. A stated set of queries meets all rows: its size is checked before it is sent.
+    Unit vectors; zero vectors score 0; vectors that are null, of another length or hold nulls or NaN are not searched for nor found.
+    A stated set of queries meets all rows: up to MOST_SENT query rows go to all executors, more meet the vectors in the JVM.
     """
-    q = queries.select("query_id", "variant", F.col("vec").alias("qv"), *(["k"] if "k" in queries.columns else []))
-    scored = vectors.crossJoin(sent(q)).withColumn("score", F.round(dot(F.col("vec"), F.col("qv"), dim), 9)).drop("vec", "qv")
+    q = queries.where(_sound("vec", dim)).select("query_id", "variant", F.col("vec").alias("qv"), *(["k"] if "k" in queries.columns else []))
+    sent_rows = q.limit(MOST_SENT + 1).toArrow()
+    if sent_rows.num_rows <= MOST_SENT:
+        spark = q.sparkSession
+        names = spark.createDataFrame(sent_rows.drop_columns("qv").append_column("q", pa.array(np.arange(sent_rows.num_rows, dtype=np.int32))), T.StructType([*(f for f in q.schema if f.name != "qv"), T.StructField("q", T.IntegerType())]))
+        scored = _block_scores(sent_rows, vectors, most, dim).join(F.broadcast(names), "q").drop("q").withColumn("score", F.round("score", 9))
+    else:
+        scored = vectors.where(_sound("vec", dim)).crossJoin(q).withColumn("score", F.round(dot(F.col("vec"), F.col("qv"), dim), 9)).drop("vec", "qv")
     limit = F.col("k") if "k" in queries.columns else F.lit(k)
     per = Win.partitionBy("query_id", "variant").orderBy(F.desc("score"), "chunk_id")
     cut = scored.withColumn("r", F.row_number().over(per)).where((F.col("r") <= most) & (F.col("r") <= limit))
