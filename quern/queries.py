@@ -182,7 +182,7 @@ def bm25_filtered_topk(spark, d):
 
 
 def fulltext_topk(spark, d):
-    """Three words of each question in their order as alternatives beside its first four as a whole, over pages' worth of documents."""
+    """Chunks that hold the first four words of a question, or its third to fifth word as a phrase. Stems are beyond SQL."""
     words = F.split(F.trim("query"), r"\s+")
     asked = _questions(spark, d).select("query_id", F.concat(F.array_join(F.slice(words, 1, 4), " "), F.lit(' or "'), F.array_join(F.slice(words, 3, 3), " "), F.lit('"')).alias("query"))
     return fulltext.search(asked, _chunks(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))

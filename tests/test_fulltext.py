@@ -49,3 +49,18 @@ def test_matches_equal_a_plain_reading(spark):
         return no != any(all(i + s < len(own) and own[i + s] == w for w, s in zip(want, steps, strict=True)) for i in range(len(own)))
 
     assert got == {(i, c) for i, q in asks for c, _, t in texts if any(all(has(t, x) for x in g) for g in fulltext.parse(q))}
+
+
+def test_vector_top_k_of_odd_vectors_and_ties(spark):
+    from quern.operators import vectors
+
+    v = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.6, 0.8]), ("n", None), ("h", [1.0, None]), ("x", [float("nan"), 1.0]), ("l", [1.0]), ("z", [0.0, 0.0])], "chunk_id string, vec array<double>")
+    q = spark.createDataFrame([("q", 0, [1.0, 0.0]), ("q", 1, [0.0, 1.0]), ("bad", 0, None)], "query_id string, variant int, vec array<double>")
+    got = [(r.query_id, r.chunk_id, r.score, r["rank"]) for r in vectors.top_k(q, v, 2, 2, 2).orderBy("query_id", "rank").collect()]
+    assert got == [("q", "a", 1.0, 1), ("q", "b", 1.0, 2), ("q", "c", 0.8, 3)]
+    assert vectors.top_k(q, v.limit(0), 2, 2, 2).count() == vectors.top_k(q.limit(0), v, 2, 2, 2).count() == 0
+    vectors.MOST_SENT, most = 1, vectors.MOST_SENT
+    try:
+        assert [(r.query_id, r.chunk_id, r.score, r["rank"]) for r in vectors.top_k(q, v, 2, 2, 2).orderBy("query_id", "rank").collect()] == got
+    finally:
+        vectors.MOST_SENT = most
