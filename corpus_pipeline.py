@@ -1,4 +1,4 @@
-"""A corpus pipeline over documents: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
+"""A corpus pipeline over documents: toxicity, line dedup, near-dedup, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back as the next
 stage's docs. All but the last return the columns of documents.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from quern.llm import bpe, decontaminate, jaccard_dedup, line_dedup, toxicity
 from quern.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,10 +27,15 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates; of rows that share that doc_id, one."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """The document with the least doc_id of each group of texts linked by a Jaccard similarity of 0.8 or more over five-word shingles.
+
+    Of rows that share that doc_id, one stays.
+    """
+    row = F.xxhash64("doc_id", "text").alias("row")
+    groups = jaccard_dedup.near_duplicates(docs.select(row, "text"), words=5, least=0.8)
+    named = docs.select(row, "doc_id").join(groups.select("row", "component").distinct(), "row")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.doc_id").alias("doc_id")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """The pipeline: stages keep the columns of documents, and each decision takes effect."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from quern.llm import jaccard_dedup, simhash
 
 
 def test_stages(spark, data):
@@ -30,3 +34,61 @@ def test_null_and_repeated_rows(spark, data):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, data).count() >= 2
         assert stage(spark, docs.limit(0), data).count() == 0
+
+
+def shingles(text, words=5):
+    w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
+    return {tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, min(len(w), 1)))}
+
+
+def groups_of(sets, least=0.8):
+    """The least index linked to each set by brute-force Jaccard."""
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= least * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_equal_brute_force_jaccard(spark, data):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**4)}" for _ in range(60)] for _ in range(6)]
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    for _ in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = f"z{rng.randrange(10**4)}"
+        texts.append(" ".join(t[: rng.choice([12, 50, 60])]))
+    texts += ["", None, " \n", "a b", "A  B", "a b c d e", "a b c d e f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r.row: r.component for r in jaccard_dedup.near_duplicates(rows).collect()}
+    want = groups_of([shingles(t) for t in texts])
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(texts))] == want
+    assert 1 < sum(w != i for i, w in enumerate(want)) < len(texts)
+
+
+def test_near_copies_far_in_fingerprint_go(spark, data):
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(10**4)}" for _ in range(100)]
+    near, far = text.copy(), text.copy()
+    near[50] = near[20] = "other"
+    far[::9] = ["other"] * len(far[::9])
+    schema = spark.read.parquet(f"{data}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate([text, near, far])], schema)
+    assert len(shingles(" ".join(text)) & shingles(" ".join(near))) / len(shingles(" ".join(text)) | shingles(" ".join(near))) >= 0.8
+    fp = [int(r.fingerprint, 16) for r in simhash.near_duplicates(docs).orderBy("doc_id").collect()]
+    assert (fp[0] ^ fp[1]).bit_count() > 2
+    assert sorted(r.doc_id for r in pipeline.one_of_each_group(spark, docs, data).collect()) == [0, 2]
