@@ -29,13 +29,13 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of texts linked by a Jaccard similarity of 0.8 or more over five-word shingles.
 
-    Of rows that share that doc_id, one stays.
+    A row is known by its doc_id and text; of rows that agree in both, one stays. Null doc_ids come after all others.
     """
     row = F.xxhash64("doc_id", "text").alias("row")
     groups = jaccard_dedup.near_duplicates(docs.select(row, "text"), words=5, least=0.8)
     named = docs.select(row, "doc_id").join(groups.select("row", "component").distinct(), "row")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.doc_id").alias("doc_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return docs.withColumn("row", row).join(first, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,3 +92,11 @@ def test_near_copies_far_in_fingerprint_go(spark, data):
     fp = [int(r.fingerprint, 16) for r in simhash.near_duplicates(docs).orderBy("doc_id").collect()]
     assert (fp[0] ^ fp[1]).bit_count() > 2
     assert sorted(r.doc_id for r in pipeline.one_of_each_group(spark, docs, data).collect()) == [0, 2]
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark, data):
+    texts = [(None, "the first text of a null id here"), (None, "another one that shares nothing with it"), (7, "one text of document seven stands here"), (7, "and quite a different text of document seven"), (7, "one text of document seven stands here"), (9, "the first text of a null id here")]
+    schema = spark.read.parquet(f"{data}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
+    got = [(r.doc_id, r.text) for r in pipeline.one_of_each_group(spark, docs, data).collect()]
+    assert sorted(got, key=str) == sorted([texts[1], texts[2], texts[3], texts[5]], key=str)
