@@ -256,6 +256,47 @@ def test_lm_probabilities_sum_to_one(spark):
     assert abs(sum(p[k] * x for k, x in zip(y, inside)) + p[0] + p[1] - sum(p[k] for k in used)) < 1e-5
 
 
+def test_lm_pair_weights_fit():
+    rng = np.random.default_rng(4)
+    context, word = rng.integers(0, 40, 4000), (rng.zipf(1.6, 4000) % 30)
+    share = rng.dirichlet(np.ones(30))
+    key, n = np.unique(context.astype(np.uint64) << np.uint64(lm_score.WORD_BITS) | word.astype(np.uint64), return_counts=True)
+    n = np.where(rng.random(len(n)) < 0.1, 0, n)  # pairs of held-out texts alone
+    q = share[(key & np.uint64((1 << lm_score.WORD_BITS) - 1)).astype(int)]
+    p = lm_score.pair_factors(key, n, q)
+    for c in range(40):
+        at = np.flatnonzero(key >> np.uint64(lm_score.WORD_BITS) == c)
+        other = 1 - q[at].sum()
+        z = np.exp(np.log(q[at]) - np.log(p[at]))  # of words whose weight is zero
+        plain = np.flatnonzero((n[at] == 0) | np.isclose(z, z[n[at] == 0].mean() if (n[at] == 0).any() else z.max()))
+        if len(plain):
+            assert np.allclose(z[plain], z[plain][0])
+            assert abs(p[at].sum() + other / z[plain][0] - 1) < 1e-9
+            assert (np.log(p[at] * z[plain][0] / q[at]) > -1e-9).all()  # no weight is negative
+        want = p[at] * n[at].sum()
+        assert (want[n[at] > 0] < np.maximum(n[at], q[at] / z.min() * n[at].sum())[n[at] > 0] + 1e-9).all()
+
+
+def test_lm_text_seen_twice_scores_above_one_seen_once(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(60))) for i in range(300)]
+    train = [d for d, _ in texts if zlib.crc32(str(d).encode()) % 5 != 1]
+    twice = [(next(x for x in range(1000 + 9 * d, 10**6) if zlib.crc32(str(x).encode()) % 5 != 1), t) for d, t in texts if d in train[:20]]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_score.score_texts(spark.createDataFrame(texts + twice, DOC)).collect()}
+    held = [got[d] for d, _ in texts if d not in train]
+    once = [got[d] for d in train[20:]]
+    assert np.mean([got[d] for d in train[:20]]) > np.mean(once) + 0.2 and min(once) > max(held)
+
+
+def test_lm_sums_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1000, (50, 20_000))
+    rows = spark.createDataFrame([(bytearray(v.astype("<i8").tobytes()),) for v in x], "x binary")
+    for k in (1, 7, 60):
+        assert (lm_score._summed(rows.repartition(k), 20_000, "<i8") == x.sum(axis=0)).all()
+    assert (lm_score._summed(rows.limit(0), 20_000, "<i8") == 0).all()
+
+
 def test_lm_odd_rows(odd, none):
     got = lm_score.score_texts(odd).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
