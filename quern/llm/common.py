@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,11 +109,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: So many powers of the base, and of its inverse, are kept: enough for a slice of bounded size.
+_MOST_POWERS = 1 << 22
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte strings data[start:end], which must not be empty nor overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
+    if len(data) < _MOST_POWERS:
+        # sums up to each byte, of which a span is the difference, shifted back by the inverse power of its start
+        power, inverse = _powers(1 << max(20, len(data).bit_length()))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+        return mix((total[ends] - total[starts]) * inverse[starts] + lens.astype(np.uint64))
     at = np.zeros(len(starts), np.int64)
     np.cumsum(lens[:-1], out=at[1:])
     inner = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(at, lens)

@@ -147,9 +147,11 @@ class _Tokens:
         """The context code of each token: top is (hash, rank) sorted by hash."""
         code = TOP + 2 + self.ending
         if len(top):
-            i = np.searchsorted(top["h"], self.h)
+            uniq, inverse = self.distinct
+            i = np.searchsorted(top["h"], uniq)
             i[i == len(top)] = 0
-            code = np.where(top["h"][i] == self.h, top["rank"][i], code)
+            rank = np.where(top["h"][i] == uniq, top["rank"][i], -1)[inverse]
+            code = np.where(rank >= 0, rank, code)
         return code
 
     def before(self, code: np.ndarray, k: int) -> np.ndarray:
@@ -182,10 +184,11 @@ class Model:
         return np.stack([a, CODES + b, 2 * CODES + c, 3 * CODES + pair])
 
     def logits(self, f: np.ndarray) -> np.ndarray:
-        z = self.w[f[0]] + self.bias
+        z = np.take(self.w, f[0], axis=0)
+        z += self.bias
         for row in f[1:]:
-            z += self.w[row]
-        return z
+            z += np.take(self.w, row, axis=0)
+        return np.clip(z, -60, 60, out=z)
 
     def pairs(self, t: _Tokens, c: np.ndarray, code: np.ndarray):
         """Tokens whose class has other words too, the keys of their pairs, and the logarithm of their share in the class."""
@@ -208,11 +211,11 @@ class Model:
         code = t.codes(self.top)
         y = np.where(c > 0, self.targets(t, code), UNKNOWN)
         f = self.features(t, code)
-        out = np.empty(len(y))
+        out, ones = np.empty(len(y)), np.ones(CLASSES, np.float32)
         for i in range(0, len(y), BATCH):
             z = self.logits(f[:, i : i + BATCH])
-            z -= z.max(axis=1, keepdims=True)
-            out[i : i + BATCH] = z[np.arange(len(z)), y[i : i + BATCH]] - np.log(np.exp(z).sum(axis=1))
+            own = z[np.arange(len(z)), y[i : i + BATCH]]
+            out[i : i + BATCH] = own - np.log(np.exp(z, out=z) @ ones)
         use, key, _ = self.pairs(t, c, code)
         out[use] += factor[np.unique(key, return_inverse=True)[1]]
         return out / np.log(10)
@@ -227,21 +230,18 @@ class Model:
         self.w = old.copy()
         grow = np.full((FEATURES, 1), 1e-2, np.float32)
         seen = np.bincount(f.ravel(), minlength=FEATURES).astype(np.float32)
+        ones = np.ones(CLASSES, np.float32)
         for i in range(0, len(use), BATCH):
             part, want = f[:, i : i + BATCH], y[i : i + BATCH]
             z = self.logits(part)
-            z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
+            z *= (1 / (z @ ones))[:, None]
             z[np.arange(len(want)), want] -= 1
             for row in part:
-                order = np.argsort(row.astype(np.uint16), kind="stable")
-                r = row[order]
-                at = np.flatnonzero(np.diff(r, prepend=-1))
-                g = np.add.reduceat(z[order], at, axis=0)
-                k = r[at]
+                k, g = _row_sums(row, z)
                 grow[k, 0] += np.einsum("ij,ij->i", g, g)
-                self.w[k] -= RATE * g / np.sqrt(grow[k])
+                g *= RATE / np.sqrt(grow[k])
+                self.w[k] -= g
         update, self.w = self.w - old, old
         return update, seen
 
@@ -257,9 +257,8 @@ def pair_factors(key: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
     total = np.add.reduceat(n, at).astype(float)
-    some = [max(1, int((n == i).sum())) for i in (1, 2, 3, 4)]
-    y = some[0] / (some[0] + 2 * some[1])
-    discount = np.array([0.0, *(np.clip(i - (i + 1) * y * some[i] / some[i - 1], 0.1 * i, 0.95 * i) for i in (1, 2, 3))])[np.minimum(n, 3)]
+    once, twice = int((n == 1).sum()), int((n == 2).sum())
+    discount = np.where(n > 0, np.clip(once / max(1, once + 2 * twice), 0.1, 0.95), 0.0)
     want = (n - discount) / np.maximum(total, 1)[of]
     active = n > 0
     while True:
@@ -271,6 +270,21 @@ def pair_factors(key: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
         active &= ~low
 
 
+def _row_sums(row: np.ndarray, z: np.ndarray, short: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of row, and the sums of the rows of z that have each: short runs together, long ones one by one."""
+    order = np.argsort(row.astype(np.uint16), kind="stable")
+    r, z = row[order], np.take(z, order, axis=0)
+    at = np.flatnonzero(np.diff(r, prepend=-1))
+    size = np.diff(np.append(at, len(r)))
+    out = np.take(z, at, axis=0)
+    for i in range(1, short):
+        some = np.flatnonzero((size > i) & (size <= short))
+        out[some] += np.take(z, at[some] + i, axis=0)
+    for j in np.flatnonzero(size > short).tolist():
+        np.add.reduce(z[at[j] : at[j] + size[j]], axis=0, out=out[j])
+    return r[at], out
+
+
 #: Bytes of a slice of a summed array.
 PIECE = 1 << 16
 
