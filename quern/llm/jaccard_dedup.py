@@ -1,12 +1,15 @@
-"""Near duplicates by the Jaccard similarity of word shingles: an exact set-similarity join.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash ball hashing, completed to an exact similarity join.
 
-Texts are sets of hashed shingles of ``words`` words; equal sets are one class. Two sets of similarity ``least`` or more
+Texts are sets of hashed shingles of ``words`` words; equal sets are one class. Classes whose SimHash fingerprints lie in one
+ball (see simhash) are compared first. Fingerprints of texts as alike as ``least`` may differ in a dozen bits, far outside any
+ball whose variants can be listed, so the rest of the pairs comes from prefixes: two sets of similarity ``least`` or more
 share an element among the first n - ceil(least * n) + 1 of each in any common order (prefix filter), so classes that meet
 at such an element are all the candidates there are. Shingles that a sample of texts holds often come last in the order:
 the sample decides how many candidates there are, never which pairs are found.
 
 Candidates are compared by their whole sets. First each class of an element is compared with few others, then all pairs of
 classes that share an element and are not in one component yet: a large group of copies costs no pair for each two members.
+Of these last pairs a task first rules out those whose bitmaps (a parity bit for each hash value) differ in more bits than alike sets can.
 
 Defined cases: words are parted by ASCII white space, ASCII letters are folded; texts of fewer than ``words`` words have their whole word
 sequence as only shingle; null texts and texts of white space have the empty set and are alike. Shingles and
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, mix, rolling, slices, small_batches, span_hashes, text_buffers, word_spans
 from .components import connected_components
-from .simhash import _fold_case
+from .simhash import _fold_case, majority, near_links
 
 WORDS = 5
 LEAST = 0.8
@@ -32,6 +35,8 @@ SAMPLE, OFTEN, MOST_OFTEN = 20_000, 4, 500_000
 MOST_SENT = 4_000_000
 #: Rounds that compare few pairs of each class, before all that are left.
 TURNS, PICKS = 3, 8
+#: Bytes of a set's bitmap.
+MAP_BYTES = 256
 _BASE = 0xD6E8FEB86659FD93
 _SLACK = 1e-9
 
@@ -74,6 +79,20 @@ def prefixes(v: np.ndarray, at: np.ndarray, often: tuple[np.ndarray, np.ndarray]
     return ranked[np.arange(len(v)) - at[:-1][d] < k[d]], np.concatenate([[0], np.cumsum(k)])
 
 
+def bitmaps(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of MAP_BYTES bytes for each set: a bit for each value of a hash, set where an odd number of elements has it.
+
+    Two rows differ in at most as many bits as the sets differ in elements, so they can rule a pair out but never lose one.
+    """
+    n, bits = len(at) - 1, 8 * MAP_BYTES
+    place = np.repeat(np.arange(n), np.diff(at)) * bits + (mix(v ^ np.uint64(_BASE >> 1)) % np.uint64(bits)).astype(np.int64)
+    place, count = np.unique(place, return_counts=True)
+    place = place[count % 2 == 1]
+    out = np.zeros(n * MAP_BYTES, np.uint8)
+    np.bitwise_or.at(out, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    return out.reshape(n, MAP_BYTES)
+
+
 def _often(texts: DataFrame, words: int):
     """Shingles that many texts of a sample have, ascending, and in how many."""
     n = texts.count()
@@ -98,7 +117,7 @@ def _buckets(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        now = [c.to_numpy() for c in b.columns]
+        now = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns]
         if held is not None:
             now = [np.concatenate([a, c]) for a, c in zip(held, now, strict=True)]
         cut = np.flatnonzero(np.diff(now[0])) + 1
@@ -121,50 +140,44 @@ def _pairs_out(found: list):
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def _candidates(hits: DataFrame, least: float, turn: int | None) -> DataFrame:
-    """Distinct pairs (a < b) of classes of one bucket (v, key, n, at, part), of unlike parts, that may be alike.
+def _fit(n, at, part, least: float):
+    """A test of places i and j of a bucket's classes: of unlike parts, and no more than what follows the shared shingle can be common."""
+    share = least / (1 + least)
+
+    def ok(i, j):
+        return (part[i] != part[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= share * (n[i] + n[j]) - _SLACK)
+
+    return ok
+
+
+def _candidates(hits: DataFrame, least: float, turn: int) -> DataFrame:
+    """Some distinct pairs (a < b) of classes of one bucket (v, key, n, at, part), of unlike parts, that may be alike.
 
-    turn None: all of them; 0: each class with the first of those of fit size and with the one before it; 1, 2, ...: each
-    class with PICKS of fit size that its key, the bucket and the turn choose.
+    turn 0: each class with the first of those of fit size and with the one before it; 1, 2, ...: each class with PICKS
+    of fit size that its key, the bucket and the turn choose.
     """
-    share = least / (1 + least)
 
     def of(batches):
         found, size = [], 0
-
-        def meet(i, j):
-            nonlocal size
-            # at the first shingle that two sets share, no more than what follows it can be common
-            most = np.minimum(n[i] - at[i], n[j] - at[j])
-            ok = (part[i] != part[j]) & (most >= share * (n[i] + n[j]) - _SLACK)
-            i, j = np.broadcast_arrays(i, j)
-            found.append((key[i[ok]], key[j[ok]]))
-            size += int(ok.sum())
-
         for v, key, n, at, part in _buckets(batches):
             order = np.lexsort((key, part, n))
             key, n, at, part = key[order], n[order].astype(np.int64), at[order].astype(np.int64), part[order]
             if (part == part[0]).all():
                 continue
-            top = np.searchsorted(n, np.floor(n / least + _SLACK), "right")
-            i = np.arange(len(key))
-            if turn is None:
-                for k in range(len(key) - 1):
-                    meet(np.int64(k), np.arange(k + 1, top[k]))
-                    if size > 1_000_000:
-                        yield _pairs_out(found)
-                        found, size = [], 0
-            elif turn:
+            fit, top, i = _fit(n, at, part, least), np.searchsorted(n, np.floor(n / least + _SLACK), "right"), np.arange(len(key))
+            if turn:
                 low = np.searchsorted(n, np.ceil(least * n - _SLACK), "left")
-                for k in range(PICKS):
-                    pick = mix(key.view(np.uint64) ^ mix(np.array([v[0]]).view(np.uint64) + np.uint64(PICKS * turn + k)))
-                    meet(i, low + (pick % (top - low).astype(np.uint64)).astype(np.int64))
+                picks = [mix(key.view(np.uint64) ^ mix(np.array([v[0]]).view(np.uint64) + np.uint64(PICKS * turn + k))) for k in range(PICKS)]
+                meets = [(i, low + (pick % (top - low).astype(np.uint64)).astype(np.int64)) for pick in picks]
             else:
                 lead = np.zeros(len(key), np.int64)
                 for k in range(1, len(key)):
                     lead[k] = lead[k - 1] if top[lead[k - 1]] > k else k
-                meet(i, lead)
-                meet(i[1:], i[:-1])
+                meets = [(i, lead), (i[1:], i[:-1])]
+            for x, y in meets:
+                ok = fit(x, y)
+                found.append((key[x[ok]], key[y[ok]]))
+                size += int(ok.sum())
             if size > 100_000 or len(found) > 10_000:
                 if size:
                     yield _pairs_out(found)
@@ -175,6 +188,58 @@ def _candidates(hits: DataFrame, least: float, turn: int | None) -> DataFrame:
     return _sorted_by_shingle(hits.select("v", "key", "n", "at", "part")).mapInArrow(of, "a long, b long").distinct()
 
 
+def _open(hits: DataFrame, least: float) -> DataFrame:
+    """The rows of hits that have any class of an unlike part to be compared with in their bucket."""
+
+    def of(batches):
+        for v, key, n, at, part in _buckets(batches):
+            if (part == part[0]).all():
+                continue
+            order = np.argsort(n, kind="stable")
+            v, key, n, at, part = (x[order] for x in (v, key, n.astype(np.int64), at.astype(np.int64), part))
+            fit, top, some = _fit(n, at, part, least), np.searchsorted(n, np.floor(n / least + _SLACK), "right"), np.zeros(len(key), bool)
+            for k in range(len(key) - 1):
+                j = np.arange(k + 1, top[k])
+                j = j[fit(np.int64(k), j)]
+                some[j] = True
+                some[k] |= len(j) > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (v, key, n, at, part)], names=["v", "key", "n", "at", "part"])
+
+    return _sorted_by_shingle(hits.select("v", "key", "n", "at", "part")).mapInArrow(_joined(of), "v long, key long, n long, at long, part long")
+
+
+def _all_candidates(rows: DataFrame, least: float) -> DataFrame:
+    """All distinct pairs (a < b) of classes of one bucket (v, key, n, at, part, bits), of unlike parts, that may be alike.
+
+    A pair whose bitmaps differ in more bits than alike sets can differ in elements stays in the task: a large group of
+    texts that are nearly but not quite alike costs no row for each two of them.
+    """
+    apart = (1 - least) / (1 + least)
+
+    def of(batches):
+        found, size = [], 0
+        for _, key, n, at, part, bits in _buckets(batches):
+            order = np.argsort(n, kind="stable")
+            key, n, at, part = (x[order] for x in (key, n, at, part))
+            maps = np.frombuffer(b"".join(bits[order]), np.uint64).reshape(len(key), -1)
+            fit, top = _fit(n, at, part, least), np.searchsorted(n, np.floor(n / least + _SLACK), "right")
+            for k in range(len(key) - 1):
+                j = np.arange(k + 1, top[k])
+                j = j[fit(np.int64(k), j)]
+                j = j[np.bitwise_count(maps[j] ^ maps[k]).sum(axis=1, dtype=np.int64) <= apart * (n[k] + n[j]) + _SLACK]
+                found.append((np.full(len(j), key[k]), key[j]))
+                size += len(j)
+                if size > 100_000 or len(found) > 100_000:
+                    if size:
+                        yield _pairs_out(found)
+                    found, size = [], 0
+        if size:
+            yield _pairs_out(found)
+
+    return _sorted_by_shingle(rows.select("v", "key", "n", "at", "part", "bits")).mapInArrow(of, "a long, b long").distinct()
+
+
 def _shared(prefix: DataFrame) -> DataFrame:
     """Rows (v, key, n, at) whose shingle another class has too."""
 
@@ -240,6 +305,18 @@ def _alike(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
 
 
+def _in_one_ball(known: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) that connect the classes of (key, fp) whose fingerprints are equal or linked."""
+    classes = known.select("key", "fp").distinct()
+    lead = classes.groupBy("fp").agg(F.min("key").alias("lead"))
+    links = near_links(lead.select("fp").repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.bitwise_not("fp")))
+    side = lambda c, name: lead.select(F.col("fp").alias(c), F.col("lead").alias(name))
+    across = links.join(side("u", "a"), "u").join(side("v", "b"), "v").select("a", "b")
+    # a key of its own, and so an exchange of its own: Spark splits it where a fingerprint has many classes
+    inside = classes.withColumn("~fp", F.bitwise_not("fp")).join(lead.select(F.bitwise_not("fp").alias("~fp"), "lead"), "~fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    return across.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(rows: DataFrame, *, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(row, key, component) for each row of rows (row, text): rows of one component are linked by pairs that are alike."""
     spark = rows.sparkSession
@@ -252,16 +329,23 @@ def near_duplicates(rows: DataFrame, *, words: int = WORDS, least: float = LEAST
                 v, at, key = shingle_sets(s.column(1), words)
                 few, cut = prefixes(v, at, often.value, least)
                 first = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(few.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(key.view(np.int64)), pa.array(np.diff(at).astype(np.int32)), first], names=["row", "key", "n", "first"])
+                maps = pa.array([x.tobytes() for x in bitmaps(v, at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(key.view(np.int64)), pa.array(np.diff(at).astype(np.int32)), first, maps, pa.array(majority(v, at).view(np.int64))], names=["row", "key", "n", "first", "bits", "fp"])
 
-    known = materialise(rows.select("row", "text").mapInArrow(own, "row long, key long, n int, first array<long>"), "prefixes")
+    known = materialise(rows.select("row", "text").mapInArrow(own, "row long, key long, n int, first array<long>, bits binary, fp long"), "prefixes")
     classes = known.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first"))
     hits = materialise(_shared(classes.select("key", "n", F.posexplode("first").alias("at", "v")).select("v", "key", "n", "at")), "shared").withColumn("part", F.col("key"))
     edges = pairs = parts = None
-    for turn in (*range(TURNS), None):
+    for turn in ("ball", *range(TURNS), None):
         if parts is not None:
             hits = hits.drop("part").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
-        new = _candidates(hits, least, turn)
+        if turn is None:
+            some = materialise(_open(hits, least), "open")
+            maps = known.select("key", "bits").join(some.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("bits").alias("bits"))
+            # the join gets a key and so an exchange of its own: Spark splits it where a class is in many buckets
+            new = _all_candidates(some.withColumn("~key", F.bitwise_not("key")).join(maps.select(F.bitwise_not("key").alias("~key"), "bits"), "~key"), least)
+        else:
+            new = _in_one_ball(known) if turn == "ball" else _candidates(hits, least, turn)
         new = materialise(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = new if pairs is None else pairs.unionByName(new)
         alike = materialise(_alike(rows, new, words, least), "alike")

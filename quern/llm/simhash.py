@@ -28,14 +28,24 @@ def _fold_case(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each run h[at[i] : at[i + 1]] the bits that are set in over half its hashes; zero for empty runs."""
+    k = np.diff(at)
+    out, some = np.zeros(len(k), np.uint64), np.flatnonzero(k)
+    if len(some):
+        for bit in range(BITS):
+            ones = np.add.reduceat((h >> np.uint64(bit) & np.uint64(1)).astype(np.int64), at[:-1][some])
+            out[some] |= (2 * ones > k[some]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def fingerprints_of(col, words: int = 3) -> np.ndarray:
     """Fingerprints (unsigned) of a string column."""
     data, off = text_buffers(col)
     data = _fold_case(data)
     starts, ends, first = word_spans(data, off)
-    out = np.zeros(len(off) - 1, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(len(off) - 1, np.uint64)
     lens = ends - starts
     # all words joined by one space: a shingle is one run of these bytes
     put = np.concatenate([[0], np.cumsum(lens + 1)])
@@ -50,12 +60,7 @@ def fingerprints_of(col, words: int = 3) -> np.ndarray:
     begin = first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k))
     last = np.where(full[doc], begin + words, first[1:][doc]) - 1
     h = np.fromiter((digest(raw[a:b], 42) for a, b in zip(put[begin].tolist(), (put[last] + lens[last]).tolist(), strict=True)), np.uint64, len(doc))
-    some = np.flatnonzero(k)
-    at = (np.cumsum(k) - k)[some]
-    for bit in range(BITS):
-        ones = np.add.reduceat((h >> np.uint64(bit) & np.uint64(1)).astype(np.int64), at)
-        out[some] |= (2 * ones > k[some]).astype(np.uint64) << np.uint64(bit)
-    return out
+    return majority(h, np.concatenate([[0], np.cumsum(k)]))
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,3 +100,25 @@ def test_rows_of_one_id_with_other_texts_stay(spark, data):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
     got = [(r.doc_id, r.text) for r in pipeline.one_of_each_group(spark, docs, data).collect()]
     assert sorted(got, key=str) == sorted([texts[1], texts[2], texts[3], texts[5]], key=str)
+
+
+def test_leaks_of_null_and_repeated_ids_go(spark, data):
+    item = spark.read.parquet(f"{data}/benchmark.parquet").orderBy("item_id").first().text
+    clean = "not one of these words stands in any test item " * 3
+    schema = spark.read.parquet(f"{data}/documents.parquet").schema
+    rows = [(None, "before " + item), (None, clean), (4, item + " after"), (4, clean), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in pipeline.drop_leaks(spark, docs, data).collect()]
+    assert sorted(got, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_bitmaps_lose_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 500, n)).astype(np.uint64) for n in (0, 1, 40, 300, 450, 450)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    maps = jaccard_dedup.bitmaps(np.concatenate(sets), at)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(maps[i] ^ maps[j]).sum() <= len(np.setxor1d(a, b))
