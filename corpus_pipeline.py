@@ -29,6 +29,8 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of texts linked by a Jaccard similarity of 0.8 or more over five-word shingles.
 
+    SimHash balls (op8's method) give the first candidates; pairs outside them come from an exact similarity join.
+
     A row is known by its doc_id and text; of rows that agree in both, one stays. Null doc_ids come after all others.
     """
     row = F.xxhash64("doc_id", "text").alias("row")
@@ -39,10 +41,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found. A row is known by its doc_id and text, null or repeated ids included."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.leaks(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    found = decontaminate.leaks(rows, items, id_col="row").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
