@@ -183,3 +183,41 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     out[0] = np.frombuffer(b, np.uint64, 1, 1)[0]
     out[1:] = np.frombuffer(b, np.uint32, offset=9)
     return np.cumsum(out, dtype=np.uint64)
+
+
+#: Bytes of a slice of a summed array.
+PIECE = 1 << 16
+
+
+def summed(blobs: DataFrame, size: int, kind: str) -> np.ndarray:
+    """Sum of the arrays of ``size`` numbers in the column x.
+
+    Each task sums what it has and sends slices; a slice's sums meet in one task. So the driver gets one array of ``size``
+    numbers, however many chunks and partitions there are.
+    """
+    wide = "<f8" if kind == "<f4" else "<i8"
+    step = PIECE // 8
+    n = -(-size // step)
+    made = "piece int, x binary"
+
+    def here(batches):
+        total = None
+        for b in batches:
+            for x in b.column(0):
+                part = np.frombuffer(x.as_buffer(), kind)
+                total = part.astype(wide) if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(n)], pa.binary())], names=["piece", "x"])
+
+    def met(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(x.as_buffer(), wide)
+                total[i] = total[i] + part if i in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "x"])
+
+    out = np.zeros(size, wide)
+    for i, x in blobs.select("x").mapInArrow(here, made).repartition(min(n, 32), "piece").mapInArrow(met, made).toLocalIterator():
+        out[i * step : (i + 1) * step] = np.frombuffer(x, wide)
+    return out

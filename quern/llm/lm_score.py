@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, span_hashes, text_buffers, word_spans
+from .common import materialise, mix, slices, span_hashes, summed, text_buffers, word_spans
 from .substring_dedup import _bucket, _runs, chunked
 
 CHUNK_BYTES = 6 << 20
@@ -285,44 +285,6 @@ def _row_sums(row: np.ndarray, z: np.ndarray, short: int = 8) -> tuple[np.ndarra
     return r[at], out
 
 
-#: Bytes of a slice of a summed array.
-PIECE = 1 << 16
-
-
-def _summed(blobs: DataFrame, size: int, kind: str) -> np.ndarray:
-    """Sum of the arrays of ``size`` numbers in the column x.
-
-    Each task sums what it has and sends slices; a slice's sums meet in one task. So the driver gets one array of ``size``
-    numbers, however many chunks and partitions there are.
-    """
-    wide = "<f8" if kind == "<f4" else "<i8"
-    step = PIECE // 8
-    n = -(-size // step)
-    made = "piece int, x binary"
-
-    def here(batches):
-        total = None
-        for b in batches:
-            for x in b.column(0):
-                part = np.frombuffer(x.as_buffer(), kind)
-                total = part.astype(wide) if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(n)], pa.binary())], names=["piece", "x"])
-
-    def met(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(x.as_buffer(), wide)
-                total[i] = total[i] + part if i in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "x"])
-
-    out = np.zeros(size, wide)
-    for i, x in blobs.select("x").mapInArrow(here, made).repartition(min(n, 32), "piece").mapInArrow(met, made).toLocalIterator():
-        out[i * step : (i + 1) * step] = np.frombuffer(x, wide)
-    return out
-
-
 def _note(facts: np.ndarray, often, counts: np.ndarray) -> bytes:
     """Sums of a bucket, or of many: four numbers, the TOP most frequent words (hashes, counts, endings), and counts by ending."""
     return np.array([len(often[0]), *facts], np.int64).tobytes() + b"".join(x.tobytes() for x in often) + counts.astype(np.int64).tobytes()
@@ -427,7 +389,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     top = np.sort(np.array([(h, i) for i, (_, h, _) in enumerate(often)], _TOP), order="h")
     own = replies.where("chunk >= 0").groupBy("chunk")
 
-    near = _summed(replies.where("chunk = -2").select(F.col("totals").alias("x")), ENDINGS * NEAR, "<i8").reshape(ENDINGS, NEAR)
+    near = summed(replies.where("chunk = -2").select(F.col("totals").alias("x")), ENDINGS * NEAR, "<i8").reshape(ENDINGS, NEAR)
     cluster = _clusters(near.astype(float), counts[0].astype(float), CLUSTERS)
     rest, kinds, twice = counts.astype(float)
     for c, _, e in often[:OWN]:
@@ -460,7 +422,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         shared = spark.sparkContext.broadcast(model)
         mine = F.pmod("chunk", F.lit(ROUNDS)) == r
         blobs = _packed(dealt.where(mine)).groupBy("chunk").cogroup(replies.where((F.col("chunk") >= 0) & mine).groupBy("chunk")).applyInArrow(updates(shared), "chunk int, x binary")
-        total = _summed(blobs, FEATURES * (CLASSES + 1), "<f4")
+        total = summed(blobs, FEATURES * (CLASSES + 1), "<f4")
         seen = total[FEATURES * CLASSES :, None]
         model.w = (model.w + total[: FEATURES * CLASSES].reshape(FEATURES, CLASSES) / np.maximum(seen, 1)).astype(np.float32)
     final = spark.sparkContext.broadcast(model)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quern.llm import bpe, components, decontaminate, embed_dedup, line_dedup, lm_score, pii, simhash, substring_dedup, token_counts, toxicity
+from quern.llm import bpe, common, components, decontaminate, embed_dedup, line_dedup, lm_score, pii, simhash, substring_dedup, token_counts, toxicity
 
 DOC = "doc_id long, text string"
 ODD = [(None, "a b c"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "x " * 30_000), (6, "same text here"), (6, "same text here"), (7, "same text here"), (8, "é漢😀 <|endoftext|> '"), (9, "a@b.c")]
@@ -293,8 +293,8 @@ def test_lm_sums_do_not_depend_on_partitions(spark):
     x = rng.integers(0, 1000, (50, 20_000))
     rows = spark.createDataFrame([(bytearray(v.astype("<i8").tobytes()),) for v in x], "x binary")
     for k in (1, 7, 60):
-        assert (lm_score._summed(rows.repartition(k), 20_000, "<i8") == x.sum(axis=0)).all()
-    assert (lm_score._summed(rows.limit(0), 20_000, "<i8") == 0).all()
+        assert (common.summed(rows.repartition(k), 20_000, "<i8") == x.sum(axis=0)).all()
+    assert (common.summed(rows.limit(0), 20_000, "<i8") == 0).all()
 
 
 def test_lm_odd_rows(odd, none):
@@ -319,19 +319,39 @@ def test_toxicity_held_out(spark, docs, data):
 
 def test_nearest_equals_brute_force():
     rng = np.random.default_rng(2)
-    n, v = 600, 30
+    n, v = 600, 300
     r, t = np.nonzero(rng.random((n, v)) < 0.1)
-    m = toxicity.Model(np.arange(v, dtype=np.uint64), rng.random(v) + 1, np.arange(n), (rng.random(n) < 0.3).astype(float), r, t, rng.integers(1, 5, len(r)).astype(float), np.full(n, 50.0), np.ones(n), 0.3)
-    x = np.zeros((len(m.ids), v))
-    for b, (slot, part) in enumerate(m.blocks):
-        x[b * toxicity.BLOCK : b * toxicity.BLOCK + len(part)][:, slot >= 0] = part
-    for _ in range(50):
-        q = rng.random(v) * (rng.random(v) < 0.2)
+    count, weight = rng.integers(1, 5, len(r)).astype(float), rng.random(v) + 0.01
+    labels = (rng.random(n) < 0.3).astype(float)
+    m = toxicity.Model(np.arange(v, dtype=np.uint64), weight, np.arange(n), labels, r, t, count, 0.3)
+    x = np.zeros((n, v))
+    x[r, t] = (1 + np.log(count)) * weight[t]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for _ in range(100):
+        q = rng.random(v) * (rng.random(v) < rng.choice([0.01, 0.05, 0.3]))
         if q.any():
             q /= np.linalg.norm(q)
             at, s = m.nearest(np.flatnonzero(q), q[q > 0])
-            want = np.sort(x @ q)[::-1]
-            assert np.allclose(s, want[want > 0][: toxicity.K])
+            cos = x @ q
+            want = np.sort(cos)[::-1][: toxicity.K]
+            assert np.allclose(s, want[want > 0]) and np.allclose(cos[m.ids[at]], s)
+            assert (m.labels[at] == labels[m.ids[at]]).all()
+
+
+def test_toxicity_finds_evidence_for_nearly_all(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    got = toxicity.score(docs, model).where("text rlike '[a-zA-Z]{2}'").agg(F.avg((F.size("nearest") > 0).cast("double")), F.countDistinct("toxic_score")).first()
+    assert got[0] > 0.99 and got[1] > 500
+
+
+def test_toxicity_columns_of_the_same_names(spark):
+    docs = spark.createDataFrame([(1, "some words", "mine", 7.0), (2, None, "mine", 7.0)], "doc_id long, text string, nearest string, toxic_score double")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels))
+    assert got.columns == ["doc_id", "text", "toxic_score", "toxic_predicted", "nearest", "similarity"] and all(0 <= r.toxic_score <= 1 for r in got.collect())
 
 
 def test_toxicity_odd_rows(spark, odd, none):
