@@ -1,28 +1,33 @@
 """Line dedup by pairwise alignment with patience diff.
 
-Lines are hashed; a line that tells documents apart (``words`` words or more) links every document that holds it to
-the earliest one that does, so a line costs one link for each document however common it is, and rare
-lines find all overlaps. Each pair is aligned with patience diff: lines that occur once in both are matched, the
-longest run of matches in the same order is kept, matches grow over equal neighbours and gaps are aligned the same way.
-Aligned blocks that hold a telling line are deleted from the later document.
+Lines are hashed. A line of ``words`` words or more tells documents apart; it links every document that holds it to the
+earliest one that does, and so does each run of 2, 4, 8, ... such lines in a row, which is rarer: a document that holds a longer
+part of some earlier document in its order is linked to one that has this part in the same order, even where the lines alone
+lead to others. A line or a run costs one link for each document, however common it is. Each pair is aligned with patience
+diff: lines that occur once in both are matched, the longest run of matches in the same order is kept, matches grow over equal
+neighbours and gaps are aligned the same way. Aligned blocks that hold a telling line are deleted from the later document.
 
 Lines end at line feeds; white space at their ends does not count. Null or empty texts stay as they are. A null doc_id comes before
 all others; rows that share a doc_id are never each other's earlier document. A document keeps its row even if no line is left.
+Columns of any other name, repeated or odd ones included, stay as they are.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices, small_batches
+from .common import materialise, rolling, slices, small_batches
 
 WORDS = 4
+#: Lengths of the runs of telling lines that link documents.
+RUNS = tuple(1 << i for i in range(8))
 _LEAST = -(1 << 63)
 
 
@@ -36,6 +41,12 @@ def line_hashes(text: str | None, words: int = WORDS) -> list[int]:
     return out
 
 
+def links_of(lines: list[int]) -> list[int]:
+    """Distinct hashes of the telling lines and of their runs."""
+    told = np.array([x for x in lines if x & 1], np.int64).view(np.uint64)
+    return np.unique(np.concatenate([rolling(told, n, 0x9E3779B97F4A7C15 + 2 * n) for n in RUNS])).view(np.int64).tolist()
+
+
 def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence that ascends in both places; pairs ascend in the first."""
     tops: list[int] = []
@@ -112,16 +123,23 @@ def common_lines(earlier: list[int], later: list[int]) -> list[int]:
 def dedup_lines(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines cut from text_col, and the columns n_lines and n_removed_lines, which replace any of these names."""
     small_batches(docs.sparkSession)
-    uid = F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
+    made = T.StructType.fromDDL("n_lines long, n_removed_lines long")
+    docs = docs.drop(*made.names)
+    names, fields = docs.columns, docs.schema.fields
+    # names of our own: none of the caller's can clash with what is added
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    id_, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    uid = F.xxhash64(F.lit(7), id_, text)
+    order = F.coalesce(id_.cast("long"), F.lit(_LEAST))
 
     def hashed(batches):
         for b in batches:
             for s in slices(b):
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array([line_hashes(t, words) for t in s.column(1).to_pylist()], pa.list_(pa.int64()))], names=["at", "uid", "lines"])
+                lines = [line_hashes(t, words) for t in s.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(lines, pa.list_(pa.int64())), pa.array([links_of(x) for x in lines], pa.list_(pa.int64()))], names=["at", "uid", "lines", "links"])
 
-    signs = materialise(docs.select(order.alias("at"), F.col(text_col).alias("text"), uid.alias("uid")).mapInArrow(hashed, "at long, uid long, lines array<long>"), "lines")
-    held = signs.select("at", "uid", F.explode(F.array_distinct("lines")).alias("line")).where("line % 2 <> 0")
+    signs = materialise(docs.select(order.alias("at"), text.alias("text"), uid.alias("uid")).mapInArrow(hashed, "at long, uid long, lines array<long>, links array<long>"), "lines")
+    held = signs.select("at", "uid", F.explode("links").alias("line"))
     owner = held.groupBy("line").agg(F.min(F.struct("at", "uid")).alias("first"), F.max("at").alias("last")).where("first.at < last")
     # an aggregate above the join's own exchange keeps Spark from splitting a hot key; a key of its own has an exchange of its own
     apart = lambda c: F.bitwise_not(F.col(c))
@@ -137,12 +155,9 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([common_lines(e, x) for e, x in zip(earlier, later, strict=True)], pa.list_(pa.int32()))], names=["uid", "cut"])
 
     cuts = both.select("uid", "lines", "earlier").mapInArrow(aligned, "uid long, cut array<int>").where("size(cut) > 0")
-    cuts = cuts.select(F.col("uid").alias("__uid"), F.explode("cut").alias("i")).distinct().groupBy("__uid").agg(F.collect_list("i").alias("__cut"))
-    made = T.StructType.fromDDL("n_lines long, n_removed_lines long")
-    docs = docs.drop(*made.names)
-    names = docs.columns
-    tagged = docs.select(*(F.col(f"`{c}`") for c in names), uid.alias("__key")).join(cuts, F.col("__key") == F.col("__uid"), "left").select(*(F.col(f"`{c}`") for c in names), "__cut")
-    schema = T.StructType([*tagged.schema.fields[:-1], *made.fields])
+    cuts = cuts.select("uid", F.explode("cut").alias("i")).distinct().groupBy("uid").agg(F.collect_list("i").alias("cut"))
+    tagged = docs.withColumn("uid", uid).join(cuts, "uid", "left").select(*docs.columns, "cut")
+    schema = T.StructType([*fields, *made.fields])
 
     def rewritten(batches):
         for b in batches:

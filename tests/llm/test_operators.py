@@ -127,21 +127,84 @@ def test_patience_matches_in_order():
     assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
 
 
-def test_line_dedup_equals_brute_force(docs, rows):
-    hashes = {d: line_dedup.line_hashes(t) for d, t in rows}
-    owner = {}
-    for d in sorted(hashes):
-        for h in hashes[d]:
-            if h & 1:
-                owner.setdefault(h, d)
-    want = {}
-    for d, t in rows:
-        cut = set()
-        for o in {owner[h] for h in hashes[d] if h & 1}:
-            if o < d:
-                cut |= set(line_dedup.common_lines(hashes[o], hashes[d]))
-        want[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut)
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
+def aligned(a, b):
+    """Pairs of equal lines by patience: unique common lines in their longest common order, and the same between them."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in aligned(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return aligned(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if not once:
+        out, low = [], -1
+        for j, x in enumerate(b):
+            if x in a[low + 1 :]:
+                low = a.index(x, low + 1)
+                out.append((low, j))
+        return out
+    best = []
+    for i, j in once:
+        best.append(max(([*c, (i, j)] for c in [[], *best] if not c or c[-1][1] < j), key=len))
+    out, last = [], (-1, -1)
+    for i, j in [*max(best, key=len), (len(a), len(b))]:
+        out += [(last[0] + 1 + x, last[1] + 1 + y) for x, y in aligned(a[last[0] + 1 : i], b[last[1] + 1 : j])]
+        if i < len(a):
+            out.append((i, j))
+        last = (i, j)
+    return out
+
+
+def cut_by(earlier, later):
+    """Lines of the later text in aligned blocks with a line of four words."""
+    a, b = ([x.strip() for x in t.split("\n")] for t in (earlier, later))
+    runs, out = [], set()
+    for i, j in aligned(a, b):
+        if runs and runs[-1][-1] == (i - 1, j - 1):
+            runs[-1].append((i, j))
+        else:
+            runs.append([(i, j)])
+    for run in runs:
+        if any(len(b[j].split()) >= 4 for _, j in run):
+            out |= {j for _, j in run}
+    return out
+
+
+def test_line_dedup_finds_what_all_pairs_find(spark, docs, rows):
+    rng = random.Random(6)
+    lines = [" ".join(f"v{rng.randrange(10**4)}" for _ in range(5)) for _ in range(60)]
+    made = []
+    for i in range(60):
+        t = lines.copy()
+        a, b = sorted(rng.sample(range(60), 2))
+        t = rng.choice([t[a:b], t[a:b][::-1], t[b:] + t[:a], rng.sample(t, 8)])
+        made.append((50_000 + i, "\n".join([f"an own line of text {i}", *t])))
+    texts = sorted([*rows, *made])
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(texts, DOC)).collect()}
+    told = {d: {x.strip() for x in t.split("\n") if len(x.split()) >= 4} for d, t in texts}
+    before = {d: {x.strip() for x in t.split("\n")} for d, t in texts}
+    every = found = 0
+    for n, (d, t) in enumerate(texts):
+        want = set().union(*(cut_by(e, t) for c, e in texts[:n] if told[c] & told[d]))
+        gone = Counter(t.split("\n")) - Counter(got[d].text.split("\n"))
+        assert all(any(x.strip() in before[c] for c, _ in texts[:n]) for x in gone)
+        every, found = every + len(want), found + got[d].n_removed_lines
+    assert every > 300 and 0.95 * every <= found <= 1.05 * every
+
+
+def test_line_dedup_sees_past_the_earliest_holder(spark):
+    lines = [f"line number {w} of twelve" for w in "a b c d e f g h i j k l".split()]
+    mixed = [lines[i] for i in (5, 2, 9, 0, 7, 11, 3, 1, 10, 4, 8, 6)]
+    docs = spark.createDataFrame([(1, "\n".join(mixed)), (2, "\n".join(lines)), (3, "\n".join(lines))], DOC)
+    assert {r.doc_id: r.n_removed_lines for r in line_dedup.dedup_lines(docs).collect()}[3] == 12
+
+
+def test_line_dedup_keeps_odd_columns(spark):
+    text = "four words are here\nx"
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, text, 1, 2, 3, 4)], "doc_id long, text string, __key int, uid int, cut int, `a``b` int")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "__key", "uid", "cut", "a`b", "n_lines", "n_removed_lines"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, text, 1, 2, 3, 4, 2, 0), (2, "", 1, 2, 3, 4, 2, 2)]
 
 
 def test_line_dedup_odd_rows(spark, odd, none):
