@@ -525,3 +525,25 @@ def test_pii_marks_disclosing_terms(spark, none):
     clean = {r.doc_id: r.text for r in pii.sanitise(found).collect()}
     assert clean[0].startswith("Contact  Smith,") and "[EMAIL]" in clean[0] and clean[100] == dict(rows)[100]
     assert pii.find(none).count() == 0
+
+
+def test_pii_terms_far_away_and_in_other_texts(spark):
+    fill = " ".join(f"filler{i}" for i in range(40))
+    rows = [(i, f"l'Orsavel d'une {fill} call ann@corp.com or x {i}") for i in range(6)]
+    rows += [(50 + i, f"d'une {fill} call me or x {i}") for i in range(300)] + [(999, "Orsavel stands alone"), (None, "ORSAVEL ann@corp.com Orsavel@corp.com")]
+    found = {r.doc_id: [(s.kind, s.start, s.end, s.value) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, DOC)).collect()}
+    assert ("term", 2, 9, "orsavel") in found[0] and all(v not in ("une", "call", "filler7", "ann", "corp") for *_, v in found[0])
+    assert found[999] == [("term", 0, 7, "orsavel")] and found[50] == []
+    assert found[None] == [("term", 0, 7, "orsavel"), ("email", 8, 20, "ann@corp.com"), ("email", 21, 37, "Orsavel@corp.com")]
+
+
+def test_pii_of_kinds(spark):
+    rows = [(i, f"telefoon {i} +31 20 555 01{i:02d} graag") for i in range(8)] + [(100 + i, f"graag {i} iets anders") for i in range(150)]
+    told = {s.value for r in pii.find(spark.createDataFrame(rows, DOC)).collect() for s in r.spans if s.kind == "term"}
+    assert told == {"telefoon"}
+
+
+def test_pii_many_entities_in_one_text(spark):
+    texts = [(1, " ".join(f"a{i}@b.cc," for i in range(3000))), (2, " ".join(f"{i * 7919 % 10**9:09d}," for i in range(20_000)))]
+    got = {r.doc_id: len(r.base) for r in pii.find(spark.createDataFrame(texts, DOC)).collect()}
+    assert got == {1: 3000, 2: 0}
