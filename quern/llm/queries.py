@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
-from .decontaminate import LEAST_WORDS, MASKS, MATCHES, SPAN, op2_decontaminate
+from .decontaminate import EXACT, LEAST_WORDS, MASKS, MATCHES, op2_decontaminate
 from .embed_dedup import op10_embedding_near_dedup
 from .line_dedup import op3_line_dedup
 from .lm_score import op6_lm_score
@@ -40,17 +40,17 @@ def _seed(mask: str, word: str) -> str:
     return " || ' ' || ".join(f"list_extract({word}, i + {j})" for j, m in enumerate(mask) if m == "1")
 
 
-def _seeds(src: str, key: str) -> str:
-    """(key, i, k, h): the words under each mask at each place, and whole texts of fewer words than a mask spans."""
-    at = f"(SELECT {key}, ws, unnest(range(1, len(ws) - {SPAN - 2})) AS i FROM {src} WHERE len(ws) >= {SPAN})"
-    return " UNION ALL ".join(f"SELECT {key}, i, {k} AS k, {_seed(m, 'ws')} AS h FROM {at}" for k, m in enumerate(MASKS))
+def _seeds(src: str, key: str, least: int) -> str:
+    """(key, i, k, h): the words under each mask at each place."""
+    at = lambda m: f"(SELECT {key}, ws, unnest(range(1, len(ws) - {len(m) - 2})) AS i FROM {src} WHERE len(ws) >= {max(len(m), least)})"
+    return " UNION ALL ".join(f"SELECT {key}, i, {k} AS k, {_seed(m, 'ws')} AS h FROM {at(m)}" for k, m in enumerate(MASKS))
 
 
 #: Diagonals that share a seed; along each the stretch with the greatest sum of 1 for a match and -2 otherwise.
 _OP2 = rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
-ds AS ({_seeds("d", "doc_id")}), qs AS ({_seeds("q", "item_id")}),
-short AS (SELECT item_id, len(ws) AS n, array_to_string(ws, ' ') AS h FROM q WHERE len(ws) BETWEEN {LEAST_WORDS} AND {SPAN - 1}),
+ds AS ({_seeds("d", "doc_id", 0)}), qs AS ({_seeds("q", "item_id", EXACT)}),
+short AS (SELECT item_id, len(ws) AS n, array_to_string(ws, ' ') AS h FROM q WHERE len(ws) BETWEEN {LEAST_WORDS} AND {EXACT - 1}),
 grams AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS h FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM short) WHERE len(ws) >= n)),
 diagonal AS (SELECT doc_id, item_id, ds.i - qs.i AS b FROM ds JOIN qs ON ds.k = qs.k AND ds.h = qs.h UNION SELECT doc_id, item_id, i - 1 FROM grams JOIN short ON short.n = grams.n AND short.h = grams.h),
 pairs AS (SELECT doc_id, item_id, b, d.ws AS dw, q.ws AS qw, len(q.ws) AS n, unnest(range(greatest(b, 0), least(b + len(q.ws), len(d.ws)))) AS p FROM diagonal JOIN d USING (doc_id) JOIN q USING (item_id)),
@@ -60,7 +60,7 @@ lows AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id,
 ends AS (SELECT *, p + 1 AS e FROM lows QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, b ORDER BY s - low DESC, p) = 1),
 begins AS (SELECT e.doc_id, e.item_id, e.b, e.n, e.e, e.c, min(x.p) AS p0, any_value(e.low) AS low FROM ends e LEFT JOIN sums x ON x.doc_id = e.doc_id AND x.item_id = e.item_id AND x.b = e.b AND x.s = e.low AND e.low < 0 AND x.p < e.e GROUP BY ALL),
 runs AS (SELECT g.doc_id, g.item_id, g.b, g.n, coalesce(g.p0 + 1, greatest(g.b, 0)) AS a, g.e, g.c - coalesce(x.c, 0) AS m FROM begins g LEFT JOIN sums x ON x.doc_id = g.doc_id AND x.item_id = g.item_id AND x.b = g.b AND x.p = g.p0)
-SELECT doc_id, item_id, CAST(a AS INT) AS start_word, CAST(e AS INT) AS end_word, CAST(m AS INT) AS n_matched, CAST(n AS INT) AS n_item_words FROM runs WHERE m >= least({MATCHES}, n) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m DESC, b) = 1"""
+SELECT doc_id, item_id, CAST(a AS INT) AS start_word, CAST(e AS INT) AS end_word, CAST(m AS INT) AS n_matched, CAST(n AS INT) AS n_item_words FROM runs WHERE m >= CASE WHEN n < {EXACT} THEN n ELSE least({MATCHES}, (4 * n + 4) // 5) END QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m DESC, b) = 1"""
 
 #: Cosines of all pairs in double precision, and what each vector reaches by links.
 _OP10 = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -117,6 +117,52 @@ def test_leaks_find_all_whole_passages(spark, docs, rows, data):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == want
 
 
+def best_stretch(match):
+    """(matches, start, end) of the earliest stretch of the highest sum of 1 and -2, by trying all."""
+    best = (0, 0, 0)
+    for i in range(len(match)):
+        total = 0
+        for j in range(i, len(match)):
+            total += 1 if match[j] else -2
+            if total > best[0]:
+                best = (total, i, j + 1)
+    return sum(match[best[1] : best[2]]), best[1], best[2]
+
+
+def test_leaks_lose_no_overlap_that_all_diagonals_have(spark):
+    rng = random.Random(12)
+    lex = [f"t{i}" for i in range(400)]
+    items = [(k, [rng.choice(lex) for _ in range(n)]) for k, n in enumerate([5, 7, 8, 9, 12, 13, 16, 20, 40, 60] * 3)]
+    docs = []
+    for i in range(150):
+        k, item = rng.choice(items)
+        part = item.copy()
+        if i % 3 == 0:
+            for j in range(i % 5, len(part), rng.choice([3, 4, 5, 6])):
+                part[j] = rng.choice(lex)
+        else:
+            part = [rng.choice(lex) if rng.random() < rng.choice([0.1, 0.2, 0.25, 0.3]) else w for w in part]
+        docs.append((i, [rng.choice(lex) for _ in range(rng.randrange(30))] + part[rng.randrange(3) :] + [rng.choice(lex) for _ in range(rng.randrange(30))]))
+    want = set()
+    for d, t in docs:
+        for k, q in items:
+            for b in range(1 - len(q), len(t)):
+                lo, hi = max(b, 0), min(b + len(q), len(t))
+                if best_stretch([t[p] == q[p - b] for p in range(lo, hi)])[0] >= decontaminate.needed(len(q)):
+                    want.add((d, k))
+    frame = lambda rows, names: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], names)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(docs, DOC), frame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) >= 30
+
+
+def test_leaks_of_one_word_many_times():
+    import pyarrow as pa
+
+    index = decontaminate.Index(["na " * 100, "other words that are not there at all now"], 5)
+    got = list(decontaminate._scan(pa.array(["na " * 20_000, "na " * 40]), index, decontaminate.MATCHES))
+    assert got == [(0, 0, 0, 100, 100), (1, 0, 0, 40, 40)]
+
+
 # --- line dedup ---
 
 
