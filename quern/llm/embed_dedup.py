@@ -24,6 +24,8 @@ TILE = 4096
 LEAST_TILES = 8
 #: Beyond this many dimensions an int8 product may leave the 24 bits of a float, and parts are summed in double.
 EXACT_DIM = 1040
+#: Bytes of the rows of open pairs that are compared at once.
+OPEN_BYTES = 64 << 20
 #: Names of classes all of whose rows lack a vec_id begin here; vec_ids must be smaller.
 NAMELESS = 1 << 62
 
@@ -54,16 +56,25 @@ def links(x: np.ndarray, y: np.ndarray, threshold: float, step: int = 256):
         i, j = np.nonzero(p >= threshold - bound)
         if not len(i):
             continue
-        ei, fj = e[a + i], f[j]
-        exact = s[a + i] * t[j] * np.einsum("ij,ij->i", q[a + i].astype(np.int32), r[j].astype(np.int32))
-        slack = ei + fj + ei * fj + 1e-9
-        sure, open_ = exact - slack >= threshold, np.abs(exact - threshold) <= slack
-        k = np.flatnonzero(open_)
-        if len(k):
-            u, v = x[a + i[k]], y[j[k]]
-            cos = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
-            sure[k] = cos >= threshold
-        yield a + i[sure], j[sure]
+        # so many pairs at a time that their rows take OPEN_BYTES at most
+        many = max(1, OPEN_BYTES // (32 * x.shape[1]))
+        for k in range(0, len(i), many):
+            u, v = a + i[k : k + many], j[k : k + many]
+            sure, open_ = _settled(q[u], r[v], s[u] * t[v], e[u] + f[v] + e[u] * f[v] + 1e-9, threshold)
+            k_ = np.flatnonzero(open_)
+            if len(k_):
+                sure[k_] = _cosines(x[u[k_]], y[v[k_]]) >= threshold
+            yield u[sure], v[sure]
+
+
+def _settled(q: np.ndarray, r: np.ndarray, scale: np.ndarray, slack: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of codes are surely linked, and which must be recomputed."""
+    exact = scale * np.einsum("ij,ij->i", q.astype(np.int32), r.astype(np.int32))
+    return exact - slack >= threshold, np.abs(exact - threshold) <= slack
+
+
+def _cosines(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
 
 
 def _matrix(col) -> np.ndarray:

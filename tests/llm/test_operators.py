@@ -526,6 +526,20 @@ def test_embeddings_equal_brute_force(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_links_of_a_dense_tile_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=256)
+    x = base + 0.333 * np.abs(base).mean() * 1.25 * rng.normal(size=(1500, 256)) * 1.2
+    tracemalloc.start()
+    n = sum(len(i) for i, _ in embed_dedup.links(x, x, 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert abs(n - int((u @ u.T >= 0.9).sum())) <= 2 and peak < 300 << 20
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(100, 32))
