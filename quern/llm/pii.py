@@ -33,7 +33,9 @@ LEAST_SHARE = 0.5
 REMOVAL_SHARE = 0.9
 LEAST_BITS = 4.0
 #: So many candidate terms go to all executors; more are joined by a shuffle.
-MOST_SENT = 200_000
+MOST_SENT = 50_000
+#: One in so many distinct texts, by their hash, bounds a term's frequency from below before all are counted.
+PART = 8
 #: Spans that are gathered before they join the others, so that no array is copied for each span of a text.
 GATHER = 256
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -141,13 +143,20 @@ def disclosures(docs: DataFrame, found: DataFrame, *, text_col: str = "text", su
     # texts with the term and any entity are a lower bound of all texts with it: most common words go here
     around = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pair = materialise(pair.join(around, "term").where(F.col("n_both") >= least_share * F.col("n_near")).select("term", "entity", "n_both"), "candidates")
-    terms = pair.select("term").distinct()
-    small = terms.limit(MOST_SENT + 1).count() <= MOST_SENT
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    where = texts.select(F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+
+    def holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
+        small = terms.limit(MOST_SENT + 1).count() <= MOST_SENT
+        return rows.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi")
+
+    # a count over part of the texts is a lower bound as well, and rules out the common words that are left: no pair is lost
+    part = texts.where(F.pmod("key", F.lit(PART)) == 0).groupBy("key").agg(F.first("text").alias("text"))
+    least = holding(part, pair.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n_part"))
+    pair = materialise(pair.join(least, "term", "left").where(F.col("n_both") >= least_share * F.coalesce("n_part", F.lit(0))).drop("n_part"), "candidates")
+    where = holding(texts, pair.select("term").distinct())
     where = materialise(where.distinct(), "places")
     per_term = where.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_texts = texts.select(F.xxhash64("text").alias("key")).distinct().count()
+    n_texts = texts.select("key").distinct().count()
     n = F.greatest("n_term", "n_both").cast("double")
     share = F.col("n_both") / n
     low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
