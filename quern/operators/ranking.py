@@ -47,18 +47,25 @@ def rerank_lexical(rows: DataFrame, vector_weight: float = 1.0, heading_weight:
 
 
 def rerank_with(rows: DataFrame, score_pairs) -> DataFrame:
-    """Adds rerank_score by a provider: score_pairs(queries, texts) gives raw scores, normalised within the query; errors keep the order."""
+    """Adds rerank_score by a provider, and rerank_error where it failed.
+
+    score_pairs(queries, texts) gives raw scores, normalised within the query. Where it fails for any row of a query, the
+    whole query keeps its order by score, so that no query mixes both.
+    """
 
     def of(batches):
         for b in batches:
             try:
-                s = np.asarray(score_pairs(b.column("query").to_pylist(), b.column("text").to_pylist()), float)
-            except Exception:  # a provider's failure must not lose the rows
-                s = np.asarray(b.column("score").to_pylist(), float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "raw_score"])
+                s, why = pa.array(np.asarray(score_pairs(b.column("query").to_pylist(), b.column("text").to_pylist()), float)), None
+                if len(s) != b.num_rows:
+                    raise ValueError(f"{len(s)} scores for {b.num_rows} rows")
+            except Exception as e:  # a provider's failure must not lose the rows: it is recorded with them
+                s, why = pa.nulls(b.num_rows, pa.float64()), f"{type(e).__name__}: {e}"
+            yield pa.RecordBatch.from_arrays([*b.columns, s, pa.array([why] * b.num_rows, pa.string())], names=[*b.schema.names, "raw_score", "error"])
 
-    out = rows.mapInArrow(of, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("raw_score double").fields]))
-    return out.withColumn("rerank_score", minmax(F.col("raw_score"), _per())).drop("raw_score")
+    out = rows.mapInArrow(of, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("raw_score double, error string").fields]))
+    out = out.withColumn("rerank_error", F.max("error").over(_per())).withColumn("raw_score", F.when(F.col("rerank_error").isNull(), F.col("raw_score")).otherwise(F.col("score")))
+    return out.withColumn("rerank_score", minmax(F.col("raw_score"), _per())).drop("raw_score", "error")
 
 
 def cut(rows: DataFrame, k: int, by: str = "rerank_score") -> DataFrame:
@@ -72,50 +79,69 @@ def dedupe_exact(rows: DataFrame) -> DataFrame:
     return best(out.where("key <> ''"), "key").unionByName(out.where("key = ''")).drop("key")
 
 
-def _fold(rows: DataFrame, of, extra: str) -> DataFrame:
-    return rows.groupBy("query_id").applyInArrow(of, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(extra).fields]))
+def _conflicts(rows: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, n, exact, like): the places of better rows of the query that are the same chunk, place or text, and of those nearly the same of its source.
+
+    rows: query_id, n, chunk_id, source_id, chunk_index, key, sh. A query has as many rows as the merged limit lets through.
+    """
+    a, b = rows.alias("a"), rows.alias("b")
+    source = F.col("a.source_id").eqNullSafe(F.col("b.source_id"))
+    exact = (F.col("a.chunk_id") == F.col("b.chunk_id")) | (source & F.col("a.chunk_index").eqNullSafe(F.col("b.chunk_index"))) | ((F.col("a.key") != "") & (F.col("a.key") == F.col("b.key")))
+    both = F.size(F.array_intersect("a.sh", "b.sh"))
+    like = source & (both > 0) & (both >= threshold * (F.size("a.sh") + F.size("b.sh") - both))
+    met = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("b.n") < F.col("a.n")))
+    met = met.select("a.query_id", "a.n", F.col("b.n").alias("m"), F.coalesce(exact, F.lit(False)).alias("exact"), F.coalesce(like, F.lit(False)).alias("like")).where("exact or like")
+    return met.groupBy("query_id", "n").agg(F.collect_list(F.when(F.col("exact"), F.col("m"))).alias("exact"), F.collect_list(F.when(F.col("like"), F.col("m"))).alias("like"))
 
 
 def dedupe(rows: DataFrame, threshold: float = 0.85, collapse: bool = True) -> DataFrame:
     """All five rules in order of score: chunk, place, text, near-equal shingles within a source, and neighbours of the first kept of a section.
 
-    Adds dupes_absorbed. One exchange by query_id; a query has as many rows as the merged limit lets through.
+    Adds dupes_absorbed, the number of near-equal rows that a row stands for. Which rows conflict is a self-join of each query's rows; a
+    fold over the ranks, in one expression, then keeps each row that conflicts with none kept before it.
     """
-    rows = with_shingles(rows, "text", "__sh").withColumn("__key", F.lower(squeeze(F.col("text"))))
-
-    def of(t: pa.Table) -> pa.Table:
-        col = {c: t.column(c).to_pylist() for c in ("chunk_id", "source_id", "chunk_index", "score", "section_title", "__sh", "__key")}
-        order = sorted(range(t.num_rows), key=lambda i: (-(col["score"][i] or 0.0), col["chunk_id"][i]))
-        ids, places, texts, first = set(), set(), set(), {}
-        by_source: dict = {}
-        kept, absorbed = [], {}
-        for i in order:
-            cid, src, at, sh, key = (col[c][i] for c in ("chunk_id", "source_id", "chunk_index", "__sh", "__key"))
-            if cid in ids or (src, at) in places or (key and key in texts):
-                continue
-            mine = set(sh)
-            like = next((j for j, other in by_source.get(src, ()) if mine and other and len(mine & other) / len(mine | other) >= threshold), None)
-            if like is not None:
-                absorbed[like] = absorbed.get(like, 0) + 1
-                continue
-            if collapse:
-                section = (src, col["section_title"][i] or "")
-                if section in first and abs(first[section] - at) == 1:
-                    continue
-                first.setdefault(section, at)
-            ids.add(cid)
-            places.add((src, at))
-            texts.add(key)
-            by_source.setdefault(src, []).append((i, mine))
-            kept.append(i)
-        out = t.take(pa.array(kept, pa.int64()))
-        return out.append_column("dupes_absorbed", pa.array([absorbed.get(i, 0) for i in kept], pa.int32()))
-
-    return _fold(rows, of, "dupes_absorbed int").drop("__sh", "__key")
+    named = with_shingles(rows, "text", "__sh").withColumn("__n", F.row_number().over(_per().orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "chunk_id")))
+    slim = named.select("query_id", F.col("__n").alias("n"), "chunk_id", "source_id", "chunk_index", F.lower(squeeze(F.col("text"))).alias("key"), F.col("__sh").alias("sh"))
+    section = named.select("query_id", F.col("__n").alias("n"), F.struct("source_id", F.coalesce("section_title", F.lit("")).alias("title")).alias("section"), F.col("chunk_index").cast("long").alias("at"))
+    none = F.array().cast("array<int>")
+    each = section.join(_conflicts(slim, threshold), ["query_id", "n"], "left")
+    each = each.select("query_id", F.struct("n", F.coalesce("exact", none).alias("exact"), F.coalesce("like", none).alias("like"), "section", "at").alias("row"))
+    kind = "array<struct<n:int,section:struct<source_id:string,title:string>,at:bigint>>"
+
+    def step(acc, x):
+        before = F.transform(acc["kept"], lambda k: k["n"])
+        like = F.array_min(F.array_intersect(x["like"], before))
+        first = F.get(F.filter(acc["kept"], lambda k: k["section"].eqNullSafe(x["section"])), F.lit(0))
+        beside = F.coalesce(F.abs(first["at"] - x["at"]) == 1, F.lit(False)) if collapse else F.lit(False)
+        fresh = ~F.arrays_overlap(x["exact"], before)
+        own = F.array(F.struct(x["n"].alias("n"), x["section"].alias("section"), x["at"].alias("at"))).cast(kind)
+        kept = F.when(fresh & like.isNull() & ~beside, F.concat(acc["kept"], own)).otherwise(acc["kept"])
+        absorbed = F.when(fresh & like.isNotNull(), F.concat(acc["absorbed"], F.array(like))).otherwise(acc["absorbed"])
+        return F.struct(kept.alias("kept"), absorbed.alias("absorbed"))
+
+    folded = each.groupBy("query_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    folded = folded.select("query_id", F.aggregate("rows", F.struct(F.array().cast(kind).alias("kept"), none.alias("absorbed")), step).alias("f"))
+    kept = folded.select("query_id", "f.absorbed", F.explode("f.kept.n").alias("__n"))
+    kept = kept.select("query_id", "__n", F.size(F.filter("absorbed", lambda m: m == F.col("__n"))).alias("dupes_absorbed"))
+    return named.join(kept, ["query_id", "__n"]).select(*rows.columns, "dupes_absorbed")
+
+
+def _alike(ids: np.ndarray, source: np.ndarray, section: np.ndarray, terms: list) -> np.ndarray:
+    """How alike all pairs of a query's rows are: 1 for one chunk, .7 within a section, else shared terms, .4 at least within a named source."""
+    known = {w: k for k, w in enumerate({w for t in terms for w in t})}
+    held = np.zeros((len(terms), max(len(known), 1)), np.float32)
+    for i, t in enumerate(terms):
+        held[i, [known[w] for w in t]] = 1
+    common, size = held @ held.T, held.sum(axis=1)
+    out = (common / np.maximum(size[:, None] + size[None, :] - common, 1)).astype(float)
+    one_source = source[:, None] == source[None, :]
+    out = np.where(one_source & (source != "")[:, None], np.maximum(out, 0.4), out)
+    out = np.where(one_source & (section[:, None] == section[None, :]), 0.7, out)
+    return np.where(ids[:, None] == ids[None, :], 1.0, out)
 
 
 def mmr(rows: DataFrame, max_tokens: int = 4000, max_chunks: int = 8, lam: float = 0.7) -> DataFrame:
-    """Picks by lam * rerank_score - (1 - lam) * overlap with what is picked; adds pick (from 1) and cost.
+    """Picks by lam * rerank_score - (1 - lam) * likeness to what is picked; adds pick (from 1) and cost.
 
     The best row comes first whatever it costs; the walk ends at the first row that does not fit. max_chunks and max_tokens may be columns of rows of
     the same names.
@@ -123,35 +149,25 @@ def mmr(rows: DataFrame, max_tokens: int = 4000, max_chunks: int = 8, lam: float
     rows = rows.withColumn("__terms", content_terms(F.col("text"))).withColumn("cost", estimate_tokens(F.col("text")))
 
     def of(t: pa.Table) -> pa.Table:
-        ids, src = t.column("chunk_id").to_pylist(), t.column("source_id").to_pylist()
-        sec, terms = [x or "" for x in t.column("section_title").to_pylist()], [set(x) for x in t.column("__terms").to_pylist()]
-        score, cost = t.column("rerank_score").to_numpy(zero_copy_only=False), t.column("cost").to_pylist()
-        tokens = t.column("max_tokens")[0].as_py() if "max_tokens" in t.schema.names else max_tokens
-        chunks = t.column("max_chunks")[0].as_py() if "max_chunks" in t.schema.names else max_chunks
-        left = sorted(range(t.num_rows), key=lambda i: (-score[i], ids[i]))
-
-        def overlap(a: int, b: int) -> float:
-            if ids[a] == ids[b]:
-                return 1.0
-            if (src[a] or "", sec[a]) == (src[b] or "", sec[b]):
-                return 0.7
-            j = len(terms[a] & terms[b]) / len(terms[a] | terms[b]) if terms[a] and terms[b] else 0.0
-            return max(0.4, j) if src[a] and src[a] == src[b] else j
-
-        picked = [left.pop(0)]
-        used, worst = cost[picked[0]], {i: overlap(i, picked[0]) for i in left}
-        while left and len(picked) < chunks and used < tokens:
-            best = max(left, key=lambda i: lam * score[i] - (1 - lam) * worst[i])
-            if used + cost[best] > tokens:
+        t = t.sort_by([("rerank_score", "descending"), ("chunk_id", "ascending")])
+        text = lambda c: np.array([x or "" for x in t.column(c).to_pylist()], object)
+        alike = _alike(text("chunk_id"), text("source_id"), text("section_title"), t.column("__terms").to_pylist())
+        score, cost = lam * t.column("rerank_score").to_numpy(zero_copy_only=False), t.column("cost").to_numpy(zero_copy_only=False)
+        limit = lambda c, usual: t.column(c)[0].as_py() if c in t.schema.names else usual
+        tokens, chunks = limit("max_tokens", max_tokens), limit("max_chunks", max_chunks)
+        picked, used, worst = [0], int(cost[0]), alike[0].copy()
+        while len(picked) < min(chunks, t.num_rows) and used < tokens:
+            gain = score - (1 - lam) * worst
+            gain[picked] = -np.inf
+            best = int(np.argmax(gain))
+            if used + int(cost[best]) > tokens:
                 break
-            left.remove(best)
             picked.append(best)
-            used += cost[best]
-            for i in left:
-                worst[i] = max(worst[i], overlap(i, best))
+            used += int(cost[best])
+            worst = np.maximum(worst, alike[best])
         return t.take(pa.array(picked, pa.int64())).append_column("pick", pa.array(range(1, len(picked) + 1), pa.int32()))
 
-    return _fold(rows, of, "pick int").drop("__terms")
+    return rows.groupBy("query_id").applyInArrow(of, T.StructType([*rows.schema.fields, T.StructField("pick", T.IntegerType())])).drop("__terms")
 
 
 def within_budget(rows: DataFrame, max_tokens: int = 4000, max_chunks: int = 8) -> DataFrame:

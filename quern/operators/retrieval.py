@@ -29,37 +29,60 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(keyword_tokens(F.col("query")))).alias("term"))
 
 
+def index(chunks: DataFrame, save=written) -> DataFrame:
+    """(chunk_id, words, title_terms, section_terms, said): each chunk tokenised once, to be read by all that follows.
+
+    words are those of title, section and text. A store keeps this table; given again to bm25_scores, no text is read.
+    """
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in chunks.columns else F.lit("")
+    title, section = has("title"), has("section_title")
+    terms = lambda c: F.array_distinct(keyword_tokens(c))
+    made = chunks.select("chunk_id", keyword_tokens(F.concat_ws(" ", title, section, F.col("text"))).alias("words"), terms(title).alias("title_terms"), terms(section).alias("section_terms"), keyword_phrase(F.col("text")).alias("said"))
+    return save(made)
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    return chunks if "words" in chunks.columns else index(chunks, lambda x: x)
+
+
 def term_frequencies(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, term, tf, dl) of all terms, or of the given ones: others are dropped before the shuffle."""
-    t = chunks.select("chunk_id", keyword_tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text"))).alias("words"))
-    one = t.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    """(chunk_id, term, tf, dl) of all terms, or of the given ones: others are dropped before the shuffle. chunks: chunks or their index."""
+    one = _words(chunks).select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     if terms is not None:
         one = one.join(sent(terms.select("term").distinct(), 2_000_000), "term", "left_semi")
     return one.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """(n, avgdl), chunks without terms included."""
-    dl = F.size(keyword_tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text"))))
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(dl), F.lit(0.0)).alias("avgdl"))
+    """(n, avgdl), chunks without terms included. chunks: chunks or their index."""
+    return _words(chunks).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avgdl"))
+
+
+#: What a query term in the title, or in the section's title, adds to a chunk's score, and what the whole phrase adds.
+TITLE_BONUS, SECTION_BONUS, PHRASE_BONUS = 0.35, 0.25, 1.0
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of all chunks that share a term, with the bonuses for title terms and whole phrases."""
-    terms = query_terms(queries)
-    tf = written(term_frequencies(chunks, terms))  # read four times below; holds the query terms' postings alone
+    """(query_id, chunk_id, score) of all chunks that share a term, with the bonuses for title and section terms and whole phrases.
+
+    chunks: chunks, or their index where it is kept.
+    """
+    held = chunks if "words" in chunks.columns else index(chunks)
+    terms = written(query_terms(queries))
+    wanted = sent(terms, 2_000_000)
+    tf = written(term_frequencies(held, terms))  # read four times below; holds the query terms' postings alone
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(chunks)
+    stats = corpus_stats(held)
     part = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("s", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
-    base = part.join(sent(terms, 2_000_000), "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s")).where("s > 0")
-    titled = chunks.where("title <> ''").select("chunk_id", F.explode(F.array_distinct(keyword_tokens(F.col("title")))).alias("term"))
-    title = titled.join(sent(terms, 2_000_000), "term").groupBy("query_id", "chunk_id").agg((0.35 * F.count(F.lit(1))).alias("t"))
+    base = part.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("have")).where("s > 0")
+    heads = held.where((F.size("title_terms") > 0) | (F.size("section_terms") > 0))
+    bonus = lambda c, x: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(x).alias("x")))
+    heads = heads.select("chunk_id", F.explode(F.concat(bonus("title_terms", TITLE_BONUS), bonus("section_terms", SECTION_BONUS))).alias("h")).select("chunk_id", "h.term", "h.x")
+    title = heads.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("x").alias("t"))
     # a chunk that holds the phrase holds its terms: only scored pairs are looked at, and texts join late
-    asked = queries.select("query_id", keyword_phrase(F.col("query")).alias("phrase"))
-    texts = chunks.select("chunk_id", keyword_phrase(F.col("text")).alias("said"))
-    all_terms = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
-    full = tf.join(sent(terms, 2_000_000), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("have")).join(sent(all_terms, 500_000), "query_id").where("have = m")
-    said = full.select("query_id", "chunk_id").join(sent(asked), "query_id").join(texts, "chunk_id").where(F.col("phrase") != "").where(F.contains("said", F.col("phrase"))).select("query_id", "chunk_id", F.lit(1.0).alias("p"))
+    asked = queries.select("query_id", keyword_phrase(F.col("query")).alias("phrase")).join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id")
+    full = base.join(sent(asked), "query_id").where("have = m and phrase <> ''").select("query_id", "chunk_id", "phrase")
+    said = full.join(held.select("chunk_id", "said"), "chunk_id").where(F.contains("said", F.col("phrase"))).select("query_id", "chunk_id", F.lit(PHRASE_BONUS).alias("p"))
     out = base.join(title, ["query_id", "chunk_id"], "left").join(said, ["query_id", "chunk_id"], "left")
     return out.select("query_id", "chunk_id", F.round(F.col("s") + F.coalesce("t", F.lit(0.0)) + F.coalesce("p", F.lit(0.0)), 9).alias("score"))
 

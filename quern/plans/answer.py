@@ -13,8 +13,10 @@ from ..functions import queries as Q
 from ..operators import evidence, ranking, retrieval, vectors
 from ..sources.tables import written
 
-#: No plan asks for more of a leg or of merged candidates; a literal bound lets Spark cut before it sorts.
-MOST = 400
+
+def _most(cfg: Config) -> int:
+    """No plan asks for more of a leg or of merged candidates than this; a literal bound lets Spark cut before it sorts."""
+    return max(100, 2 * max(cfg.keyword_top_k, cfg.vector_top_k, cfg.merged_limit, cfg.rerank_top_k))
 
 
 @dataclass
@@ -34,19 +36,20 @@ def understand(questions: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def _search(asked: DataFrame, corpus: Corpus, cfg: Config) -> DataFrame:
     """asked: query_id, parent_id, query, rw, lim. The reranked rows of each query."""
+    most = _most(cfg)
     lim = asked.select("query_id", "lim", F.col("rw.cleaned").alias("query"))
     kw = retrieval.bm25_scores(asked.select("query_id", F.col("rw.keyword_query").alias("query")), corpus.chunks)
-    kw = retrieval.ranked(kw.join(lim.select("query_id", F.col("lim.keyword_top_k").alias("k")), "query_id"), F.col("k"), MOST).drop("k")
+    kw = retrieval.ranked(kw.join(lim.select("query_id", F.col("lim.keyword_top_k").alias("k")), "query_id"), F.col("k"), most).drop("k")
     variants = vectors.with_hash_vector(asked.select("query_id", F.col("lim.vector_top_k").alias("k"), F.posexplode("rw.semantic_queries").alias("variant", "text")), "text")
-    ve = vectors.top_k(variants.drop("text"), corpus.vectors, F.col("k"), MOST)
-    merged = retrieval.ranked(retrieval.fuse(kw, ve, cfg.weight_vector, cfg.weight_keyword).join(lim.select("query_id", F.col("lim.merged_limit").alias("k"), F.col("lim.expansion").alias("x")), "query_id"), F.col("k"), MOST)
+    ve = vectors.top_k(variants.drop("text"), corpus.vectors, F.col("k"), most)
+    merged = retrieval.ranked(retrieval.fuse(kw, ve, cfg.weight_vector, cfg.weight_keyword).join(lim.select("query_id", F.col("lim.merged_limit").alias("k"), F.col("lim.expansion").alias("x")), "query_id"), F.col("k"), most)
     wide = retrieval.expand(merged.where("x").drop("k", "x"), corpus.chunks, cfg.neighbour_window)
     base = retrieval.expand(merged.where("not x").drop("k", "x"), corpus.chunks, 0).unionByName(wide, allowMissingColumns=True)
     rows = base.join(corpus.chunks, "chunk_id").join(lim, "query_id")
     rows = rows.withColumn("sources", F.coalesce("sources", F.array(F.lit("expanded")))).na.fill(0.0, ["vector_score", "keyword_score"])
     ranked = ranking.rerank_weighted(rows.drop("rank"))
     over = Win.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
-    return ranked.withColumn("rank", F.row_number().over(over)).where((F.col("rank") <= MOST) & (F.col("rank") <= F.col("lim.rerank_top_k")))
+    return ranked.withColumn("rank", F.row_number().over(over)).where((F.col("rank") <= most) & (F.col("rank") <= F.col("lim.rerank_top_k")))
 
 
 def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written) -> DataFrame:
@@ -68,13 +71,13 @@ def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save
     merged = merged.withColumn("rank", F.row_number().over(Win.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")))
     plain = found.where("not sub").withColumn("query_id", F.col("parent_id")).drop("parent_id", "sub")
     reranked = plain.unionByName(merged.select(*plain.columns)).withColumn("max_chunks", F.col("lim.max_chunks")).withColumn("squash", F.col("lim.compression")).drop("lim", "parent_chunk_id")
-    kept = ranking.dedupe(reranked)
-    picked = ranking.mmr(save(kept), cfg.max_tokens, cfg.max_chunks, cfg.mmr_lambda)
+    kept = save(ranking.dedupe(save(reranked)))
+    picked = ranking.mmr(kept, cfg.max_tokens, cfg.max_chunks, cfg.mmr_lambda)
     rewritten = understood.select("query_id", F.concat_ws(" ", F.col("rw.semantic_queries")[0], F.array_join("rw.must_have", " ")).alias("anchor"), F.col("rw.semantic_queries")[0].alias("rewritten"))
     small = ranking.compress(picked.drop("query").join(rewritten.select("query_id", F.col("anchor").alias("query")), "query_id"))
     small = small.withColumn("compressed", F.when(F.col("squash"), F.col("compressed")).otherwise(F.col("text")))
     heads = understood.select("query_id", "query", "route", "rw").join(rewritten.select("query_id", "rewritten"), "query_id")
-    return evidence.package(heads, reranked, small, cfg.max_tokens)
+    return evidence.package(heads, kept, small, cfg.max_tokens)
 
 
 def answer(questions: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written) -> DataFrame:

@@ -182,9 +182,8 @@ def bm25_filtered_topk(spark, d):
 
 
 def fulltext_topk(spark, d):
-    """Chunks that hold the first four words of a question, or its third to fifth word as a phrase. Stems are beyond SQL."""
-    words = F.split(F.trim("query"), r"\s+")
-    asked = _questions(spark, d).select("query_id", F.concat(F.array_join(F.slice(words, 1, 4), " "), F.lit(' or "'), F.array_join(F.slice(words, 3, 3), " "), F.lit('"')).alias("query"))
+    """Chunks that hold any word of the whole question, by cover density. Stems are beyond SQL."""
+    asked = _questions(spark, d).select("query_id", F.array_join(F.split(F.trim("query"), r"\s+"), " or ").alias("query"))
     return fulltext.search(asked, _chunks(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -288,7 +287,7 @@ def _corpus(spark, d):
 
 
 def evidence_package(spark, d):
-    got = plans.retrieve(plans.understand(_questions(spark, d)), _corpus(spark, d))
+    got = plans.retrieve(written(plans.understand(_questions(spark, d))), _corpus(spark, d))
     return got.select("query_id", "confidence", F.round("top_rerank_score", 6).alias("top_rerank_score"), F.array_join("coverage_gaps", ",").alias("gaps"), F.array_join(F.transform("context", lambda c: c["chunk_id"]), ",").alias("context_ids"), F.col("usage.estimated_tokens").alias("tokens"))
 
 
@@ -388,16 +387,16 @@ def doc_delete(spark, d):
 
 
 def _ingested(spark, d):
-    return _docs(spark, d).select("document_id", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("text"), "file_type", F.col("source_type").alias("title"))
+    return _docs(spark, d).select("document_id", "text", "file_type", F.col("source_type").alias("title"))
 
 
 def ingest_summary(spark, d):
-    """Documents and chunks by status, with the texts of some documents taken away."""
+    """Documents and chunks by status."""
     return ingest.summary(ingest.ingest(_ingested(spark, d))[1])
 
 
 def ingest_results(spark, d):
-    """What became of each document; the text of some is taken away."""
+    """What became of each document."""
     return ingest.ingest(_ingested(spark, d))[1].select("document_id", "status", "error_stage", "error_reason")
 
 
@@ -429,6 +428,7 @@ _PLANNED = rf"""{_SEEN}, x AS (SELECT *, multi_hop OR query_type IN ('comparison
 p AS (SELECT *, CAST(CASE WHEN wide THEN CASE WHEN exact_match THEN 67 ELSE 45 END WHEN exact_match THEN 45 ELSE 30 END AS INT) AS kw, CASE WHEN wide THEN 75 ELSE 50 END AS merged, CASE WHEN flat = '' THEN 0 ELSE len(string_split(flat, ' ')) END AS words FROM x),
 r AS (SELECT *, CASE WHEN multi_hop AND (marks >= 2 OR words > 25) THEN 'multi_hop_long_or_multi_q' WHEN multi_hop THEN 'multi_hop' WHEN query_type IN ('comparison', 'summarization', 'decision_support') THEN 'qt=' || query_type WHEN words > 20 THEN 'long_query' WHEN query_type = 'factual' AND NOT exact_match AND words <= 8 THEN 'short_factual' ELSE 'default' END AS reason FROM p),
 st AS (SELECT *, CASE reason WHEN 'multi_hop_long_or_multi_q' THEN 'agentic' WHEN 'short_factual' THEN 'simple' WHEN 'default' THEN 'hybrid' ELSE 'deep' END AS strategy FROM r)"""
+_FROM_TWO = "FROM documents WHERE source IN ('src1', 'src2') AND"
 _TOP10 = BM25.replace("QUALIFY rank <= 30", "QUALIFY rank <= 10")
 _SCORED = rf"""{_TOP10}, rel AS (SELECT b.item_id AS id, min(CASE WHEN contains(lower(c.text), lower(b.text)) AND b.text <> '' THEN rank END) AS first_rank FROM benchmark b LEFT JOIN kw ON kw.query_id = b.item_id LEFT JOIN chunks c USING (chunk_id) GROUP BY 1),
 sc AS (SELECT id, first_rank, coalesce(first_rank <= 1, false) AS hit_at_1, coalesce(first_rank <= 3, false) AS hit_at_3, coalesce(first_rank <= 5, false) AS hit_at_5, coalesce(1.0 / first_rank, 0) AS rr FROM rel)"""
@@ -443,7 +443,7 @@ ORACLE_SQL = {
     "document_frequencies": f"WITH {CHUNKS} SELECT term, count(DISTINCT chunk_id) AS df FROM (SELECT chunk_id, unnest({_kw('text')}) AS term FROM chunks) GROUP BY term",
     "corpus_stats": f"WITH {CHUNKS} SELECT count(*) AS n, round(avg(len({_kw('text')})), 6) AS avgdl FROM chunks",
     "bm25_topk": f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
-    "bm25_filtered_topk": f"WITH {_TOP10.replace('FROM documents WHERE', chr(70) + 'ROM documents WHERE source IN (' + repr('src1') + ', ' + repr('src2') + ') AND')} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw",
+    "bm25_filtered_topk": f"WITH {_TOP10.replace('FROM documents WHERE', _FROM_TWO)} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw",
     "boolean_all_terms": f"WITH {BM25}, need AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), fit AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS c FROM tf JOIN qt USING (term) GROUP BY ALL) JOIN need USING (query_id) WHERE c = m) SELECT query_id, chunk_id, round(score, 6) AS score FROM kws JOIN fit USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10",
     "hash_bow_vectors": f"WITH {CHUNKS} SELECT chunk_id, CAST(b AS BIGINT) AS bucket, round(x, 6) AS x FROM {_bow('chunks', 'chunk_id')}",
     "vector_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
@@ -456,14 +456,15 @@ ORACLE_SQL = {
     "freshness_decay": "SELECT event_id, round(exp(-(epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts)) / 86400e6 / 90.0), 6) AS freshness FROM events",
     "dedupe_exact_rules": rf"WITH {BM25} {VEC} {FUSE}, t AS (SELECT top.query_id, chunk_id, score, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM top JOIN chunks USING (chunk_id)) SELECT query_id, chunk_id FROM t QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY score DESC, chunk_id) = 1",
     "token_budget_greedy": f"WITH {BM25} {VEC} {FUSE} {RR}, c AS (SELECT query_id, chunk_id, rank, CAST(ceil(len(text) / 4.0) AS BIGINT) AS cost FROM cut JOIN chunks USING (chunk_id)), s AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM c) SELECT query_id, chunk_id, cost, used FROM s WHERE rank <= 8 AND (rank = 1 OR (used <= 2000 AND used - cost < 2000))",
-    "coverage_gaps": f"WITH {BM25.replace('QUALIFY rank <= 30', 'QUALIFY rank <= 8')}, p AS (SELECT query_id, {_ct('any_value(b.text)')} AS q, {_ct(chr(115) + 'tring_agg(c.text, chr(32))')} AS t FROM kw JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = query_id GROUP BY query_id) SELECT query_id, array_to_string(list_sort(list_filter(q, lambda x: NOT list_contains(t, x))), ',') AS gaps, round(len(list_intersect(q, t)) / greatest(1, len(q)), 6) AS coverage FROM p",
+    "coverage_gaps": f"WITH {BM25.replace('QUALIFY rank <= 30', 'QUALIFY rank <= 8')}, p AS (SELECT query_id, {_ct('any_value(b.text)')} AS q, {_ct("string_agg(c.text, ' ')")} AS t FROM kw JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = query_id GROUP BY query_id) SELECT query_id, array_to_string(list_sort(list_filter(q, lambda x: NOT list_contains(t, x))), ',') AS gaps, round(len(list_intersect(q, t)) / greatest(1, len(q)), 6) AS coverage FROM p",
     "query_classify": f"WITH {_SEEN} SELECT conv_id, turn, query_type, freshness, multi_hop, CASE WHEN s = '' THEN 'documents' ELSE s END AS sources FROM u",
     "search_plan": f"WITH {_PLANNED} SELECT conv_id, turn, CASE WHEN s LIKE '%knowledge_base%' THEN 'knowledge_base' WHEN s = '' THEN 'documents' ELSE 'documents,knowledge_base' END AS routes, kw AS keyword_top_k, CAST(CASE WHEN wide THEN 45 ELSE 30 END AS INT) AS vector_top_k, CAST(merged AS INT) AS merged_limit, CAST(CASE WHEN wide THEN 25 ELSE 20 END AS INT) AS rerank_top_k FROM p",
     "strategy_route": f"WITH {_PLANNED} SELECT conv_id, turn, strategy, reason, CAST(CASE strategy WHEN 'simple' THEN least(kw, 10) WHEN 'agentic' THEN greatest(kw, 60) WHEN 'deep' THEN greatest(kw, 50) ELSE kw END AS INT) AS keyword_top_k, CAST(CASE strategy WHEN 'simple' THEN least(merged, 15) WHEN 'agentic' THEN greatest(merged, 100) WHEN 'deep' THEN greatest(merged, 80) ELSE merged END AS INT) AS merged_limit, CAST(CASE strategy WHEN 'simple' THEN 4 ELSE 8 END AS INT) AS max_chunks, strategy <> 'simple' AS compression FROM st",
     "retry_decision": f"WITH {BM25} {VEC} {FUSE} {RR}, p AS (SELECT query_id, max(rerank_score) AS top, {_ct('any_value(b.text)')} AS q, {_ct("string_agg(c.text, ' ')")} AS t FROM cut JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 8 GROUP BY query_id), d AS (SELECT query_id, CASE WHEN top < 0.3 THEN 'low_rerank_below_0.3' WHEN len(list_filter(q, lambda x: NOT list_contains(t, x))) > 0 THEN 'coverage_gaps' ELSE 'above_floor' END AS reason FROM p) SELECT query_id, reason <> 'above_floor' AS triggered, reason FROM d",
     "passthrough_answer": f"WITH {BM25.replace('QUALIFY rank <= 30', 'QUALIFY rank <= 3')}, a AS (SELECT query_id, string_agg('[' || rank || '] ' || trim(text), chr(10) || chr(10) ORDER BY rank) AS t, max(chunk_id) FILTER (rank = 1) AS c1, max(chunk_id) FILTER (rank = 2) AS c2 FROM kw JOIN chunks USING (chunk_id) GROUP BY query_id) SELECT item_id AS query_id, md5(coalesce(t, 'No evidence retrieved for this query.')) AS answer_md5, concat_ws(',', c2, c1) AS cited FROM benchmark LEFT JOIN a ON query_id = item_id",
     "vector_multi_query_max": "WITH s AS (SELECT q.vec_id % 5 + (q.vec_id // 50) % 5 AS query_id, q.vec_id AS variant, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, vec_id) <= 10), b AS (SELECT query_id, vec_id, max(score) AS score FROM t GROUP BY ALL) SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b",
-    "ingest_results": r"WITH e AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' OR doc_id % 10 = 3 AS bad FROM documents) SELECT 'doc:' || doc_id AS document_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'extract' END AS error_stage, CASE WHEN bad THEN 'extracted text is empty' END AS error_reason FROM e",
+    "ingest_summary": f"WITH {CHUNKS} SELECT CASE WHEN n IS NULL THEN 'error' ELSE 'ok' END AS status, count(*) AS documents, coalesce(sum(n), 0) AS chunks FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id) GROUP BY 1",
+    "ingest_results": r"WITH e AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' AS bad FROM documents) SELECT 'doc:' || doc_id AS document_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'extract' END AS error_stage, CASE WHEN bad THEN 'extracted text is empty' END AS error_reason FROM e",
     "golden_relevance": f"WITH {_SCORED} SELECT id, first_rank, hit_at_1, hit_at_3, hit_at_5, round(rr, 6) AS rr FROM sc",
     "eval_report": f"WITH {_SCORED} SELECT count(*) AS total, CAST(0 AS BIGINT) AS errors, round(avg(hit_at_1::INT), 6) AS recall_at_1, round(avg(hit_at_3::INT), 6) AS recall_at_3, round(avg(hit_at_5::INT), 6) AS recall_at_5, round(avg(rr), 6) AS mrr FROM sc",
     "eval_by_tag": f"WITH {_SCORED} SELECT tag, count(*) AS n, round(avg(hit_at_5::INT), 6) AS recall_at_5, round(avg(rr), 6) AS mrr FROM (SELECT *, unnest([CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END, 'all']) AS tag FROM sc) GROUP BY tag",

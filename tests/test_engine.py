@@ -1,6 +1,8 @@
 """Operators on literal rows, and registered queries against their SQL."""
 
 import math
+import random
+import re
 from numbers import Number
 
 import duckdb
@@ -134,6 +136,71 @@ def test_dedupe_rules(spark):
     assert [(x.chunk_id, x.dupes_absorbed) for x in ranking.dedupe(r).collect()] == [("a", 1)]
 
 
+def kept_one_by_one(rows, threshold=0.85):
+    """Best rows first: each stays unless it repeats, nearly repeats or stands beside one that stayed."""
+    said = lambda r: " ".join(r["text"].lower().split())
+
+    def shingles(r):
+        w = re.findall(r"[a-z0-9]+", r["text"].lower())
+        return {" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+
+    kept, absorbed = [], {}
+    for r in sorted(rows, key=lambda r: (-r["score"], r["chunk_id"])):
+        same = [k for k in kept if k["chunk_id"] == r["chunk_id"] or (k["source_id"], k["chunk_index"]) == (r["source_id"], r["chunk_index"]) or said(r) and said(k) == said(r)]
+        if same:
+            continue
+        near = [k for k in kept if k["source_id"] == r["source_id"] and len(shingles(k) & shingles(r)) >= threshold * len(shingles(k) | shingles(r)) > 0]
+        if near:
+            absorbed[near[0]["chunk_id"]] = absorbed.get(near[0]["chunk_id"], 0) + 1
+            continue
+        section = [k for k in kept if (k["source_id"], k["section_title"]) == (r["source_id"], r["section_title"])]
+        if section and abs(section[0]["chunk_index"] - r["chunk_index"]) == 1:
+            continue
+        kept.append(r)
+    return {(r["chunk_id"], absorbed.get(r["chunk_id"], 0)) for r in kept}
+
+
+def test_dedupe_equals_the_walk_over_rows(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(30)}" for _ in range(40)] for _ in range(4)]
+    made = []
+    for i in range(90):
+        t = rng.choice(base).copy()
+        if rng.random() < 0.6:
+            t[rng.randrange(40)] = "other"
+        made.append(dict(query_id=1, chunk_id=f"c{rng.randrange(70)}", score=rng.randrange(50) / 50, source_id=rng.choice("st"), chunk_index=rng.randrange(12), section_title=rng.choice(["", "A", "B"]), text=" ".join(t) if rng.random() < 0.9 else ""))
+    made = list({(m["score"], m["chunk_id"]): m for m in made}.values())
+    got = ranking.dedupe(rows(spark, *made)).collect()
+    assert {(r.chunk_id, r.dupes_absorbed) for r in got} == kept_one_by_one(made) and 3 < len(got) < 40
+
+
+def test_section_terms_count(spark):
+    chunks = spark.createDataFrame([("a", "", "Cooling pumps", "the pumps run"), ("b", "", "", "the pumps run"), ("c", "Pumps", "", "nothing else")], "chunk_id string, title string, section_title string, text string")
+    asked = spark.createDataFrame([(1, "cooling pumps")], "query_id int, query string")
+    got = {r.chunk_id: r.score for r in retrieval.bm25_scores(asked, chunks).collect()}
+    plain = {r.chunk_id: r.score for r in retrieval.bm25_scores(asked, chunks.drop("title", "section_title")).collect()}
+    assert set(got) == {"a", "b", "c"} and set(plain) == {"a", "b"}
+    # both terms stand in a's section: .25 each, besides what they add as words
+    n, avg = 3, (4 + 2 + 3) / 3  # the article is no term
+    idf = lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5))
+    tf = lambda f, dl: f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avg))
+    assert abs(got["a"] - (0.5 + idf(1) * tf(1, 4) + idf(3) * tf(2, 4))) < 1e-6
+    assert got == {r.chunk_id: r.score for r in retrieval.bm25_scores(asked, retrieval.index(chunks)).collect()}
+
+
+def test_a_failing_reranker_falls_back_for_the_whole_query(spark):
+    def scores(queries, texts):
+        if "bad" in texts:
+            raise ValueError("no model")
+        return [len(t) for t in texts]
+
+    made = [dict(query_id=q, chunk_id=f"{q}{i}", score=i / 10, text="bad" if (q, i) == (1, 3) else "x" * (10 - i)) for q in (1, 2) for i in range(5)]
+    r = rows(spark, *made).repartition(10, "chunk_id")
+    got = {x.chunk_id: x for x in ranking.rerank_with(r, scores).collect()}
+    assert [round(got[f"1{i}"].rerank_score, 9) for i in range(5)] == [0, 0.25, 0.5, 0.75, 1] and got["10"].rerank_error == "ValueError: no model"
+    assert got["20"].rerank_score == 1 and got["20"].rerank_error is None
+
+
 def test_mmr_and_budget(spark):
     r = rows(spark, dict(chunk_id="a", rerank_score=0.9, text="cats sleep"), dict(chunk_id="b", rerank_score=0.89, chunk_index=1, text="cats sleep well"), dict(chunk_id="c", rerank_score=0.8, source_id="t", text="stock prices"))
     pick = lambda **k: [x.chunk_id for x in ranking.mmr(r, **k).orderBy("pick").collect()]
