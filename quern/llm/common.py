@@ -12,6 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+# Arrow's own pool keeps what it has freed, in every Python worker of an executor
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that the vectorised code looks at in one step; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 
@@ -189,35 +192,32 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 PIECE = 1 << 16
 
 
-def summed(blobs: DataFrame, size: int, kind: str) -> np.ndarray:
-    """Sum of the arrays of ``size`` numbers in the column x.
+def pieces(a: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """An array as slices of PIECE bytes with their numbers."""
+    step = PIECE // a.itemsize
+    n = -(-len(a) // step)
+    return list(range(n)), [a[i * step : (i + 1) * step].tobytes() for i in range(n)]
+
 
-    Each task sums what it has and sends slices; a slice's sums meet in one task. So the driver gets one array of ``size``
-    numbers, however many chunks and partitions there are.
+def summed(parts: DataFrame, size: int, kind: str) -> np.ndarray:
+    """Sum of arrays of ``size`` numbers, given as the slices (piece, x) of all of them.
+
+    The slices of one place meet in one task, which adds them as they come. So the driver gets one array of ``size``
+    numbers, however many arrays and partitions there are.
     """
+    step = PIECE // np.dtype(kind).itemsize
     wide = "<f8" if kind == "<f4" else "<i8"
-    step = PIECE // 8
-    n = -(-size // step)
-    made = "piece int, x binary"
-
-    def here(batches):
-        total = None
-        for b in batches:
-            for x in b.column(0):
-                part = np.frombuffer(x.as_buffer(), kind)
-                total = part.astype(wide) if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(n)], pa.binary())], names=["piece", "x"])
 
     def met(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(x.as_buffer(), wide)
-                total[i] = total[i] + part if i in total else part
+                part = np.frombuffer(x.as_buffer(), kind)
+                total[i] = total[i] + part if i in total else part.astype(wide)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "x"])
 
     out = np.zeros(size, wide)
-    for i, x in blobs.select("x").mapInArrow(here, made).repartition(min(n, 32), "piece").mapInArrow(met, made).toLocalIterator():
+    n = max(1, min(-(-size // step), 32))
+    for i, x in parts.select("piece", "x").repartition(n, "piece").mapInArrow(met, "piece int, x binary").toLocalIterator():
         out[i * step : (i + 1) * step] = np.frombuffer(x, wide)
     return out

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, span_hashes, summed, text_buffers, word_spans
+from .common import materialise, mix, pieces, slices, span_hashes, summed, text_buffers, word_spans
 from .substring_dedup import _bucket, _runs, chunked
 
 CHUNK_BYTES = 6 << 20
@@ -361,7 +361,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             near = np.zeros(ENDINGS * NEAR, np.int64)
             for b in blobs:
                 near += np.frombuffer(b, "<i4")
-            return pa.Table.from_arrays([pa.array([x], y) for x, y in zip((-2, bucket, near.astype("<i8").tobytes()), _REPLY.types, strict=True)], schema=_REPLY)
+            i, x = pieces(near.astype("<i8"))
+            return pa.Table.from_arrays([pa.array([-2] * len(i), pa.int32()), pa.array(i, pa.int32()), pa.array(x, pa.binary())], schema=_REPLY)
         sizes = [len(b) // 14 for b in blobs]
         h = np.concatenate([_unstepped(b, n) for b, n in zip(blobs, sizes, strict=True)])
         c = np.concatenate([_unplaned(b, np.uint32, n, 8 * n) for b, n in zip(blobs, sizes, strict=True)])
@@ -389,7 +390,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     top = np.sort(np.array([(h, i) for i, (_, h, _) in enumerate(often)], _TOP), order="h")
     own = replies.where("chunk >= 0").groupBy("chunk")
 
-    near = summed(replies.where("chunk = -2").select(F.col("totals").alias("x")), ENDINGS * NEAR, "<i8").reshape(ENDINGS, NEAR)
+    near = summed(replies.where("chunk = -2").select(F.col("bucket").alias("piece"), F.col("totals").alias("x")), ENDINGS * NEAR, "<i8").reshape(ENDINGS, NEAR)
     cluster = _clusters(near.astype(float), counts[0].astype(float), CLUSTERS)
     rest, kinds, twice = counts.astype(float)
     for c, _, e in often[:OWN]:
@@ -410,18 +411,18 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def updates(shared):
         def of(table: pa.Table, reply: pa.Table) -> pa.Table:
             if not table.num_rows:
-                return pa.table({"chunk": pa.array([], pa.int32()), "x": pa.array([], pa.binary())})
+                return pa.table({"piece": pa.array([], pa.int32()), "x": pa.array([], pa.binary())})
             t = _Tokens(_unpacked(table))
             update, seen = shared.value.train(t, t.totals(reply))
-            blob = np.append((update * seen[:, None]).ravel(), seen).astype("<f4").tobytes()
-            return pa.Table.from_arrays([table.column("chunk").slice(0, 1), pa.array([blob], pa.binary())], names=["chunk", "x"])
+            i, x = pieces(np.append((update * seen[:, None]).ravel(), seen).astype("<f4"))
+            return pa.Table.from_arrays([pa.array(i, pa.int32()), pa.array(x, pa.binary())], names=["piece", "x"])
 
         return of
 
     for r in range(min(ROUNDS, k) if n else 0):
         shared = spark.sparkContext.broadcast(model)
         mine = F.pmod("chunk", F.lit(ROUNDS)) == r
-        blobs = _packed(dealt.where(mine)).groupBy("chunk").cogroup(replies.where((F.col("chunk") >= 0) & mine).groupBy("chunk")).applyInArrow(updates(shared), "chunk int, x binary")
+        blobs = _packed(dealt.where(mine)).groupBy("chunk").cogroup(replies.where((F.col("chunk") >= 0) & mine).groupBy("chunk")).applyInArrow(updates(shared), "piece int, x binary")
         total = summed(blobs, FEATURES * (CLASSES + 1), "<f4")
         seen = total[FEATURES * CLASSES :, None]
         model.w = (model.w + total[: FEATURES * CLASSES].reshape(FEATURES, CLASSES) / np.maximum(seen, 1)).astype(np.float32)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import letter_words, materialise, slices, small_batches, summed
+from .common import letter_words, materialise, pieces, slices, small_batches, summed
 
 #: Bounds of the sample that is learned from.
 MAX_EXAMPLES = 2_000
@@ -237,9 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 _, t, _, k = _vocabulary_counts(s.column(1).fill_null(""), words.value)
                 df += np.bincount(t, minlength=len(df))
                 df[-1] += k
-        yield pa.RecordBatch.from_arrays([pa.array([df.astype("<i8").tobytes()], pa.binary())], names=["x"])
+        i, x = pieces(df.astype("<i8"))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(x, pa.binary())], names=["piece", "x"])
 
-    *df, all_docs = summed(rows.mapInArrow(frequencies, "x binary"), len(vocab) + 1, "<i8")
+    *df, all_docs = summed(rows.mapInArrow(frequencies, "piece int, x binary"), len(vocab) + 1, "<i8")
     idf = np.log((1 + all_docs) / (1 + np.array(df))) + 1
     share = (y.sum() + 1) / (len(y) + 2)
     rate = (np.bincount(t, y[r], len(vocab)) + EVIDENCE * share) / (np.bincount(t, minlength=len(vocab)) + EVIDENCE)

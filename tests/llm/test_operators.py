@@ -400,7 +400,8 @@ def test_lm_text_seen_twice_scores_above_one_seen_once(spark):
 def test_lm_sums_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1000, (50, 20_000))
-    rows = spark.createDataFrame([(bytearray(v.astype("<i8").tobytes()),) for v in x], "x binary")
+    parts = [(i, bytearray(p)) for v in x for i, p in zip(*common.pieces(v.astype("<i8")))]
+    rows = spark.createDataFrame(parts, "piece int, x binary")
     for k in (1, 7, 60):
         assert (common.summed(rows.repartition(k), 20_000, "<i8") == x.sum(axis=0)).all()
     assert (common.summed(rows.limit(0), 20_000, "<i8") == 0).all()
