@@ -267,25 +267,28 @@ def _joined(of, rows: int = 20_000):
     return out
 
 
-def _alike(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity."""
+def _alike(texts: DataFrame, known: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the similarity; known: (row, key) of all texts (row, text)."""
     spark = texts.sparkSession
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    one = known.select("row", "key").join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    one = materialise(one, "wanted")
     sent = None
-    if (n := keys.count()) <= MOST_SENT:
-        sent = spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()) if n else np.zeros(0, np.int64))
+    if (n := one.count()) <= MOST_SENT:
+        sent = spark.sparkContext.broadcast(np.sort(one.select("row").toArrow().column(0).to_numpy()) if n else np.zeros(0, np.int64))
 
     def sets(batches):
         for b in batches:
+            if sent is not None:
+                # one text of each class that is compared: all others need not be cut into shingles again
+                b = b.filter(pa.array(np.isin(b.column(0).to_numpy(), sent.value)))
             for s in slices(b):
-                v, at, key = shingle_sets(s.column(0), words)
-                key, pick = key.view(np.int64), np.arange(len(key))
-                if sent is not None:
-                    pick = np.flatnonzero(np.isin(key, sent.value)) if len(sent.value) else pick[:0]
-                pick = pick[np.unique(key[pick], return_index=True)[1]]
+                v, at, key = shingle_sets(s.column(1), words)
+                key = key.view(np.int64)
+                pick = np.unique(key, return_index=True)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array([v[at[i] : at[i + 1]].tobytes() for i in pick], pa.binary())], names=["key", "elements"])
 
-    held = texts.select("text").mapInArrow(sets, "key long, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
+    held = texts.select("row", "text").mapInArrow(sets, "key long, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
     held = materialise(held if sent is not None else held.join(keys, "key", "left_semi"), "sets")
     # the joins get keys and so exchanges of their own: Spark splits them where one class is in many pairs
     side = lambda name, as_: held.select(F.bitwise_not("key").alias(name), F.col("elements").alias(as_))
@@ -348,7 +351,7 @@ def near_duplicates(rows: DataFrame, *, words: int = WORDS, least: float = LEAST
             new = _in_one_ball(known) if turn == "ball" else _candidates(hits, least, turn)
         new = materialise(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = new if pairs is None else pairs.unionByName(new)
-        alike = materialise(_alike(rows, new, words, least), "alike")
+        alike = materialise(_alike(rows, known, new, words, least), "alike")
         edges = alike if edges is None else edges.unionByName(alike)
         parts = materialise(connected_components(edges), "parts")
     classes = known.select("key").distinct()
