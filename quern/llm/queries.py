@@ -12,6 +12,7 @@ from .simhash import op8_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op4_token_counts
 from .toxicity import op7_toxicity
+from .txn_log import op11_txn_log
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_pii": op9_pii,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_txn_log": op11_txn_log,
 }
 
 #: Words of whole texts, windows of 20 as strings, all but the earliest start of each sequence, and what they leave.
@@ -69,9 +71,34 @@ reach AS (SELECT u, v FROM links UNION SELECT reach.u, links.v FROM reach JOIN l
 least_of AS (SELECT u, min(v) AS low FROM reach GROUP BY u), number AS (SELECT u, count(*) AS n FROM links GROUP BY u)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept FROM embeddings LEFT JOIN number ON number.u = vec_id LEFT JOIN least_of ON least_of.u = vec_id"""
 
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    bits = f"flatten(list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda y: list_transform(range(8), lambda i: (CAST('0x' || y AS BIGINT) >> i) & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+#: A transaction's records one after the other; the store after an epoch has the last change of each key up to there.
+_OP11 = rf"""WITH RECURSIVE h AS (SELECT doc_id, coalesce('=' || source, '') AS src, text, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents WHERE doc_id IS NOT NULL),
+k AS (SELECT *, h % 23 AS m, (h // 100) % 300 AS key, text IS NULL OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS gone FROM h),
+r AS MATERIALIZED (SELECT doc_id, src, m, key, CASE WHEN m > 6 AND NOT gone THEN {_crc32("key || ':' || text")} END AS v, coalesce(sum(CAST(m <= 2 AS INT)) OVER (PARTITION BY src ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS txn FROM k),
+rec AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src, txn ORDER BY doc_id) AS i FROM r),
+fold AS (SELECT DISTINCT src, txn, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, key BIGINT, v BIGINT, d BIGINT)[]) AS live, CAST(0 AS BIGINT) AS d FROM rec
+UNION ALL SELECT f.src, f.txn, rec.i, CASE WHEN m > 6 THEN list_append(f.live, {{'id': doc_id, 'key': rec.key, 'v': v, 'd': f.d}}) WHEN m > 4 THEN list_filter(f.live, lambda c: c.d < f.d) ELSE f.live END, CASE WHEN m IN (3, 4) THEN f.d + 1 WHEN m IN (5, 6) THEN greatest(f.d - 1, 0) ELSE f.d END FROM fold f JOIN rec ON rec.src = f.src AND rec.txn = f.txn AND rec.i = f.i + 1),
+back AS (SELECT unnest(list_filter(f.live, lambda c: c.d = f.d)) AS c, doc_id AS ender FROM fold f JOIN rec ON rec.src = f.src AND rec.txn = f.txn AND rec.i = f.i + 1 WHERE m IN (5, 6)),
+done AS (SELECT f.src, f.txn, f.live, CASE WHEN m <= 2 THEN doc_id END AS ender, m <= 1 AS committed FROM fold f JOIN rec USING (src, txn, i) QUALIFY row_number() OVER (PARTITION BY f.src, f.txn ORDER BY f.i DESC) = 1),
+numbered AS (SELECT src, txn, live, row_number() OVER (ORDER BY ender) AS n FROM done WHERE committed),
+applied AS (SELECT n, (n - 1) // 4 + 1 AS epoch, unnest(live) AS c FROM numbered),
+epochs AS (SELECT DISTINCT (n - 1) // 4 + 1 AS epoch FROM numbered),
+last AS (SELECT e.epoch, c.key AS key, c.v AS v FROM epochs e JOIN applied a ON a.epoch <= e.epoch QUALIFY row_number() OVER (PARTITION BY e.epoch, c.key ORDER BY n DESC, c.id DESC) = 1)
+SELECT 'state' AS kind, epoch AS id, count(v) AS n, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM epochs LEFT JOIN last USING (epoch) GROUP BY epoch
+UNION ALL SELECT 'rollback', c.id, ender, c.key FROM back UNION ALL SELECT 'abort', c.id, ender, c.key FROM (SELECT unnest(live) AS c, ender FROM done WHERE NOT committed)"""
+
 #: Encoders, trained models, alignments and XXH64 are beyond SQL; tests/llm holds the other queries against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": _OP1,
     "op2_decontaminate": _OP2,
     "op10_embedding_near_dedup": _OP10,
+    "op11_txn_log": _OP11,
 }

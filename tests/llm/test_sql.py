@@ -21,7 +21,9 @@ def fixture(spark, path):
             t += copy + [word() for _ in range(rng.randrange(10))]
         docs.append((100 + i, rng.choice([" ", "  ", "\n"]).join(t)))
     vectors = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(120)] + [(200, None), (201, [float("nan")] * 4), (202, [None] * 4), (203, [0.0] * 4), (204, [])]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    docs = [(d, t, rng.choice(["a", "a", "b", None])) for d, t in docs] + [(1000 + i, rng.choice(["x", None, ""]), rng.choice(["a", "c"])) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(d, rng.choice([0, 1, 1, None])) for d in (3, 3, 4, None, *range(1000, 1300, 7))], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return str(path), "/*.parquet"
@@ -31,9 +33,10 @@ def fixture(spark, path):
 def test_queries_equal_sql(spark, data, tmp_path, name):
     for d, files in ((data, ""), fixture(spark, tmp_path)):
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "embeddings"):
+        for t in ("documents", "benchmark", "embeddings", "labels"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet{files}'")
-        got, want = llm.QUERIES[name](spark, d).toPandas(), con.execute(llm.ORACLE_SQL[name]).df()
-        cols = sorted(got.columns)
-        assert cols == sorted(want.columns)
-        assert len(got) and sorted(got[cols].itertuples(index=False, name=None)) == sorted(want[cols].itertuples(index=False, name=None))
+        got, want = llm.QUERIES[name](spark, d), con.execute(llm.ORACLE_SQL[name])
+        cols, named = sorted(got.columns), [c[0] for c in want.description]
+        assert cols == sorted(named)
+        found = sorted(map(tuple, got.select(cols).collect()), key=str)
+        assert found and found == sorted((tuple(r[named.index(c)] for c in cols) for r in want.fetchall()), key=str)
