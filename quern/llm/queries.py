@@ -7,6 +7,7 @@ from .decontaminate import EXACT, LEAST_WORDS, MASKS, MATCHES, op2_decontaminate
 from .embed_dedup import op10_embedding_near_dedup
 from .line_dedup import op3_line_dedup
 from .lm_score import op6_lm_score
+from .packed_ids import op13_packed_ids
 from .pii import op9_pii
 from .simhash import op8_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_txn_log": op11_txn_log,
+    "op13_packed_ids": op13_packed_ids,
 }
 
 #: Words of whole texts, windows of 20 as strings, all but the earliest start of each sequence, and what they leave.
