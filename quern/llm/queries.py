@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .decontaminate import EXACT, LEAST_WORDS, MASKS, MATCHES, op2_decontaminate
 from .embed_dedup import op10_embedding_near_dedup
+from .lexical import K, op12_lexical_search
 from .line_dedup import op3_line_dedup
 from .lm_score import op6_lm_score
 from .packed_ids import op13_packed_ids
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_txn_log": op11_txn_log,
+    "op12_lexical_search": op12_lexical_search,
     "op13_packed_ids": op13_packed_ids,
 }
 
@@ -97,10 +99,20 @@ last AS (SELECT e.epoch, c.key AS key, c.v AS v FROM epochs e JOIN applied a ON
 SELECT 'state' AS kind, epoch AS id, count(v) AS n, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM epochs LEFT JOIN last USING (epoch) GROUP BY epoch
 UNION ALL SELECT 'rollback', c.id, ender, c.key FROM back UNION ALL SELECT 'abort', c.id, ender, c.key FROM (SELECT unnest(live) AS c, ender FROM done WHERE NOT committed)"""
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Scores of all documents that share a term with an item.
+_OP12 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) FILTER (len(ts) > 0) AS a, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL), w AS (SELECT t, CAST(floor(1000 * ln((2 * a + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, a),
+q AS (SELECT i, item_id, unnest(list_distinct(ts)) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ts FROM benchmark WHERE text IS NOT NULL)),
+sc AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * a) // l)))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN w USING (t), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM sc WHERE score > 0 QUALIFY rank <= {K}"""
+
 #: Encoders, trained models, alignments and XXH64 are beyond SQL; tests/llm holds the other queries against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": _OP1,
     "op2_decontaminate": _OP2,
     "op10_embedding_near_dedup": _OP10,
     "op11_txn_log": _OP11,
+    "op12_lexical_search": _OP12,
 }
