@@ -13,6 +13,8 @@ after the other; all commits share one store.
 4. What is left of committed transactions feeds windows by key: the change of the store from one epoch to the next,
    summed up along the epochs.
 
+Tables that grow with the log are joined by a merge on both sides' keys; none is broadcast.
+
 Defined cases: records without a position are no part of the log. A null source is a source like any other. Records
 that share a position follow by kind, key and value; equal ones are as many records. A null key is a key. An empty log has
 no rows; a log without commits has no epochs. Extra columns are ignored.
@@ -46,7 +48,7 @@ def running(rows: DataFrame, per: list[str], order: list[str], what: Column, nam
     totals = rows.groupBy("block", *per).agg(F.sum("~x").alias("~t"))
     carried = F.sum("~t").over(W.partitionBy(*per).orderBy("block").rowsBetween(*_BEFORE))
     totals = totals.select("block", *per, F.coalesce(carried, F.lit(0)).alias("~t"))
-    both = rows.withColumn("~o", F.coalesce(own, F.lit(0))).join(totals, ["block", *per])
+    both = rows.withColumn("~o", F.coalesce(own, F.lit(0))).join(totals.hint("merge"), ["block", *per])
     return both.withColumn(name, F.col("~o") + F.col("~t")).drop("~x", "~o", "~t")
 
 
@@ -122,7 +124,7 @@ def reassemble(log: DataFrame, *, blocks: int = BLOCKS, segment: int = SEGMENT,
     commits = running(whole.where(F.col("op") == COMMIT).select("src", "txn", "pos", "block"), [], ["pos", "src", "txn"], F.lit(1), "n")
     commits = materialise(commits.select("src", "txn", (F.col("n") + 1).alias("commit"), (F.floor(F.col("n") / epoch) + 1).alias("epoch")), "commits")
 
-    known = segments.drop("end").join(whole.withColumnRenamed("pos", "end_pos"), ["src", "txn"]).join(commits, ["src", "txn"], "left")
+    known = segments.drop("end").join(whole.withColumnRenamed("pos", "end_pos").hint("merge"), ["src", "txn"]).join(commits.hint("merge"), ["src", "txn"], "left")
     known = known.withColumn("mine", F.filter("gone", lambda g: g["seg"] == F.col("seg")))
     fate = lambda f: F.lit(f).alias("fate")
     here = F.transform("undone", lambda u: F.struct(u["pos"].alias("pos"), u["key"].alias("key"), F.lit(None).cast("bigint").alias("value"), fate("rollback"), u["by"].alias("by"), F.lit(0).cast("bigint").alias("at")))
@@ -147,7 +149,7 @@ def _states(changes: DataFrame, commits: DataFrame, blocks: int) -> DataFrame:
     # the value before a key's first change in a block is that after its last one in the blocks before
     ends = kept.groupBy("key", "block").agg(F.max_by("last", "epoch").alias("last"))
     ends = ends.select("key", "block", F.lag("last").over(W.partitionBy("key").orderBy("block")).alias("carried"))
-    seen = kept.withColumn("before", F.lag("last").over(W.partitionBy("key", "block").orderBy("epoch"))).join(ends, ["key", "block"])
+    seen = kept.withColumn("before", F.lag("last").over(W.partitionBy("key", "block").orderBy("epoch"))).join(ends.hint("merge"), ["key", "block"])
     was, now = F.coalesce("before", "carried")["value"], F.col("last.value")
     there = lambda c: c.isNotNull().cast("long")
     moved = seen.select("epoch", (there(now) - there(was)).alias("dn"), (F.coalesce(now, F.lit(0)) - F.coalesce(was, F.lit(0))).alias("dv"))
@@ -169,7 +171,7 @@ def log_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("pos"), F.col("source").cast("string").alias("source"), op.alias("op"), F.when(op == CHANGE, F.floor(h / 100) % 300).alias("key"), "text")
     rows = rows.select("pos", "source", "op", "key", F.when(F.col("op") == CHANGE, F.crc32(F.concat_ws(":", F.col("key").cast("string"), F.col("text")).cast("binary"))).alias("value"), (F.col("text").isNull()).alias("none"))
     toxic = labels.where("toxic = 1").select(F.col("doc_id").cast("long").alias("pos"), F.lit(True).alias("bad")).distinct()
-    return rows.join(toxic, "pos", "left").select("pos", "source", "op", "key", F.when(~F.col("none") & F.col("bad").isNull(), F.col("value")).alias("value"))
+    return rows.join(toxic.hint("merge"), "pos", "left").select("pos", "source", "op", "key", F.when(~F.col("none") & F.col("bad").isNull(), F.col("value")).alias("value"))
 
 
 def op11_txn_log(spark, sf_dir: str) -> DataFrame:
