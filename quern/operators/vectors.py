@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,12 +12,14 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scores import dot
 from ..functions.text import squeeze
+from ..sources.tables import written
 
 DIM = 64
-#: Rows of queries that go to all executors at once; more are joined without a hint.
+#: Rows that go to all executors at once; more are joined without a hint.
 MOST_SENT = 50_000
+#: Bytes of query vectors that go to all executors at once; more are taken in blocks.
+QUERY_BYTES = 32 << 20
 #: Vectors and queries of one matrix product: 32 MB of scores.
 BLOCK = 2048
 
@@ -78,23 +83,32 @@ def _sound(vec: str, dim: int) -> Column:
     return F.coalesce((F.size(vec) == dim) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: Column | int, most: int, dim: int = DIM) -> DataFrame:
+def query_blocks(queries: DataFrame, vec: str, dim: int, limit: int = QUERY_BYTES) -> Iterator[pa.Table]:
+    """The rows of queries, one block after the other, each of about ``limit`` bytes of vectors; made as they are asked for."""
+    n = max(1, -(-queries.count() * dim * 8 // limit))
+    if n == 1:
+        yield queries.toArrow()
+        return
+    for b in range(n):
+        yield queries.where(F.pmod(F.xxhash64(vec, *(c for c in queries.columns if c != vec)), F.lit(n)) == b).toArrow()
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: Column | int, most: int, dim: int = DIM, save=written, limit: int = QUERY_BYTES) -> DataFrame:
     """queries (query_id, variant, vec[, k]) against vectors (chunk_id, vec): the best k chunks of each query, best variant first.
 
     Unit vectors; zero vectors score 0; vectors that are null, of another length or hold nulls or NaN are not searched for nor found.
-    A stated set of queries meets all rows: up to MOST_SENT query rows go to all executors, more meet the vectors in the JVM.
+    A stated set of queries meets all rows: blocks of ``limit`` bytes of queries go to all executors one after the other.
     """
     q = queries.where(_sound("vec", dim)).select("query_id", "variant", F.col("vec").alias("qv"), *(["k"] if "k" in queries.columns else []))
-    sent_rows = q.limit(MOST_SENT + 1).toArrow()
-    if sent_rows.num_rows <= MOST_SENT:
-        spark = q.sparkSession
-        names = spark.createDataFrame(sent_rows.drop_columns("qv").append_column("q", pa.array(np.arange(sent_rows.num_rows, dtype=np.int32))), T.StructType([*(f for f in q.schema if f.name != "qv"), T.StructField("q", T.IntegerType())]))
-        scored = _block_scores(sent_rows, vectors, most, dim).join(F.broadcast(names), "q").drop("q").withColumn("score", F.round("score", 9))
-    else:
-        scored = vectors.where(_sound("vec", dim)).crossJoin(q).withColumn("score", F.round(dot(F.col("vec"), F.col("qv"), dim), 9)).drop("vec", "qv")
-    limit = F.col("k") if "k" in queries.columns else F.lit(k)
+    parts, spark = [], q.sparkSession
+    kinds = T.StructType([*(f for f in q.schema if f.name != "qv"), T.StructField("q", T.IntegerType())])
+    for block in query_blocks(q, "qv", dim, limit):
+        names = spark.createDataFrame(block.drop_columns("qv").append_column("q", pa.array(np.arange(block.num_rows, dtype=np.int32))), kinds)
+        parts.append(_block_scores(block, vectors, most, dim).join(F.broadcast(names), "q").drop("q").withColumn("score", F.round("score", 9)))
+    scored = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, [save(p) for p in parts])
+    lim = F.col("k") if "k" in queries.columns else F.lit(k)
     per = Win.partitionBy("query_id", "variant").orderBy(F.desc("score"), "chunk_id")
-    cut = scored.withColumn("r", F.row_number().over(per)).where((F.col("r") <= most) & (F.col("r") <= limit))
+    cut = scored.withColumn("r", F.row_number().over(per)).where((F.col("r") <= most) & (F.col("r") <= lim))
     best = cut.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("variant", F.struct(F.col("score"), -F.col("variant"))).alias("variant"))
     over = Win.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(over))

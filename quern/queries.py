@@ -6,17 +6,23 @@ conversations for raw user questions, events for a latency log, embeddings for v
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
 from .functions import queries as Q
 from .functions import text as X
 from .functions.scores import freshness
 from .operators import chunking, evaluate, evidence, fulltext, ranking, retrieval, vectors
+from .operators.keyword_index import KeywordIndex
+from .operators.vector_index import VectorIndex
 from .plans import answer as plans
 from .plans import ingest
 from .sources import files, store
-from .sources.tables import written
+from .sources.keyed import KeyedTable
+from .sources.tables import work_dir, written
 
 
 def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
@@ -203,6 +209,16 @@ def vector_topk(spark, d):
     return vectors.top_k(q, v, 10, 10).select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def vector_index_topk(spark, d):
+    """Every 50th vector against a stored table of all vectors but those of one label, which were deleted again."""
+    v = _read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").cast("string").alias("document_id"), "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    index = VectorIndex.create(spark, _folder(spark), v, 64)
+    index.upsert(v)
+    index.delete(v.where("label = 3"))
+    got = index.top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec"), 10)
+    return got.rows.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def vector_bow_topk(spark, d):
     return _vec_leg(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -229,6 +245,33 @@ def vector_multi_query_max(spark, d):
     return vectors.top_k(q, v, 10, 10).select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _folder(spark) -> str:
+    """A new place for stored tables."""
+    return f"{work_dir(spark)}/quern-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _indexed(spark, d):
+    """A keyword index that has seen texts which were replaced since, and documents that were deleted since; title and section are a chunk's first words."""
+    words = F.split("text", " ")
+    part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    c = written(_chunks(spark, d).withColumn("title", part(1, 6)).withColumn("section_title", part(7, 4)))
+    index = KeywordIndex(spark, _folder(spark))
+    index.upsert(c.where("chunk_index = 0").withColumn("chunk_id", F.concat("chunk_id", F.lit(":old"))).withColumn("text", F.reverse("text")))
+    index.upsert(c)
+    index.delete(_docs(spark, d).where("lang = 'de'").select("document_id"))
+    return index
+
+
+def keyword_index_topk(spark, d):
+    """Top-k from a stored index after upserts and deletions."""
+    return _indexed(spark, d).top_k(_questions(spark, d), 10).rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def keyword_index_boolean(spark, d):
+    """Chunks with all terms from a stored index after upserts and deletions."""
+    return _indexed(spark, d).boolean(_questions(spark, d), 10).rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 # --- ranking, selection, evidence ------------------------------------------
 
 
@@ -386,13 +429,23 @@ def doc_delete(spark, d):
     return kept
 
 
+def keyed_merge(spark, d):
+    """Chunks in a keyed table: all stored in a form with stale tails, then replaced by document, then some documents deleted."""
+    c = written(_chunks(spark, d).select("document_id", "chunk_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.md5("text").alias("text_md5")))
+    table = KeyedTable(spark, _folder(spark), "document_id", c.schema)
+    table.merge(c.unionByName(c.withColumn("chunk_index", F.col("chunk_index") + 1000).withColumn("text_md5", F.lit("stale"))))
+    table.merge(c)
+    table.merge(gone=_docs(spark, d).where("lang = 'fr'").select("document_id"))
+    return table.read()
+
+
 def _ingested(spark, d):
     return _docs(spark, d).select("document_id", "text", "file_type", F.col("source_type").alias("title"))
 
 
 def ingest_summary(spark, d):
-    """Documents and chunks by status."""
-    return ingest.summary(ingest.ingest(_ingested(spark, d))[1])
+    """Documents and chunks by status, all cut by word windows."""
+    return ingest.summary(ingest.ingest(_ingested(spark, d), cfg=Config(chunker="word", adaptive_chunking=False))[1])
 
 
 def ingest_results(spark, d):
@@ -408,7 +461,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_word_windows, chunk_token_estimates, chunk_identity_hashes, chunker_decision, hierarchical_parents, semantic_chunks, adaptive_chunks, section_split_pages, contextual_preambles, sentence_counts,
     term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_filtered_topk, boolean_all_terms, fulltext_topk, hash_bow_vectors, vector_topk, vector_bow_topk, hybrid_fusion, hybrid_stats, neighbour_expansion,
     rerank_fallback, rerank_lexical, freshness_decay, dedupe_exact_rules, dedupe_full, mmr_select, token_budget_greedy, compress_extractive, coverage_gaps, evidence_package, agent_answer,
-    vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results,
+    vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results, keyword_index_topk, keyword_index_boolean, keyed_merge, vector_index_topk,
     query_classify, query_rewrite, search_plan, strategy_route, decompose_rules, golden_relevance, eval_report, eval_by_tag, latency_percentiles, doc_upsert, chunk_replace, doc_delete, store_info,
 )}
 
@@ -433,6 +486,16 @@ _TOP10 = BM25.replace("QUALIFY rank <= 30", "QUALIFY rank <= 10")
 _SCORED = rf"""{_TOP10}, rel AS (SELECT b.item_id AS id, min(CASE WHEN contains(lower(c.text), lower(b.text)) AND b.text <> '' THEN rank END) AS first_rank FROM benchmark b LEFT JOIN kw ON kw.query_id = b.item_id LEFT JOIN chunks c USING (chunk_id) GROUP BY 1),
 sc AS (SELECT id, first_rank, coalesce(first_rank <= 1, false) AS hit_at_1, coalesce(first_rank <= 3, false) AS hit_at_3, coalesce(first_rank <= 5, false) AS hit_at_5, coalesce(1.0 / first_rank, 0) AS rr FROM rel)"""
 
+#: BM25 over documents in other languages than German, with the first words of a chunk as its title and section.
+_STORED = (
+    BM25.replace("FROM documents WHERE", "FROM documents WHERE lang <> 'de' AND")
+    .replace(", tok AS (", ", tc AS (SELECT chunk_id, text, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS title, array_to_string(list_slice(string_split(text, ' '), 7, 10), ' ') AS section FROM chunks), tok AS (")
+    .replace(f"SELECT chunk_id, {_kw('text')} AS ts FROM chunks)", f"SELECT chunk_id, {_kw("title || ' ' || section || ' ' || text")} AS ts FROM tc)")
+    .replace("kws AS (", f"heads AS (SELECT chunk_id, 0.35 AS x, unnest(list_distinct({_kw('title')})) AS term FROM tc UNION ALL SELECT chunk_id, 0.25, unnest(list_distinct({_kw('section')})) FROM tc), bonus AS (SELECT query_id, chunk_id, sum(x) AS t FROM heads JOIN qt USING (term) GROUP BY ALL), kws AS (")
+    .replace("round(s + CASE", "round(s + coalesce(t, 0) + CASE").replace("FROM base JOIN benchmark", "FROM base LEFT JOIN bonus ON bonus.query_id = base.query_id AND bonus.chunk_id = base.chunk_id JOIN benchmark").replace("SELECT query_id, base.chunk_id", "SELECT base.query_id, base.chunk_id").replace("b.item_id = query_id JOIN chunks c", "b.item_id = base.query_id JOIN chunks c")
+    .replace("QUALIFY rank <= 30", "QUALIFY rank <= 10")
+)
+
 ORACLE_SQL = {
     "chunk_word_windows": f"WITH {CHUNKS} SELECT chunk_id, chunk_index, md5(text) AS text_md5 FROM chunks",
     "chunk_token_estimates": f"WITH {CHUNKS} SELECT chunk_id, CAST(greatest(1, ceil(len(text) / 4.0)) AS BIGINT) AS budget_tokens, CAST(greatest(1, floor(len(text) / 4.0)) AS BIGINT) AS stored_tokens FROM chunks",
@@ -463,7 +526,11 @@ ORACLE_SQL = {
     "retry_decision": f"WITH {BM25} {VEC} {FUSE} {RR}, p AS (SELECT query_id, max(rerank_score) AS top, {_ct('any_value(b.text)')} AS q, {_ct("string_agg(c.text, ' ')")} AS t FROM cut JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 8 GROUP BY query_id), d AS (SELECT query_id, CASE WHEN top < 0.3 THEN 'low_rerank_below_0.3' WHEN len(list_filter(q, lambda x: NOT list_contains(t, x))) > 0 THEN 'coverage_gaps' ELSE 'above_floor' END AS reason FROM p) SELECT query_id, reason <> 'above_floor' AS triggered, reason FROM d",
     "passthrough_answer": f"WITH {BM25.replace('QUALIFY rank <= 30', 'QUALIFY rank <= 3')}, a AS (SELECT query_id, string_agg('[' || rank || '] ' || trim(text), chr(10) || chr(10) ORDER BY rank) AS t, max(chunk_id) FILTER (rank = 1) AS c1, max(chunk_id) FILTER (rank = 2) AS c2 FROM kw JOIN chunks USING (chunk_id) GROUP BY query_id) SELECT item_id AS query_id, md5(coalesce(t, 'No evidence retrieved for this query.')) AS answer_md5, concat_ws(',', c2, c1) AS cited FROM benchmark LEFT JOIN a ON query_id = item_id",
     "vector_multi_query_max": "WITH s AS (SELECT q.vec_id % 5 + (q.vec_id // 50) % 5 AS query_id, q.vec_id AS variant, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, vec_id) <= 10), b AS (SELECT query_id, vec_id, max(score) AS score FROM t GROUP BY ALL) SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b",
-    "ingest_summary": f"WITH {CHUNKS} SELECT CASE WHEN n IS NULL THEN 'error' ELSE 'ok' END AS status, count(*) AS documents, coalesce(sum(n), 0) AS chunks FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id) GROUP BY 1",
+    "ingest_summary": f"WITH {CHUNKS}, n AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) SELECT CASE WHEN n IS NULL THEN 'error' ELSE 'ok' END AS status, count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM documents LEFT JOIN n ON document_id = 'doc:' || doc_id GROUP BY 1",
+    "keyword_index_topk": f"WITH {_STORED} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
+    "keyword_index_boolean": f"WITH {_STORED}, need AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), fit AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS c FROM tf JOIN qt USING (term) GROUP BY ALL) JOIN need USING (query_id) WHERE c = m) SELECT query_id, chunk_id, round(score, 6) AS score FROM kws JOIN fit USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10",
+    "vector_index_topk": "WITH s AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.label <> 3) SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
+    "keyed_merge": f"WITH {CHUNKS} SELECT document_id, chunk_id, chunk_index, md5(chunks.text) AS text_md5 FROM chunks JOIN documents ON document_id = 'doc:' || doc_id WHERE lang <> 'fr'",
     "ingest_results": r"WITH e AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' AS bad FROM documents) SELECT 'doc:' || doc_id AS document_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'extract' END AS error_stage, CASE WHEN bad THEN 'extracted text is empty' END AS error_reason FROM e",
     "golden_relevance": f"WITH {_SCORED} SELECT id, first_rank, hit_at_1, hit_at_3, hit_at_5, round(rr, 6) AS rr FROM sc",
     "eval_report": f"WITH {_SCORED} SELECT count(*) AS total, CAST(0 AS BIGINT) AS errors, round(avg(hit_at_1::INT), 6) AS recall_at_1, round(avg(hit_at_3::INT), 6) AS recall_at_3, round(avg(hit_at_5::INT), 6) AS recall_at_5, round(avg(rr), 6) AS mrr FROM sc",

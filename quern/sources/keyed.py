@@ -169,9 +169,10 @@ class KeyedTable:
         made = kept if rows is None else rows if kept is None else kept.unionByName(rows)
         return self._put(old, number, self._write(made) if made is not None else {}, tuple(touched), mark)
 
-    def replace_buckets(self, rows: DataFrame, buckets, bucket: str, *, base: int | None = None, mark: tuple[str, int] | None = None) -> Change:
-        """The named buckets hold these rows alone, dealt by the column ``bucket``, which need not follow from the key."""
-        return self._put(self.version(base), self._next(), self._write(rows, F.col(bucket)), tuple(sorted(buckets)), mark)
+    def replace_buckets(self, rows: DataFrame, buckets, bucket: str, *, base: int | None = None, mark: tuple[str, int] | None = None, also: dict[str, int] | None = None) -> Change:
+        """The named buckets hold these rows alone, dealt by the column ``bucket``, which need not follow from the key; also: further marks."""
+        old, number = self.version(base), self._next()
+        return self._put(old, number, self._write(rows, F.col(bucket)), tuple(sorted(buckets)), mark, also)
 
     def _write(self, rows: DataFrame, bucket: Column | None = None) -> dict[int, list[tuple[str, int]]]:
         name = f"data/{uuid.uuid4().hex}"
@@ -187,9 +188,9 @@ class KeyedTable:
         """The number that a write which starts now has to get."""
         return max(self.numbers(), default=0) + 1
 
-    def _put(self, old: Version, number: int, made: dict[int, list[tuple[str, int]]], touched: tuple[int, ...], mark: tuple[str, int] | None) -> Change:
+    def _put(self, old: Version, number: int, made: dict[int, list[tuple[str, int]]], touched: tuple[int, ...], mark: tuple[str, int] | None, also: dict[str, int] | None = None) -> Change:
         rest = {b: f for b, f in old.buckets.items() if b not in touched}
-        self._commit(Version(number, rest | made, old.marks | ({mark[0]: mark[1]} if mark else {})))
+        self._commit(Version(number, rest | made, old.marks | ({mark[0]: mark[1]} if mark else {}) | (also or {})))
         return Change(number, touched, sum(map(len, made.values())), sum(map(len, rest.values())))
 
     def vacuum(self, keep: list[int] | int = 1) -> int:

@@ -303,7 +303,7 @@ def _rows(d, cols):
     return sorted([tuple("" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, Number) else str(x) for x in r) for r in d[cols].itertuples(index=False)])
 
 
-@pytest.mark.parametrize("name", ["chunk_word_windows", "chunk_identity_hashes", "sentence_counts", "bm25_topk", "bm25_filtered_topk", "hybrid_fusion", "neighbour_expansion", "rerank_fallback", "rerank_lexical", "token_budget_greedy", "coverage_gaps", "query_classify", "golden_relevance", "latency_percentiles", "search_plan", "strategy_route", "retry_decision", "passthrough_answer", "vector_multi_query_max", "ingest_results"])
+@pytest.mark.parametrize("name", sorted(engine.ORACLE_SQL))
 def test_queries_equal_sql(spark, data, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "events", "embeddings"):
