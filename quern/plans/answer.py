@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import queries as Q
-from ..operators import evidence, ranking, retrieval, vectors
+from ..operators import evidence, providers, ranking, retrieval, vectors
+from ..operators.keyword_index import KeywordIndex
+from ..operators.providers import Providers
 from ..sources.tables import written
 
 
@@ -19,17 +21,27 @@ def _most(cfg: Config) -> int:
     return max(100, 2 * max(cfg.keyword_top_k, cfg.vector_top_k, cfg.merged_limit, cfg.rerank_top_k))
 
 
+def _cache(rows: DataFrame, models: Providers):
+    return providers.cache_table(rows.sparkSession, f"{models.cache}/texts") if models.cache else None
+
+
 @dataclass
 class Corpus:
-    """chunks: chunk_id, document_id, source_id, chunk_index, title, section_title, text; vectors: chunk_id, vec."""
+    """chunks: chunk_id, document_id, source_id, chunk_index, title, section_title, text; vectors: chunk_id, vec; keywords: their stored index, if there is one."""
 
     chunks: DataFrame
     vectors: DataFrame
+    keywords: KeywordIndex | None = None
 
 
-def understand(questions: DataFrame, cfg: Config = Config()) -> DataFrame:
+def understand(questions: DataFrame, cfg: Config = Config(), models: Providers = Providers()) -> DataFrame:
     """questions (query_id, query) with u, rw, route and the limits of their strategies, as columns."""
-    out = Q.with_rewrite(questions, "query").withColumn("u", Q.understand(F.col("query")))
+    if models.rewriter:
+        asked = providers.rewrite(questions, models.rewriter, _cache(questions, models))
+        out = Q.with_rewrite(asked, "rewritten").drop("rewritten", "rewritten_used", "rewritten_error")
+    else:
+        out = Q.with_rewrite(questions, "query")
+    out = out.withColumn("u", Q.understand(F.col("query")))
     out = out.withColumn("route", Q.route(F.col("query"), F.col("u"), cfg.strategy))
     return out.withColumn("lim", Q.strategy_plan(F.col("route.strategy"), Q.plan(F.col("u"), cfg), cfg))
 
@@ -38,8 +50,11 @@ def _search(asked: DataFrame, corpus: Corpus, cfg: Config) -> DataFrame:
     """asked: query_id, parent_id, query, rw, lim. The reranked rows of each query."""
     most = _most(cfg)
     lim = asked.select("query_id", "lim", F.col("rw.cleaned").alias("query"))
-    kw = retrieval.bm25_scores(asked.select("query_id", F.col("rw.keyword_query").alias("query")), corpus.chunks)
-    kw = retrieval.ranked(kw.join(lim.select("query_id", F.col("lim.keyword_top_k").alias("k")), "query_id"), F.col("k"), most).drop("k")
+    words = asked.select("query_id", F.col("rw.keyword_query").alias("query"), F.col("lim.keyword_top_k").alias("k"))
+    if corpus.keywords:
+        kw = corpus.keywords.top_k(words, most=most).rows
+    else:
+        kw = retrieval.ranked(retrieval.bm25_scores(words, corpus.chunks).join(words.select("query_id", "k"), "query_id"), F.col("k"), most).drop("k")
     variants = vectors.with_hash_vector(asked.select("query_id", F.col("lim.vector_top_k").alias("k"), F.posexplode("rw.semantic_queries").alias("variant", "text")), "text")
     ve = vectors.top_k(variants.drop("text"), corpus.vectors, F.col("k"), most)
     merged = retrieval.ranked(retrieval.fuse(kw, ve, cfg.weight_vector, cfg.weight_keyword).join(lim.select("query_id", F.col("lim.merged_limit").alias("k"), F.col("lim.expansion").alias("x")), "query_id"), F.col("k"), most)
@@ -52,10 +67,14 @@ def _search(asked: DataFrame, corpus: Corpus, cfg: Config) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(over)).where((F.col("rank") <= most) & (F.col("rank") <= F.col("lim.rerank_top_k")))
 
 
-def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written) -> DataFrame:
+def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written, models: Providers = Providers()) -> DataFrame:
     """One evidence record for each question; complex questions are split, searched in parts and ranked again as a whole."""
     deep = F.col("route.strategy") == "deep"
     parts = F.when(deep, Q.decompose(F.col("query"), cfg.deep_max, cfg.deep_min)).otherwise(F.array("query"))
+    if models.decomposer:
+        broken = providers.decompose(understood.where(deep).select("query_id", "query"), models.decomposer, cfg.deep_max, cfg.deep_min, _cache(understood, models)).select("query_id", "parts")
+        understood = save(understood.join(broken, "query_id", "left").withColumn("parts", F.coalesce("parts", F.array("query"))))
+        parts = F.col("parts")
     split = understood.select(F.col("query_id").alias("parent_id"), "query", "rw", "lim", F.posexplode(parts).alias("part", "sub"))
     many = F.col("sub") != F.col("query")
     name = F.concat_ws("#", F.col("parent_id").cast("string"), F.col("part").cast("string"))
@@ -74,25 +93,30 @@ def retrieve(understood: DataFrame, corpus: Corpus, cfg: Config = Config(), save
     kept = save(ranking.dedupe(save(reranked)))
     picked = ranking.mmr(kept, cfg.max_tokens, cfg.max_chunks, cfg.mmr_lambda)
     rewritten = understood.select("query_id", F.concat_ws(" ", F.col("rw.semantic_queries")[0], F.array_join("rw.must_have", " ")).alias("anchor"), F.col("rw.semantic_queries")[0].alias("rewritten"))
-    small = ranking.compress(picked.drop("query").join(rewritten.select("query_id", F.col("anchor").alias("query")), "query_id"))
+    picked = picked.drop("query").join(rewritten.select("query_id", F.col("anchor").alias("query")), "query_id")
+    small = providers.compress(save(picked), models.compressor, cache=_cache(understood, models)) if models.compressor else ranking.compress(picked)
     small = small.withColumn("compressed", F.when(F.col("squash"), F.col("compressed")).otherwise(F.col("text")))
     heads = understood.select("query_id", "query", "route", "rw").join(rewritten.select("query_id", "rewritten"), "query_id")
     return evidence.package(heads, kept, small, cfg.max_tokens)
 
 
-def answer(questions: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written) -> DataFrame:
+def answer(questions: DataFrame, corpus: Corpus, cfg: Config = Config(), save=written, models: Providers = Providers()) -> DataFrame:
     """Answers with evidence. Weak results are searched once more with the terms they lack; the better result stays.
 
     save: cuts the plan after each step, by default with a written table; the second pass reads only flagged questions.
+    models: providers for single steps; what they fail at is done by rules.
     """
-    asked = save(understand(questions, cfg))
-    first = save(retrieve(asked, corpus, cfg, save))
+    asked = save(understand(questions, cfg, models))
+    first = save(retrieve(asked, corpus, cfg, save, models))
     decided = first.withColumn("retry", Q.retry_decision(F.col("top_rerank_score"), F.size("coverage_gaps"), cfg.retry_floor))
     again = decided.withColumn("again", Q.retry_query(F.col("query"), F.col("rw.must_have"), F.col("coverage_gaps"))).where("retry.triggered and again is not null and route.strategy <> 'simple'")
-    second = understand(again.select("query_id", F.col("again").alias("query")), cfg)
-    second = save(retrieve(save(second), corpus, cfg, save)).select("query_id", F.struct("context", "evidence", "citations", "coverage_gaps", "confidence", "top_rerank_score", "usage").alias("n"))
+    second = understand(again.select("query_id", F.col("again").alias("query")), cfg, models)
+    second = save(retrieve(save(second), corpus, cfg, save, models)).select("query_id", F.struct("context", "evidence", "citations", "coverage_gaps", "confidence", "top_rerank_score", "usage").alias("n"))
     both = decided.join(second, "query_id", "left")
     better = F.coalesce(F.col("n.top_rerank_score") > F.coalesce("top_rerank_score", F.lit(0.0)), F.lit(False))
     take = [F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("context", "evidence", "citations", "coverage_gaps", "confidence", "top_rerank_score", "usage")]
     out = both.select("query_id", "query", "route", "retry", F.when(better, "retry").otherwise("original").alias("kept"), *take)
+    if models.answerer:
+        said = providers.answer(save(out), models.answerer, cache=_cache(questions, models))
+        return said.withColumnRenamed("answer_text", "answer").drop("cited")
     return out.withColumn("answer", evidence.passthrough_answer(F.col("context")))

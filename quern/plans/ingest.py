@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import vectors
+from ..operators import providers, vectors
 from ..operators.chunking import chunk, with_preamble
+from ..operators.providers import Providers
 from ..sources import store
 from ..sources.tables import written
 
@@ -30,13 +31,23 @@ def checked(docs: DataFrame) -> DataFrame:
     return docs.withColumn("error_stage", stage).withColumn("error_reason", F.when(stage == "validate", "document_id is empty").when(stage == "extract", "extracted text is empty"))
 
 
-def embedded(chunks: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """(document_id, chunk_id, vec): the stored text stays as it is, the vector is of the preamble and the text."""
+def embedded(chunks: DataFrame, cache: DataFrame | None = None, models: Providers = Providers(), documents: DataFrame | None = None) -> DataFrame:
+    """(document_id, chunk_id, vec): the stored text stays as it is, the vector is of the preamble and the text.
+
+    cache: (chunk_id, preamble). With a contextualizer, preambles come from the model, through its cache, and need documents (document_id, text). With an
+    embedder so do vectors; a chunk that it fails at has a null vector, which is not searched.
+    """
+    spark = chunks.sparkSession
+    if models.contextualizer and documents is not None:
+        cache = providers.preambles(chunks, documents, models.contextualizer, cache=providers.cache_table(spark, f"{models.cache}/texts") if models.cache else None)
     text = with_preamble(chunks, cache)
+    if models.embedder:
+        kept = providers.cache_table(spark, f"{models.cache}/vectors", providers.VECTOR) if models.cache else None
+        return providers.embed(text.select("document_id", "chunk_id", "embed_text"), "embed_text", models.embedder, models.dim, kept).select("document_id", "chunk_id", "vec")
     return vectors.hash_vectors(text, "chunk_id", "embed_text").join(chunks.select("document_id", "chunk_id"), "chunk_id").select("document_id", "chunk_id", "vec")
 
 
-def ingest(docs: DataFrame, old: Stored | None = None, cfg: Config = Config(), cache: DataFrame | None = None, save=written) -> tuple[Stored, DataFrame]:
+def ingest(docs: DataFrame, old: Stored | None = None, cfg: Config = Config(), cache: DataFrame | None = None, save=written, models: Providers = Providers()) -> tuple[Stored, DataFrame]:
     """docs (document_id, text, file_type, title, ...) into old: the new tables, and a result row for each of docs.
 
     Bad rows don't stop the others. All chunks and vectors of an ingested document take the place of its old ones. Of rows
@@ -50,7 +61,7 @@ def ingest(docs: DataFrame, old: Stored | None = None, cfg: Config = Config(), c
     titles = new.select("document_id", "title") if "title" in keep else new.select("document_id", F.lit("").alias("title"))
     made = chunk(new.select("document_id", "text", "file_type"), cfg).withColumnRenamed("title", "section_title").join(titles, "document_id")
     chunks = save(made.select("document_id", "chunk_id", "chunk_index", "title", "section_title", "text", "parent_text", "parent_chunk_id"))
-    vecs = embedded(chunks, cache)
+    vecs = embedded(chunks, cache, models, new.select("document_id", "text"))
     counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     rows = good.groupBy("document_id").agg(F.count(F.lit(1)).alias("c"))
     status = F.when(F.col("i") > 1, "repeated").when(F.coalesce("n_chunks", F.lit(0)) == 0, "error").otherwise("ok")

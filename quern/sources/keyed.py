@@ -163,6 +163,8 @@ class KeyedTable:
         keys = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
         touched = sorted(r[0] for r in keys.select(self.bucket()).distinct().collect())  # numbers of buckets, no more than there are
         if not touched:
+            if not mark:
+                return Change(old.number, (), 0, len(old.files))
             return self._put(old, number, {}, (), mark)
         files = [p for b in touched for p, _ in old.buckets.get(b, [])]
         kept = self._rows(files).join(keys.distinct(), self.key, "left_anti") if files else None
