@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -409,6 +409,29 @@ def latency_percentiles(spark, d):
     return evaluate.exact_percentiles(_read(spark, d, "events"), "event_type", "value", [50, 95])
 
 
+def latency_percentiles_hot(spark, d):
+    """All events as one key, found by ranges rather than by sorting."""
+    rows = _read(spark, d, "events").select(F.lit("all").alias("event_type"), "value")
+    return evaluate.percentiles(rows, "event_type", "value", [5, 50, 95, 99], most=500)
+
+
+def eval_full_report(spark, d):
+    """Every measure for all questions and by tag: relevance of the ten best chunks, latencies and errors of the event that has a question's number, and how much shorter the three best are."""
+
+    def search(questions):
+        top = retrieval.bm25_top_k(questions, _chunks(spark, d), 10).join(_chunks(spark, d).select("chunk_id", "source_id", "text"), "chunk_id")
+        log = _read(spark, d, "events").select(F.col("event_id").alias("query_id"), F.when(F.col("event_type") == "error", "timed out").alias("error"), F.col("value").alias("latency_ms"))
+        best = top.withColumn("confidence", F.least(F.lit(1.0), F.max("score").over(Window.partitionBy("query_id")) / 100))
+        return questions.select("query_id").join(best, "query_id", "left").join(log, "query_id", "left")
+
+    none = F.array().cast("array<string>")
+    golden = _questions(spark, d).select(F.col("query_id").alias("id"), "query", none.alias("expected_ids"), F.array("query").alias("expected_substrings"), F.array(F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"), F.when(F.col("query_id") % 3 == 0, "third")).alias("tags"))
+    rows = evaluate.run_items(golden, search)
+    sizes = _rows(spark, d, retrieval.bm25_top_k(_questions(spark, d), _chunks(spark, d), 10)).groupBy(F.col("query_id").alias("id")).agg(F.sum(F.length("text")).alias("chars_before"), F.sum(F.when(F.col("rank") <= 3, F.length("text"))).alias("chars_after"))
+    out = evaluate.full_report(rows.join(sizes, "id", "left"))
+    return out.select("tag", *(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in out.drop("tag").dtypes))
+
+
 # --- storage ----------------------------------------------------------------
 
 
@@ -461,7 +484,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_word_windows, chunk_token_estimates, chunk_identity_hashes, chunker_decision, hierarchical_parents, semantic_chunks, adaptive_chunks, section_split_pages, contextual_preambles, sentence_counts,
     term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_filtered_topk, boolean_all_terms, fulltext_topk, hash_bow_vectors, vector_topk, vector_bow_topk, hybrid_fusion, hybrid_stats, neighbour_expansion,
     rerank_fallback, rerank_lexical, freshness_decay, dedupe_exact_rules, dedupe_full, mmr_select, token_budget_greedy, compress_extractive, coverage_gaps, evidence_package, agent_answer,
-    vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results, keyword_index_topk, keyword_index_boolean, keyed_merge, vector_index_topk,
+    vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results, keyword_index_topk, keyword_index_boolean, keyed_merge, vector_index_topk, latency_percentiles_hot, eval_full_report,
     query_classify, query_rewrite, search_plan, strategy_route, decompose_rules, golden_relevance, eval_report, eval_by_tag, latency_percentiles, doc_upsert, chunk_replace, doc_delete, store_info,
 )}
 
@@ -530,6 +553,13 @@ ORACLE_SQL = {
     "keyword_index_topk": f"WITH {_STORED} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
     "keyword_index_boolean": f"WITH {_STORED}, need AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), fit AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS c FROM tf JOIN qt USING (term) GROUP BY ALL) JOIN need USING (query_id) WHERE c = m) SELECT query_id, chunk_id, round(score, 6) AS score FROM kws JOIN fit USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10",
     "vector_index_topk": "WITH s AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.label <> 3) SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
+    "latency_percentiles_hot": "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT 'all' AS event_type, any_value(n) AS n, max(value) FILTER (i = round_even(0.05 * (n - 1), 0) + 1) AS p5, max(value) FILTER (i = round_even(0.5 * (n - 1), 0) + 1) AS p50, max(value) FILTER (i = round_even(0.95 * (n - 1), 0) + 1) AS p95, max(value) FILTER (i = round_even(0.99 * (n - 1), 0) + 1) AS p99 FROM r",
+    "eval_full_report": f"""WITH {_SCORED}, top AS (SELECT query_id AS id, max(score) AS best, sum(len(text)) AS before, sum(len(text)) FILTER (rank <= 3) AS after FROM kw JOIN chunks USING (chunk_id) GROUP BY 1),
+each AS (SELECT sc.*, least(1.0, best / 100) AS confidence, value AS ms, coalesce(event_type = 'error', false) AS bad, before, after, unnest([NULL, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END] || CASE WHEN id % 3 = 0 THEN ['third'] ELSE [] END) AS tag FROM sc LEFT JOIN top USING (id) LEFT JOIN events ON event_id = id),
+ok AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY ms) AS i, count(ms) OVER (PARTITION BY tag) AS n FROM each WHERE NOT bad),
+m AS (SELECT tag, avg(hit_at_1::INT) AS recall_at_1, avg(hit_at_3::INT) AS recall_at_3, avg(hit_at_5::INT) AS recall_at_5, avg(rr) AS mrr, avg(confidence) AS mean_confidence, avg(ms) AS mean_latency_ms, sum(after) / sum(before) AS compression_ratio, count(*) FILTER (confidence < 0.4) AS low_confidence, max(ms) FILTER (i = round_even(0.5 * (n - 1), 0) + 1) AS p50_latency_ms, max(ms) FILTER (i = round_even(0.95 * (n - 1), 0) + 1) AS p95_latency_ms FROM ok GROUP BY tag),
+t AS (SELECT tag, count(*) AS total, count(*) FILTER (bad) AS errors FROM each GROUP BY tag)
+SELECT t.tag, total, errors, coalesce(low_confidence, 0) AS low_confidence, {", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr", "mean_confidence", "mean_latency_ms", "compression_ratio", "p50_latency_ms", "p95_latency_ms"))} FROM t LEFT JOIN m ON m.tag IS NOT DISTINCT FROM t.tag""",
     "keyed_merge": f"WITH {CHUNKS} SELECT document_id, chunk_id, chunk_index, md5(chunks.text) AS text_md5 FROM chunks JOIN documents ON document_id = 'doc:' || doc_id WHERE lang <> 'fr'",
     "ingest_results": r"WITH e AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' AS bad FROM documents) SELECT 'doc:' || doc_id AS document_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'extract' END AS error_stage, CASE WHEN bad THEN 'extracted text is empty' END AS error_reason FROM e",
     "golden_relevance": f"WITH {_SCORED} SELECT id, first_rank, hit_at_1, hit_at_3, hit_at_5, round(rr, 6) AS rr FROM sc",
