@@ -45,9 +45,9 @@ class Found:
 
 
 class KeywordIndex:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, block: int = BLOCK, save=written):
-        """Opens the index at path, or makes an empty one."""
-        self.spark, self.block, self.save = spark, block, save
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, block: int = BLOCK, save=written, number: int | None = None):
+        """Opens the index at path, or makes an empty one. number: the version to search and to build on, the newest by default."""
+        self.spark, self.block, self.save, self.number = spark, block, save, number
         self.chunks = KeyedTable(spark, f"{path}/chunks", "document_id", _CHUNKS, buckets)
         self.postings = KeyedTable(spark, f"{path}/postings", "term", _POSTINGS, buckets, sort=["term", "block"])
 
@@ -58,20 +58,22 @@ class KeywordIndex:
         held = retrieval.index(chunks, lambda x: x).join(chunks.select("chunk_id", F.col("document_id").cast("string").alias("document_id")), "chunk_id")
         one = held.select("document_id", "chunk_id", "words", "title_terms", "section_terms", "said").withColumn("set", F.array_distinct("words"))
         counted = F.transform("set", lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("tf")))
-        self.chunks.merge(one.select("document_id", "chunk_id", F.size("words").alias("dl"), counted.alias("terms"), "title_terms", "section_terms", "said"))
-        return self.refresh()
+        return self.change(one.select("document_id", "chunk_id", F.size("words").alias("dl"), counted.alias("terms"), "title_terms", "section_terms", "said"))
 
     def delete(self, ids: DataFrame) -> Change:
         """Without the documents of ids (document_id)."""
-        self.chunks.merge(gone=ids)
-        return self.refresh()
+        return self.change(gone=ids)
 
-    def refresh(self) -> Change:
-        """Postings of the buckets whose chunks have changed since the postings were made, a broken-off update's among them."""
-        seen, now = self.chunks.version(self.postings.version().marks.get("chunks", 0)), self.chunks.version()
+    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> Change:
+        """Merges rows of the table of chunks; then makes the postings of the buckets whose chunks are not those the postings were made from."""
+        base, chunks = self._now()
+        now = self.chunks.version(self.chunks.merge(rows, gone, base=chunks).version)
+        seen = self.chunks.version(chunks)
         touched = sorted(b for b in {*seen.buckets, *now.buckets} if seen.buckets.get(b) != now.buckets.get(b))
         rows = self._postings(self.chunks.read(touched, now.number))
-        return self.postings.replace_buckets(rows, touched, "home", mark=("chunks", now.number))
+        done = self.postings.replace_buckets(rows, touched, "home", base=base, mark=("chunks", now.number))
+        self.number = done.version if self.number is not None else None
+        return done
 
     def _postings(self, chunks: DataFrame) -> DataFrame:
         home = self.chunks.bucket()
@@ -86,14 +88,14 @@ class KeywordIndex:
 
     def vacuum(self) -> int:
         """Deletes old versions; how many files went."""
-        used = self.postings.version().marks.get("chunks", 0)
-        return self.chunks.vacuum([n for n in self.chunks.numbers() if n >= used]) + self.postings.vacuum()
+        postings, chunks = self._now()
+        return self.chunks.vacuum([chunks]) + self.postings.vacuum([postings])
 
     # --- search ---
 
     def _now(self) -> tuple[int, int]:
-        """The versions that belong together: the newest postings, and the chunks they were made from."""
-        v = self.postings.version()
+        """The versions that belong together: the postings, and the chunks they were made from."""
+        v = self.postings.version(self.number)
         return v.number, v.marks.get("chunks", 0)
 
     def stats(self) -> DataFrame:

@@ -126,9 +126,21 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", file_type(F.col("path")).alias("kind"), "content").mapInArrow(of, schema)
 
 
-def read_folder(spark: SparkSession, root: str) -> DataFrame:
-    """All files below root as (path, content)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+def listing(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
+    """(path, length, modified) of all files below root, or of those with one of the extensions, by path. Contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    return _wanted(found, extensions).orderBy("path")
+
+
+def _wanted(rows: DataFrame, extensions: list[str] | None) -> DataFrame:
+    if extensions is None:
+        return rows
+    return rows.where(F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions]))
+
+
+def read_folder(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
+    """All files below root, or those with one of the extensions, as (path, content)."""
+    return _wanted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content"), extensions)
 
 
 def documents(extracted: DataFrame, workspace_id: str = "default") -> DataFrame:
