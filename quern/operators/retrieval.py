@@ -29,16 +29,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(keyword_tokens(F.col("query")))).alias("term"))
 
 
+def indexed(chunks: DataFrame) -> list[Column]:
+    """words, title_terms, section_terms and said of chunks; words are those of title, section and text."""
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in chunks.columns else F.lit("")
+    title, section = has("title"), has("section_title")
+    terms = lambda c: F.array_distinct(keyword_tokens(c))
+    return [keyword_tokens(F.concat_ws(" ", title, section, F.col("text"))).alias("words"), terms(title).alias("title_terms"), terms(section).alias("section_terms"), keyword_phrase(F.col("text")).alias("said")]
+
+
 def index(chunks: DataFrame, save=written) -> DataFrame:
     """(chunk_id, words, title_terms, section_terms, said): each chunk tokenised once, to be read by all that follows.
 
-    words are those of title, section and text. A store keeps this table; given again to bm25_scores, no text is read.
+    A store keeps this table; given again to bm25_scores, no text is read.
     """
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in chunks.columns else F.lit("")
-    title, section = has("title"), has("section_title")
-    terms = lambda c: F.array_distinct(keyword_tokens(c))
-    made = chunks.select("chunk_id", keyword_tokens(F.concat_ws(" ", title, section, F.col("text"))).alias("words"), terms(title).alias("title_terms"), terms(section).alias("section_terms"), keyword_phrase(F.col("text")).alias("said"))
-    return save(made)
+    return save(chunks.select("chunk_id", *indexed(chunks)))
 
 
 def _words(chunks: DataFrame) -> DataFrame:

@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config
+from .functions import metadata
 from .functions import queries as Q
 from .functions import text as X
 from .functions.scores import freshness
-from .operators import chunking, evaluate, evidence, fulltext, ranking, retrieval, vectors
+from .operators import chunking, evaluate, evidence, fulltext, ranking, retrieval, routed, vectors
 from .operators.keyword_index import KeywordIndex
 from .operators.vector_index import VectorIndex
 from .plans import answer as plans
 from .plans import ingest
+from .plans.library import Library
 from .sources import files, store
 from .sources.keyed import KeyedTable
 from .sources.tables import work_dir, written
@@ -187,6 +189,22 @@ def bm25_filtered_topk(spark, d):
     return retrieval.bm25_top_k(_questions(spark, d), retrieval.filtered(c, source_types=["src1", "src2"]), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def routed_topk(spark, d):
+    """Each third of the questions searches one language (as workspace), three sources, or everything, by the statistics of what it searches."""
+    c = _chunks(spark, d).join(_docs(spark, d).select("document_id", "source_type", F.col("lang").alias("workspace_id")), "document_id")
+    path = _folder(spark)
+    routed.store(c, path)
+    third = F.col("query_id") % 3
+    asked = _questions(spark, d).select("query_id", "query", F.when(third == 0, "en").alias("workspace_id"), F.when(third == 1, F.array(*map(F.lit, ("src3", "src1", "src2")))).alias("source_types"))
+    return routed.bm25_top_k(asked, routed.stored(spark, path), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def metadata_paths(spark, d):
+    """JSON of clicks by path; broken JSON and other things than objects are null."""
+    m = _read(spark, d, "clicks").select("click_id", metadata.parsed(F.col("props")).alias("m"))
+    return m.select("click_id", metadata.at(F.col("m"), "$.k", "bigint").alias("k"), metadata.at(F.col("m"), "$.device.os").alias("os"), metadata.at(F.col("m"), "$.items[0].sku", "bigint").alias("first_sku"))
+
+
 def fulltext_topk(spark, d):
     """Chunks that hold any word of the whole question, by cover density. Stems are beyond SQL."""
     asked = _questions(spark, d).select("query_id", F.array_join(F.split(F.trim("query"), r"\s+"), " or ").alias("query"))
@@ -462,6 +480,17 @@ def keyed_merge(spark, d):
     return table.read()
 
 
+def library_state(spark, d):
+    """Chunks and vectors of each document in a library that took all documents, then took one language again while it gave up another, and made a third one's vectors anew."""
+    lib = Library(spark, _folder(spark), Config(chunker="word", adaptive_chunking=False), buckets=16)
+    docs = written(_ingested(spark, d).join(_docs(spark, d).select("document_id", "lang"), "document_id"))
+    lib.change(docs.withColumn("text", F.when(F.col("lang") == "en", F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))).drop("lang"))
+    lib.change(docs.where("lang = 'en'").drop("lang"), docs.where("lang = 'de'").select("document_id"))
+    lib.reindex(docs.where("lang = 'es'").select("document_id"))
+    count = lambda t: lib.read(t).groupBy("document_id").agg(F.count(F.lit(1)).alias(f"n_{t}"))
+    return lib.read("documents").select("document_id", "title").join(count("chunks"), "document_id", "left").join(count("vectors"), "document_id", "left")
+
+
 def _ingested(spark, d):
     return _docs(spark, d).select("document_id", "text", "file_type", F.col("source_type").alias("title"))
 
@@ -484,7 +513,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_word_windows, chunk_token_estimates, chunk_identity_hashes, chunker_decision, hierarchical_parents, semantic_chunks, adaptive_chunks, section_split_pages, contextual_preambles, sentence_counts,
     term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_filtered_topk, boolean_all_terms, fulltext_topk, hash_bow_vectors, vector_topk, vector_bow_topk, hybrid_fusion, hybrid_stats, neighbour_expansion,
     rerank_fallback, rerank_lexical, freshness_decay, dedupe_exact_rules, dedupe_full, mmr_select, token_budget_greedy, compress_extractive, coverage_gaps, evidence_package, agent_answer,
-    vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results, keyword_index_topk, keyword_index_boolean, keyed_merge, vector_index_topk, latency_percentiles_hot, eval_full_report,
+    vector_multi_query_max, passthrough_answer, query_must_have, retry_decision, ingest_summary, ingest_results, keyword_index_topk, keyword_index_boolean, keyed_merge, vector_index_topk, latency_percentiles_hot, eval_full_report, routed_topk, metadata_paths, library_state,
     query_classify, query_rewrite, search_plan, strategy_route, decompose_rules, golden_relevance, eval_report, eval_by_tag, latency_percentiles, doc_upsert, chunk_replace, doc_delete, store_info,
 )}
 
@@ -519,6 +548,16 @@ _STORED = (
     .replace("QUALIFY rank <= 30", "QUALIFY rank <= 10")
 )
 
+#: List elements, the first of each spelling but for case.
+_DISTINCT = "list_filter({x}, lambda x, i: list_position(list_transform({x}, lambda y: lower(y)), lower(x)) = i)"
+_SPLIT = r"(?i)\s*(?:\?\s+|\s+then\s+|\s+also\s+|\s+and\s+also\s+|;\s+)"
+_CHAPTER = r"'^([1-9][0-9]{0,2})\.\s+([A-Z].{2,80})$'"
+_SENTENCES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(c.text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: trim(x)), lambda x: x <> '')"
+#: Headings: marked ones, or numbered ones that are no list items.
+_HEADINGS = rf"""lines AS (SELECT doc_id, text, trim(regexp_replace(unnest(regexp_split_to_array(text, '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}\x1c-\x1e]')), '[ \t]+', ' ', 'g')) AS line FROM documents),
+parts AS (SELECT doc_id, line, trim(regexp_extract(line, {_CHAPTER}, 2)) AS title, TRY_CAST(nullif(regexp_extract(line, {_CHAPTER}, 1), '') AS INT) AS number FROM lines),
+heads AS (SELECT doc_id, count(*) AS h FROM parts WHERE regexp_extract(line, '^#{{1,2}}\s+(.+?)\s*#*$', 1) <> '' OR title <> '' AND number <= 199 AND NOT suffix(title, '.') AND NOT regexp_matches(title, ',\s+[a-z]+\s') AND (len(string_split(title, ' ')) < 3 OR len(list_filter(string_split(title, ' '), lambda w: lower(w) = w AND upper(w) <> w AND w NOT IN ({", ".join(f"'{c}'" for c in chunking.CONNECTORS)}))) < 2) GROUP BY doc_id)"""
+
 ORACLE_SQL = {
     "chunk_word_windows": f"WITH {CHUNKS} SELECT chunk_id, chunk_index, md5(text) AS text_md5 FROM chunks",
     "chunk_token_estimates": f"WITH {CHUNKS} SELECT chunk_id, CAST(greatest(1, ceil(len(text) / 4.0)) AS BIGINT) AS budget_tokens, CAST(greatest(1, floor(len(text) / 4.0)) AS BIGINT) AS stored_tokens FROM chunks",
@@ -560,6 +599,29 @@ ok AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY ms) AS i, count(ms
 m AS (SELECT tag, avg(hit_at_1::INT) AS recall_at_1, avg(hit_at_3::INT) AS recall_at_3, avg(hit_at_5::INT) AS recall_at_5, avg(rr) AS mrr, avg(confidence) AS mean_confidence, avg(ms) AS mean_latency_ms, sum(after) / sum(before) AS compression_ratio, count(*) FILTER (confidence < 0.4) AS low_confidence, max(ms) FILTER (i = round_even(0.5 * (n - 1), 0) + 1) AS p50_latency_ms, max(ms) FILTER (i = round_even(0.95 * (n - 1), 0) + 1) AS p95_latency_ms FROM ok GROUP BY tag),
 t AS (SELECT tag, count(*) AS total, count(*) FILTER (bad) AS errors FROM each GROUP BY tag)
 SELECT t.tag, total, errors, coalesce(low_confidence, 0) AS low_confidence, {", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr", "mean_confidence", "mean_latency_ms", "compression_ratio", "p50_latency_ms", "p95_latency_ms"))} FROM t LEFT JOIN m ON m.tag IS NOT DISTINCT FROM t.tag""",
+    "routed_topk": rf"""WITH {CHUNKS}, scopes AS (SELECT unnest([0, 1, 2]) AS scope), tok AS (SELECT scope, chunk_id, chunks.text, {_kw('chunks.text')} AS ts FROM chunks JOIN documents d ON document_id = 'doc:' || doc_id JOIN scopes ON CASE scope WHEN 0 THEN lang = 'en' WHEN 1 THEN source IN ('src1', 'src2', 'src3') ELSE true END),
+st AS (SELECT scope, count(*) AS n, avg(len(ts)) AS avgdl FROM tok GROUP BY scope), qt AS (SELECT item_id AS query_id, item_id % 3 AS scope, unnest(list_distinct({_kw('text')})) AS term FROM benchmark),
+tf AS (SELECT scope, chunk_id, dl, term, count(*) AS tf FROM (SELECT scope, chunk_id, len(ts) AS dl, unnest(ts) AS term FROM tok) GROUP BY ALL), df AS (SELECT scope, term, count(*) AS df FROM tf GROUP BY ALL),
+base AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1e-9)))) AS s FROM tf JOIN df USING (scope, term) JOIN qt USING (scope, term) JOIN st USING (scope) GROUP BY ALL),
+kws AS (SELECT query_id, base.chunk_id, round(s + CASE WHEN {_ph('b.text')} <> '' AND contains({_ph('c.text')}, {_ph('b.text')}) THEN 1.0 ELSE 0.0 END, 9) AS score FROM base JOIN benchmark b ON b.item_id = query_id JOIN chunks c ON c.chunk_id = base.chunk_id)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM kws QUALIFY rank <= 10""",
+    "metadata_paths": "WITH m AS (SELECT click_id, CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN CAST(props AS JSON) END AS m FROM clicks) SELECT click_id, TRY_CAST(m->>'$.k' AS BIGINT) AS k, m->>'$.device.os' AS os, TRY_CAST(m->>'$.items[0].sku' AS BIGINT) AS first_sku FROM m",
+    "query_must_have": rf"""WITH u AS (SELECT conv_id, turn, text, {_EXACT} AS exact_match, list_concat(list_filter(list_transform(regexp_extract_all(text, '{Q.QUOTED.replace("'", "''")}'), lambda x: trim(x[2:-2])), lambda x: x <> ''), list_concat(regexp_extract_all(text, '\b[A-Z]{{2,}}-[0-9]+\b|\b[a-f0-9]{{7,40}}\b'), regexp_extract_all(text, '`([^`]+)`', 1))) AS m FROM conversations WHERE role = 'user') SELECT conv_id, turn, array_to_string({_DISTINCT.format(x="m")}, '|') AS must_have, exact_match FROM u""",
+    "decompose_rules": rf"""WITH u AS (SELECT conv_id, turn, trim(text) AS q, list_filter(list_transform(regexp_split_to_array(trim(text), '{_SPLIT}'), lambda p: trim(p, ' .?,;')), lambda p: len(string_split(trim(regexp_replace(p, '\s+', ' ', 'g')), ' ')) >= 3) AS p FROM conversations WHERE role = 'user'),
+d AS (SELECT conv_id, turn, q, {_DISTINCT.format(x="p")} AS p FROM u), s AS (SELECT conv_id, turn, CASE WHEN len(p) < 2 THEN [q] ELSE p[1:4] END AS p FROM d) SELECT conv_id, turn, unnest(range(len(p))) AS part, unnest(p) AS sub_query FROM s""",
+    "chunker_decision": rf"""WITH {_HEADINGS}, w AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_'']+')) AS w, coalesce(h, 0) AS h FROM documents LEFT JOIN heads USING (doc_id)),
+r AS (SELECT *, CASE WHEN w <= 1200 THEN 'short-document' WHEN h >= 4 AND h / greatest(1.0, w / 1000.0) >= 0.6 THEN 'structured-headings' WHEN w >= 5000 THEN 'long-document' WHEN h >= 2 THEN 'sectioned-document' ELSE 'default-overlap-window' END AS chunker_reason FROM w)
+SELECT 'doc:' || doc_id AS document_id, w AS word_count, h AS heading_count, CASE chunker_reason WHEN 'structured-headings' THEN 'hierarchical' WHEN 'sectioned-document' THEN 'hierarchical' WHEN 'long-document' THEN 'semantic' ELSE 'word' END AS chunker, chunker_reason FROM r""",
+    "compress_extractive": rf"""WITH {BM25.replace("QUALIFY rank <= 30", "QUALIFY rank <= 3")}, p AS (SELECT query_id, kw.chunk_id, c.text, {_ct('b.text')} AS q, {_SENTENCES} AS s FROM kw JOIN chunks c ON c.chunk_id = kw.chunk_id JOIN benchmark b ON b.item_id = query_id),
+t AS (SELECT query_id, chunk_id, text, q, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM p), hits AS (SELECT *, list_has_any(q, {_ct('x')}) AS hit FROM t),
+near AS (SELECT *, max(hit) OVER (PARTITION BY query_id, chunk_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM hits),
+k AS (SELECT query_id, chunk_id, any_value(text) AS text, any_value(len(q)) AS m, max(hit) AS any_hit, trim(coalesce(string_agg(x, ' ' ORDER BY i) FILTER (near), '')) AS kept FROM near GROUP BY ALL),
+o AS (SELECT query_id, chunk_id, CASE WHEN m = 0 OR NOT any_hit OR len(kept) < 60 THEN text ELSE kept END AS z FROM k) SELECT query_id, chunk_id, len(z) AS chars, md5(z) AS text_md5 FROM o""",
+    "hierarchical_parents": f"""WITH {CHUNKS}, win AS (SELECT document_id, ws, unnest([900, 300]) AS size, unnest([800, 240]) AS step FROM w), each AS (SELECT *, unnest(range(0, CASE WHEN len(ws) <= size THEN 1 ELSE CAST(ceil((len(ws) - size) / step) AS BIGINT) + 1 END)) AS pos FROM win),
+t AS (SELECT document_id, size, pos, array_to_string(list_slice(ws, pos * step + 1, pos * step + size), ' ') AS text FROM each),
+b AS (SELECT c.document_id, c.pos AS win, c.text AS text, p.pos AS pat, p.text AS ptext FROM t c JOIN t p ON p.document_id = c.document_id AND c.size = 300 AND p.size = 900 QUALIFY row_number() OVER (PARTITION BY c.document_id, c.pos ORDER BY contains(p.text, c.text) DESC, p.pos) = 1)
+SELECT document_id, CAST(win AS INT) AS window, md5(text) AS text_md5, CASE WHEN ptext <> text THEN md5(ptext) END AS parent_md5, CASE WHEN ptext <> text THEN 'parent:0:' || pat END AS parent_chunk_id FROM b""",
+    "library_state": f"WITH {CHUNKS} SELECT document_id, any_value(source) AS title, count(*) AS n_chunks, count(*) AS n_vectors FROM chunks JOIN documents ON document_id = 'doc:' || doc_id WHERE lang <> 'de' GROUP BY document_id",
     "keyed_merge": f"WITH {CHUNKS} SELECT document_id, chunk_id, chunk_index, md5(chunks.text) AS text_md5 FROM chunks JOIN documents ON document_id = 'doc:' || doc_id WHERE lang <> 'fr'",
     "ingest_results": r"WITH e AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' AS bad FROM documents) SELECT 'doc:' || doc_id AS document_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'extract' END AS error_stage, CASE WHEN bad THEN 'extracted text is empty' END AS error_reason FROM e",
     "golden_relevance": f"WITH {_SCORED} SELECT id, first_rank, hit_at_1, hit_at_3, hit_at_5, round(rr, 6) AS rr FROM sc",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,15 @@ def work_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder where it is unset, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quern.work.dir", None)
     if not d:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("quern.work.dir", d)
     return d.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table of its own: a short plan, and rows that outlive executors."""
+def written(df: DataFrame, name: str = "") -> DataFrame:
+    """df as a table of its own: a short plan, and rows that outlive executors. name: what a trace calls the step."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quern-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)

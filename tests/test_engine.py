@@ -306,7 +306,7 @@ def _rows(d, cols):
 @pytest.mark.parametrize("name", sorted(engine.ORACLE_SQL))
 def test_queries_equal_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "events", "embeddings"):
+    for t in ("documents", "benchmark", "conversations", "events", "embeddings", "clicks"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     got, want = engine.QUERIES[name](spark, data).toPandas(), con.execute(engine.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
