@@ -35,6 +35,10 @@ SAMPLE, OFTEN, MOST_OFTEN = 20_000, 4, 500_000
 MOST_SENT = 4_000_000
 #: Rounds that compare few pairs of each class, before all that are left.
 TURNS, PICKS = 3, 8
+#: Bits in which fingerprints of pairs of those rounds differ at most.
+NEAR_BITS = 18
+#: Pairs of places that are looked at in one step.
+PAIRS = 1 << 18
 #: Bytes of a set's bitmap.
 MAP_BYTES = 256
 _BASE = 0xD6E8FEB86659FD93
@@ -111,23 +115,78 @@ def _often(texts: DataFrame, words: int):
     return v[order], k[order]
 
 
-def _buckets(batches):
-    """Runs of rows of equal first column, as arrays of all columns, out of batches sorted by it."""
-    held = None
+def _blocks(batches, rows: int = 1 << 16):
+    """Arrays of all columns for runs of whole buckets (rows of equal first column), out of batches sorted by it; buckets of one row are left out.
+
+    Rows are gathered until there are ``rows`` of them and a bucket has ended; a bucket that goes on makes the next look come twice as late.
+    """
+    held, size, want = [], 0, rows
+
+    def arrays(parts):
+        table = pa.Table.from_batches(parts)
+        return [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy() for c in table.columns]
+
+    def shared(cols):
+        v = cols[0]
+        same = np.zeros(len(v) + 1, bool)
+        same[1:-1] = v[1:] == v[:-1]
+        keep = same[1:] | same[:-1]
+        return [c[keep] for c in cols] if keep.any() else None
+
     for b in batches:
         if not b.num_rows:
             continue
-        now = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns]
-        if held is not None:
-            now = [np.concatenate([a, c]) for a, c in zip(held, now, strict=True)]
-        cut = np.flatnonzero(np.diff(now[0])) + 1
-        edges = [0, *cut.tolist()]
-        for i, j in zip(edges, edges[1:]):
-            if j - i > 1:
-                yield [c[i:j] for c in now]
-        held = [c[edges[-1] :] for c in now]
-    if held is not None and len(held[0]) > 1:
-        yield held
+        held.append(b)
+        size += b.num_rows
+        if size < want:
+            continue
+        v = np.concatenate([x.column(0).to_numpy() for x in held])
+        ends = np.flatnonzero(v[1:] != v[:-1])
+        if not len(ends):
+            want = 2 * size
+            continue
+        cut, table = int(ends[-1]) + 1, pa.Table.from_batches(held)
+        if (got := shared(arrays(table.slice(0, cut).to_batches()))) is not None:
+            yield got
+        held, size, want = table.slice(cut).to_batches(), table.num_rows - cut, rows
+    if held and (got := shared(arrays(held))) is not None:
+        yield got
+
+
+def _ordered(cols: list, least: float) -> dict | None:
+    """A block's rows by bucket, size, part and key: bucket numbers ``seg``, where those of fit size begin (``low``) and end (``top``) in the bucket.
+
+    Buckets whose classes are of one part already are left out; None where no bucket is left.
+    """
+    v, key, n, at, part = (x.astype(np.int64) for x in cols[:5])
+    seg = np.cumsum(np.concatenate([[0], (v[1:] != v[:-1]).astype(np.int64)]))
+    begin = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    open_ = (np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin))[seg]
+    if not open_.any():
+        return None
+    order = np.flatnonzero(open_)
+    order = order[np.lexsort((key[order], part[order], n[order], seg[order]))]
+    seg, v, key, n, at, part = (x[order] for x in (seg, v, key, n, at, part))
+    wide = int(np.floor(n.max() / least)) + 2
+    place = seg * wide + n
+    low = np.searchsorted(place, seg * wide + np.ceil(least * n - _SLACK).astype(np.int64))
+    top = np.searchsorted(place, seg * wide + np.minimum(np.floor(n / least + _SLACK).astype(np.int64), wide - 1), "right")
+    return {"seg": seg, "v": v, "key": key, "n": n, "at": at, "part": part, "low": low, "top": top, "order": order}
+
+
+def _near(top: np.ndarray):
+    """(i, j) for all places i < j below top[i], in arrays of bounded size."""
+    many = np.maximum(top - np.arange(len(top)) - 1, 0)
+    upto, start = np.cumsum(many), 0
+    while start < len(many):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        k = many[start:end]
+        total, at = int(k.sum()), np.cumsum(k) - k
+        for a in range(0, total, PAIRS):  # a single place may have more
+            p = np.arange(a, min(a + PAIRS, total))
+            i = np.searchsorted(at + k, p, "right")
+            yield start + i, start + i + 1 + p - at[i]
+        start = end
 
 
 def _sorted_by_shingle(df: DataFrame) -> DataFrame:
@@ -151,62 +210,50 @@ def _fit(n, at, part, least: float):
 
 
 def _candidates(hits: DataFrame, least: float, turn: int) -> DataFrame:
-    """Some distinct pairs (a < b) of classes of one bucket (v, key, n, at, part), of unlike parts, that may be alike.
+    """Some distinct pairs (a < b) of classes of one bucket (v, key, n, at, part, fp), of unlike parts, that may be alike.
 
     turn 0: each class with the first of those of fit size and with the one before it; 1, 2, ...: each class with PICKS
-    of fit size that its key, the bucket and the turn choose.
+    of fit size that its key, the bucket and the turn choose. Pairs with fingerprints further apart than those of alike texts
+    commonly are wait for the last round, which looks at all.
     """
 
     def of(batches):
-        found, size = [], 0
-        for v, key, n, at, part in _buckets(batches):
-            order = np.lexsort((key, part, n))
-            key, n, at, part = key[order], n[order].astype(np.int64), at[order].astype(np.int64), part[order]
-            if (part == part[0]).all():
+        for cols in _blocks(batches):
+            if (x := _ordered(cols, least)) is None:
                 continue
-            fit, top, i = _fit(n, at, part, least), np.searchsorted(n, np.floor(n / least + _SLACK), "right"), np.arange(len(key))
+            fit, fp, i = _fit(x["n"], x["at"], x["part"], least), cols[5][x["order"]].view(np.uint64), np.arange(len(x["n"]))
+            low, top = x["low"], x["top"]
             if turn:
-                low = np.searchsorted(n, np.ceil(least * n - _SLACK), "left")
-                picks = [mix(key.view(np.uint64) ^ mix(np.array([v[0]]).view(np.uint64) + np.uint64(PICKS * turn + k))) for k in range(PICKS)]
-                meets = [(i, low + (pick % (top - low).astype(np.uint64)).astype(np.int64)) for pick in picks]
+                own = x["key"].view(np.uint64)
+                picks = (mix(own ^ mix(x["v"].view(np.uint64) + np.uint64(PICKS * turn + k))) for k in range(PICKS))
+                meets = ((i, low + (p % (top - low).astype(np.uint64)).astype(np.int64)) for p in picks)
             else:
-                lead = np.zeros(len(key), np.int64)
-                for k in range(1, len(key)):
-                    lead[k] = lead[k - 1] if top[lead[k - 1]] > k else k
-                meets = [(i, lead), (i[1:], i[:-1])]
-            for x, y in meets:
-                ok = fit(x, y)
-                found.append((key[x[ok]], key[y[ok]]))
-                size += int(ok.sum())
-            if size > 100_000 or len(found) > 10_000:
-                if size:
-                    yield _pairs_out(found)
-                found, size = [], 0
-        if size:
-            yield _pairs_out(found)
+                meets = iter([(i, low), (i[1:], i[:-1])])
+            found = []
+            for a, b in meets:
+                ok = (x["seg"][a] == x["seg"][b]) & fit(a, b) & (np.bitwise_count(fp[a] ^ fp[b]) <= NEAR_BITS)
+                found.append((x["key"][a[ok]], x["key"][b[ok]]))
+            if any(len(a) for a, _ in found):
+                yield _pairs_out(found)
 
-    return _sorted_by_shingle(hits.select("v", "key", "n", "at", "part")).mapInArrow(of, "a long, b long").distinct()
+    return _sorted_by_shingle(hits.select("v", "key", "n", "at", "part", "fp")).mapInArrow(of, "a long, b long").distinct()
 
 
 def _open(hits: DataFrame, least: float) -> DataFrame:
     """The rows of hits that have any class of an unlike part to be compared with in their bucket."""
 
     def of(batches):
-        for v, key, n, at, part in _buckets(batches):
-            if (part == part[0]).all():
+        for cols in _blocks(batches):
+            if (x := _ordered(cols, least)) is None:
                 continue
-            order = np.argsort(n, kind="stable")
-            v, key, n, at, part = (x[order] for x in (v, key, n.astype(np.int64), at.astype(np.int64), part))
-            fit, top, some = _fit(n, at, part, least), np.searchsorted(n, np.floor(n / least + _SLACK), "right"), np.zeros(len(key), bool)
-            for k in range(len(key) - 1):
-                j = np.arange(k + 1, top[k])
-                j = j[fit(np.int64(k), j)]
-                some[j] = True
-                some[k] |= len(j) > 0
+            fit, some = _fit(x["n"], x["at"], x["part"], least), np.zeros(len(x["n"]), bool)
+            for i, j in _near(x["top"]):
+                ok = fit(i, j)
+                some[i[ok]] = some[j[ok]] = True
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (v, key, n, at, part)], names=["v", "key", "n", "at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[c][some]) for c in ("v", "key", "n", "at", "part")], names=["v", "key", "n", "at", "part"])
 
-    return _sorted_by_shingle(hits.select("v", "key", "n", "at", "part")).mapInArrow(_joined(of), "v long, key long, n long, at long, part long")
+    return _sorted_by_shingle(hits.select("v", "key", "n", "at", "part")).mapInArrow(of, "v long, key long, n long, at long, part long")
 
 
 def _all_candidates(rows: DataFrame, least: float) -> DataFrame:
@@ -219,18 +266,20 @@ def _all_candidates(rows: DataFrame, least: float) -> DataFrame:
 
     def of(batches):
         found, size = [], 0
-        for _, key, n, at, part, bits in _buckets(batches):
-            order = np.argsort(n, kind="stable")
-            key, n, at, part = (x[order] for x in (key, n, at, part))
-            maps = np.frombuffer(b"".join(bits[order]), np.uint64).reshape(len(key), -1)
-            fit, top = _fit(n, at, part, least), np.searchsorted(n, np.floor(n / least + _SLACK), "right")
-            for k in range(len(key) - 1):
-                j = np.arange(k + 1, top[k])
-                j = j[fit(np.int64(k), j)]
-                j = j[np.bitwise_count(maps[j] ^ maps[k]).sum(axis=1, dtype=np.int64) <= apart * (n[k] + n[j]) + _SLACK]
-                found.append((np.full(len(j), key[k]), key[j]))
-                size += len(j)
-                if size > 100_000 or len(found) > 100_000:
+        for cols in _blocks(batches, 1 << 14):
+            if (x := _ordered(cols, least)) is None:
+                continue
+            n, fit = x["n"], _fit(x["n"], x["at"], x["part"], least)
+            maps = np.frombuffer(b"".join(cols[5][x["order"]]), np.uint64).reshape(len(n), -1)
+            for i, j in _near(x["top"]):
+                ok = fit(i, j)
+                i, j = i[ok], j[ok]
+                for a in range(0, len(i), 1 << 14):
+                    p, q = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+                    ok = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64) <= apart * (n[p] + n[q]) + _SLACK
+                    found.append((x["key"][p[ok]], x["key"][q[ok]]))
+                    size += int(ok.sum())
+                if size > 100_000 or len(found) > 10_000:
                     if size:
                         yield _pairs_out(found)
                     found, size = [], 0
@@ -241,30 +290,13 @@ def _all_candidates(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _shared(prefix: DataFrame) -> DataFrame:
-    """Rows (v, key, n, at) whose shingle another class has too."""
+    """Rows (v, key, n, at, fp) whose shingle another class has too."""
 
     def of(batches):
-        for cols in _buckets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["v", "key", "n", "at"])
-
-    return _sorted_by_shingle(prefix).mapInArrow(_joined(of), "v long, key long, n int, at int")
-
-
-def _joined(of, rows: int = 20_000):
-    """The batches that a function yields, put together to batches of so many rows."""
-
-    def out(batches):
-        held, size = [], 0
-        for b in of(batches):
-            held.append(b)
-            size += b.num_rows
-            if size >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        for cols in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["v", "key", "n", "at", "fp"])
 
-    return out
+    return _sorted_by_shingle(prefix).mapInArrow(of, "v long, key long, n int, at int, fp long")
 
 
 def _alike(texts: DataFrame, known: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -336,8 +368,8 @@ def near_duplicates(rows: DataFrame, *, words: int = WORDS, least: float = LEAST
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(key.view(np.int64)), pa.array(np.diff(at).astype(np.int32)), first, maps, pa.array(majority(v, at).view(np.int64))], names=["row", "key", "n", "first", "bits", "fp"])
 
     known = materialise(rows.select("row", "text").mapInArrow(own, "row long, key long, n int, first array<long>, bits binary, fp long"), "prefixes")
-    classes = known.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    hits = materialise(_shared(classes.select("key", "n", F.posexplode("first").alias("at", "v")).select("v", "key", "n", "at")), "shared").withColumn("part", F.col("key"))
+    classes = known.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("fp").alias("fp"))
+    hits = materialise(_shared(classes.select("key", "n", "fp", F.posexplode("first").alias("at", "v")).select("v", "key", "n", "at", "fp")), "shared").withColumn("part", F.col("key"))
     edges = pairs = parts = None
     for turn in ("ball", *range(TURNS), None):
         if parts is not None:
