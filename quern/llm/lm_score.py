@@ -140,8 +140,8 @@ class _Tokens:
 
     def totals(self, replies: pa.Table) -> np.ndarray:
         """The training count of each token's word over the whole corpus."""
-        got = [_unplaned(t, np.uint32, len(t) // 4, 0) for _, t in sorted(zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True))]
-        return np.concatenate([np.zeros(0, np.uint32), *got]).astype(np.int64)[self.distinct[1]]
+        got = [_unplaned(t, np.uint64, len(t) // 8, 0) for _, t in sorted(zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True))]
+        return np.concatenate([np.zeros(0, np.uint64), *got]).astype(np.int64)[self.distinct[1]]
 
     def codes(self, top: np.ndarray) -> np.ndarray:
         """The context code of each token: top is (hash, rank) sorted by hash."""
@@ -377,7 +377,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         facts = [int(total.sum()), int(known.sum()), int(total[uniq == END_HASH].sum()), int((total == 1).sum())]
         counts = np.stack([per(text, total), per(text), per(text & (total > 1), total)])
         rows = [(-1, bucket, _note(np.array(facts), (uniq[often], total[often], word[often]), counts))]
-        seen, at = total[inverse].clip(max=(1 << 32) - 1).astype(np.uint32), 0
+        seen, at = total[inverse].astype(np.uint64), 0
         for chunk, n in zip(chunks, sizes, strict=True):
             rows.append((chunk, bucket, _planes(seen[at : at + n])))
             at += n
