@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, rolling, slices, small_batches, span_hashes, text_buffers, word_spans
+from .common import dropped, materialise, mix, rolling, slices, small_batches, span_hashes, text_buffers, word_spans
 from .components import connected_components
 from .simhash import _fold_case, majority, near_links
 
@@ -300,7 +300,7 @@ def _shared(prefix: DataFrame) -> DataFrame:
 
 
 def _alike(texts: DataFrame, known: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity; known: (row, key) of all texts (row, text)."""
+    """Those of the pairs (a, b) whose sets reach the similarity, as a table; known: (row, key) of all texts (row, text)."""
     spark = texts.sparkSession
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     one = known.select("row", "key").join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
@@ -337,7 +337,9 @@ def _alike(texts: DataFrame, known: DataFrame, pairs: DataFrame, words: int, lea
                 ok[i] = common >= least * (len(v) - common) - _SLACK
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["u", "v"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
+    found = materialise(both.select("a", "b", "x", "y").mapInArrow(compare, "u long, v long"), "alike")
+    dropped(one, held)  # the largest tables of a round, of no use after it
+    return found
 
 
 def _in_one_ball(known: DataFrame) -> DataFrame:
@@ -383,7 +385,7 @@ def near_duplicates(rows: DataFrame, *, words: int = WORDS, least: float = LEAST
             new = _in_one_ball(known) if turn == "ball" else _candidates(hits, least, turn)
         new = materialise(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = new if pairs is None else pairs.unionByName(new)
-        alike = materialise(_alike(rows, known, new, words, least), "alike")
+        alike = _alike(rows, known, new, words, least)
         edges = alike if edges is None else edges.unionByName(alike)
         parts = materialise(connected_components(edges), "parts")
     classes = known.select("key").distinct()
