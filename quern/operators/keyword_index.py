@@ -55,9 +55,11 @@ class KeywordIndex:
 
     def upsert(self, chunks: DataFrame) -> Change:
         """All chunks (document_id, chunk_id, text[, title, section_title]) of these documents, in the place of their old ones."""
-        held = retrieval.index(chunks, lambda x: x).join(chunks.select("chunk_id", F.col("document_id").cast("string").alias("document_id")), "chunk_id")
-        one = held.select("document_id", "chunk_id", "words", "title_terms", "section_terms", "said").withColumn("set", F.array_distinct("words"))
-        counted = F.transform("set", lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("tf")))
+        one = chunks.select(F.col("document_id").cast("string").alias("document_id"), "chunk_id", *retrieval.indexed(chunks)).withColumn("s", F.array_sort("words"))
+        # a term's count is the way from its first place among the sorted words to that of the next term
+        one = one.withColumn("d", F.array_distinct("s")).withColumn("p", F.transform("d", lambda t: F.array_position(F.col("s"), t)))
+        upto = lambda i: F.coalesce(F.get("p", i + 1), F.size("s").cast("long") + 1)
+        counted = F.transform("d", lambda t, i: F.struct(t.alias("term"), (upto(i) - F.get("p", i)).cast("int").alias("tf")))
         return self.change(one.select("document_id", "chunk_id", F.size("words").alias("dl"), counted.alias("terms"), "title_terms", "section_terms", "said"))
 
     def delete(self, ids: DataFrame) -> Change:
