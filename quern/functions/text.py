@@ -29,7 +29,8 @@ def strings(words: list[str]) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White space runs as one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    # a run that is one space stays as it is: it is no match
+    return F.trim(F.regexp_replace(text, r" \s+|[\t\n\x0B\f\r]\s*", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -48,13 +49,17 @@ def rerank_terms(text: Column) -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     """ASCII words for keyword search, with repeats."""
-    words = F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_']", " ")), F.lit("[a-z0-9_']{2,}"), F.lit(0))
-    return F.filter(words, lambda t: ~t.isin(KEYWORD_STOP))
+    return phrase_tokens(keyword_phrase(text))
+
+
+def phrase_tokens(phrase: Column) -> Column:
+    """The words for keyword search of a keyword_phrase."""
+    return F.filter(F.split(phrase, " "), lambda t: (F.length(t) >= 2) & ~t.isin(KEYWORD_STOP))
 
 
 def keyword_phrase(text: Column) -> Column:
     """All ASCII words, lower-cased, joined by one space."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_']+", " ")), " +", " "))
+    return F.lower(F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9_']+"), F.lit(0)), " "))
 
 
 def ascii_word_count(text: Column) -> Column:

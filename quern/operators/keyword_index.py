@@ -55,7 +55,7 @@ class KeywordIndex:
 
     def upsert(self, chunks: DataFrame) -> Change:
         """All chunks (document_id, chunk_id, text[, title, section_title]) of these documents, in the place of their old ones."""
-        one = chunks.select(F.col("document_id").cast("string").alias("document_id"), "chunk_id", *retrieval.indexed(chunks)).withColumn("s", F.array_sort("words"))
+        one = retrieval.indexed(chunks).select(F.col("document_id").cast("string").alias("document_id"), "chunk_id", *retrieval.INDEXED).withColumn("s", F.array_sort("words"))
         # a term's count is the way from its first place among the sorted words to that of the next term
         one = one.withColumn("d", F.array_distinct("s")).withColumn("p", F.transform("d", lambda t: F.array_position(F.col("s"), t)))
         upto = lambda i: F.coalesce(F.get("p", i + 1), F.size("s").cast("long") + 1)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from ..functions.scores import bm25, minmax
-from ..functions.text import keyword_phrase, keyword_tokens
+from ..functions.scores import minmax
+from ..functions.text import keyword_phrase, keyword_tokens, phrase_tokens
 from ..sources.tables import written
-from .vectors import sent
+from . import matching
+from .vectors import query_blocks, sent
+
+
+#: What an index knows of a chunk.
+INDEXED = ["words", "title_terms", "section_terms", "said"]
 
 
 def filtered(chunks: DataFrame, workspace: str | None = None, source_types: list[str] | None = None, document_ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -29,12 +35,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(keyword_tokens(F.col("query")))).alias("term"))
 
 
-def indexed(chunks: DataFrame) -> list[Column]:
-    """words, title_terms, section_terms and said of chunks; words are those of title, section and text."""
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in chunks.columns else F.lit("")
-    title, section = has("title"), has("section_title")
-    terms = lambda c: F.array_distinct(keyword_tokens(c))
-    return [keyword_tokens(F.concat_ws(" ", title, section, F.col("text"))).alias("words"), terms(title).alias("title_terms"), terms(section).alias("section_terms"), keyword_phrase(F.col("text")).alias("said")]
+def indexed(chunks: DataFrame) -> DataFrame:
+    """chunks with words, title_terms, section_terms and said; words are those of title, section and text. Each text is searched for words once."""
+    has = lambda c: keyword_phrase(F.col(c)) if c in chunks.columns else F.lit("")
+    said = chunks.withColumns({"said": keyword_phrase(F.col("text")), "~title": has("title"), "~section": has("section_title")})
+    terms = lambda c: F.array_distinct(phrase_tokens(F.col(c)))
+    return said.withColumns({"words": phrase_tokens(F.concat_ws(" ", "~title", "~section", "said")), "title_terms": terms("~title"), "section_terms": terms("~section")}).drop("~title", "~section")
 
 
 def index(chunks: DataFrame, save=written) -> DataFrame:
@@ -42,11 +48,11 @@ def index(chunks: DataFrame, save=written) -> DataFrame:
 
     A store keeps this table; given again to bm25_scores, no text is read.
     """
-    return save(chunks.select("chunk_id", *indexed(chunks)))
+    return save(indexed(chunks).select("chunk_id", *INDEXED))
 
 
 def _words(chunks: DataFrame) -> DataFrame:
-    return chunks if "words" in chunks.columns else index(chunks, lambda x: x)
+    return chunks if "words" in chunks.columns else indexed(chunks)
 
 
 def term_frequencies(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -66,29 +72,36 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 TITLE_BONUS, SECTION_BONUS, PHRASE_BONUS = 0.35, 0.25, 1.0
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def _asked(queries: DataFrame, scope: str | None) -> DataFrame:
+    """(query_id, scope, terms, phrase, quoted) of the queries that have terms."""
+    quotes = F.transform(F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit('"([^"]+)"'), F.lit(1)), keyword_phrase)
+    one = queries.select("query_id", (F.col(scope) if scope else F.lit(0).cast("long")).alias("scope"), F.array_distinct(keyword_tokens(F.col("query"))).alias("terms"), keyword_phrase(F.col("query")).alias("phrase"), quotes.alias("quoted"))
+    return one.where("size(terms) > 0")
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame, most: int | None = None, all_terms: bool = False, scope: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks that share a term, with the bonuses for title and section terms and whole phrases.
 
-    chunks: chunks, or their index where it is kept.
+    chunks: chunks, or their index where it is kept. most: only rows that may be among the best so many of their query. all_terms: only chunks
+    that hold all terms, and all quoted phrases, of the query. scope: a column of queries and of the chunks' index; only equal ones meet, and n, avgdl and df are theirs.
     """
-    held = chunks if "words" in chunks.columns else index(chunks)
-    terms = written(query_terms(queries))
-    wanted = sent(terms, 2_000_000)
-    tf = written(term_frequencies(held, terms))  # read four times below; holds the query terms' postings alone
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(held)
-    part = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("s", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
-    base = part.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("have")).where("s > 0")
-    heads = held.where((F.size("title_terms") > 0) | (F.size("section_terms") > 0))
-    bonus = lambda c, x: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(x).alias("x")))
-    heads = heads.select("chunk_id", F.explode(F.concat(bonus("title_terms", TITLE_BONUS), bonus("section_terms", SECTION_BONUS))).alias("h")).select("chunk_id", "h.term", "h.x")
-    title = heads.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("x").alias("t"))
-    # a chunk that holds the phrase holds its terms: only scored pairs are looked at, and texts join late
-    asked = queries.select("query_id", keyword_phrase(F.col("query")).alias("phrase")).join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id")
-    full = base.join(sent(asked), "query_id").where("have = m and phrase <> ''").select("query_id", "chunk_id", "phrase")
-    said = full.join(held.select("chunk_id", "said"), "chunk_id").where(F.contains("said", F.col("phrase"))).select("query_id", "chunk_id", F.lit(PHRASE_BONUS).alias("p"))
-    out = base.join(title, ["query_id", "chunk_id"], "left").join(said, ["query_id", "chunk_id"], "left")
-    return out.select("query_id", "chunk_id", F.round(F.col("s") + F.coalesce("t", F.lit(0.0)) + F.coalesce("p", F.lit(0.0)), 9).alias("score"))
+    asked = written(_asked(queries, scope))
+    held = _words(chunks).withColumn("scope", F.col(scope) if scope else F.lit(0).cast("long"))
+    if asked.count() > matching.TILE // 256:  # more than a block: read again for each
+        held = written(held.select("chunk_id", *INDEXED, "scope"))
+    parts = []
+    for block in query_blocks(asked, "terms", 1, matching.TILE // 32):
+        words = matching.Asked.read(block)
+        rows = written(matching.posted(held, words, TITLE_BONUS, SECTION_BONUS))
+        df, n, avgdl = matching.counts(rows, words)
+        of = words.keys // max(len(words.terms), 1)
+        idf = np.log(1.0 + (n[of] - df + 0.5) / (df + 0.5))
+
+        def weigh(ids, tf, dl, g, idf=idf, avgdl=avgdl):
+            return idf[ids] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / np.maximum(avgdl[g], 1e-9)))
+
+        parts.append(matching.named(matching.scored(rows, words, weigh, most, all_terms, PHRASE_BONUS), block, queries.schema["query_id"]))
+    return matching.union(parts)
 
 
 def ranked(scores: DataFrame, k: Column | int, most: int) -> DataFrame:
@@ -98,18 +111,12 @@ def ranked(scores: DataFrame, k: Column | int, most: int) -> DataFrame:
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
-    return ranked(bm25_scores(queries, chunks), k, k)
+    return ranked(bm25_scores(queries, chunks, k), k, k)
 
 
 def boolean_search(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     """All terms must be there (no stemming): ranked by BM25. Quoted phrases of the query must be there in full."""
-    terms = query_terms(queries)
-    need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    have = term_frequencies(chunks, terms).join(sent(terms, 2_000_000), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("have"))
-    fit = have.join(need, "query_id").where("have = need").select("query_id", "chunk_id")
-    quoted = queries.select("query_id", F.explode(F.regexp_extract_all("query", F.lit('"([^"]+)"'), F.lit(1))).alias("q"))
-    bad = fit.join(quoted, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id").where(~F.contains(keyword_phrase(F.col("text")), keyword_phrase(F.col("q")))).select("query_id", "chunk_id")
-    return ranked(bm25_scores(queries, chunks).join(fit.join(bad, ["query_id", "chunk_id"], "left_anti"), ["query_id", "chunk_id"], "left_semi"), k, k)
+    return ranked(bm25_scores(queries, chunks, k, all_terms=True), k, k)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, weight_vector: float = 0.55, weight_keyword: float = 0.45) -> DataFrame:
@@ -137,10 +144,12 @@ def expand(candidates: DataFrame, chunks: DataFrame, window: int = 1, most: int
     base = candidates.withColumn("source", F.lit("candidate")).withColumn("parent_chunk_id", F.lit(None).cast("string"))
     if window <= 0:
         return base
-    at = candidates.join(chunks.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
+    candidates = written(candidates)  # a few rows for each query: they go to the chunks
+    base = candidates.withColumn("source", F.lit("candidate")).withColumn("parent_chunk_id", F.lit(None).cast("string"))
+    at = written(chunks.select("chunk_id", "document_id", "chunk_index").join(sent(candidates), "chunk_id"))
     steps = F.filter(F.sequence(F.lit(-window), F.lit(window)), lambda d: d != 0)
     want = at.select("query_id", F.col("chunk_id").alias("parent_chunk_id"), F.col("score").alias("ps"), F.col("rank").alias("pr"), "document_id", "chunk_index", F.explode(steps).alias("d")).withColumn("chunk_index", F.col("chunk_index") + F.col("d")).drop("d")
-    near = want.join(chunks.select("chunk_id", "document_id", "chunk_index"), ["document_id", "chunk_index"]).join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    near = chunks.select("chunk_id", "document_id", "chunk_index").join(sent(want), ["document_id", "chunk_index"]).join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     first = near.withColumn("f", F.row_number().over(Win.partitionBy("query_id", "chunk_id").orderBy("pr"))).where("f = 1")
     capped = first.withColumn("c", F.row_number().over(Win.partitionBy("query_id", "parent_chunk_id").orderBy("chunk_index"))).where(F.col("c") <= most)
     new = capped.select("query_id", "chunk_id", F.round(F.col("ps") * 0.6, 9).alias("score"), "parent_chunk_id")

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import bm25
-from ..functions.text import keyword_phrase, keyword_tokens
 from ..sources.tables import written
 from . import retrieval
 from .vectors import sent
@@ -55,22 +53,5 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, k: int = 30) -> DataFram
     """(query_id, chunk_id, score, rank) as retrieval.bm25_top_k over the chunks of each question's scope."""
     asked = written(scoped(questions))
     scopes = asked.select("scope", "workspace_id", "source_types", "document_ids").distinct()
-    near = in_scope(chunks, scopes)
-    held = written(near.select("scope", "chunk_id", *retrieval.indexed(near)))
-    terms = written(asked.select("query_id", "scope", F.explode(F.array_distinct(keyword_tokens(F.col("query")))).alias("term")))
-    tf = held.select("scope", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(sent(terms.select("scope", "term").distinct()), ["scope", "term"], "left_semi")
-    tf = written(tf.groupBy("scope", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = tf.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = held.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    part = tf.join(df, ["scope", "term"]).join(stats, "scope").withColumn("s", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
-    base = part.join(sent(terms), ["scope", "term"]).groupBy("query_id", "scope", "chunk_id").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("have"))
-    need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    bonus = lambda c, x: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(x).alias("x")))
-    heads = held.where((F.size("title_terms") > 0) | (F.size("section_terms") > 0)).select("scope", "chunk_id", F.explode(F.concat(bonus("title_terms", retrieval.TITLE_BONUS), bonus("section_terms", retrieval.SECTION_BONUS))).alias("h")).select("scope", "chunk_id", "h.term", "h.x")
-    title = heads.join(sent(terms), ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("x").alias("t"))
-    full = base.join(need, "query_id").where("have = need").join(asked.select("query_id", keyword_phrase(F.col("query")).alias("phrase")), "query_id").where("phrase <> ''")
-    said = full.join(held.select("scope", "chunk_id", "said"), ["scope", "chunk_id"]).where(F.contains("said", F.col("phrase"))).select("query_id", "chunk_id", F.lit(retrieval.PHRASE_BONUS).alias("p"))
-    out = base.join(title, ["query_id", "chunk_id"], "left").join(said, ["query_id", "chunk_id"], "left")
-    score = F.round(F.col("s") + F.coalesce("t", F.lit(0.0)) + F.coalesce("p", F.lit(0.0)), 9).alias("score")
-    return retrieval.ranked(out.select("query_id", "chunk_id", score), k, k)
-
+    held = retrieval.indexed(chunks).select("workspace_id", "source_type", "document_id", "chunk_id", *retrieval.INDEXED)  # tokenised once, whatever scopes a chunk is in
+    return retrieval.ranked(retrieval.bm25_scores(asked, in_scope(held, scopes), k, scope="scope"), k, k)

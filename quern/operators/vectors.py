@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -37,14 +39,38 @@ def with_hash_vector(df: DataFrame, text: str, out: str = "vec", dim: int = DIM)
     return x.withColumn(out, F.transform(F.col(c), lambda v: F.when(F.col(n) > 0, v / F.col(n)).otherwise(0.0))).drop(b, c, n)
 
 
+def _bucket(word: str, known: dict[str, int]) -> int:
+    """The last byte of a word's SHA-1, -1 for no word; known: those found before, no more than a million."""
+    at = known.get(word)
+    if at is None:
+        if len(known) >= 1_000_000:
+            known.clear()
+        at = known[word] = hashlib.sha1(word.encode()).digest()[-1] if word else -1
+    return at
+
+
 def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """(key, vec) for a corpus: words are counted by an aggregate, and the array is made once for each row."""
-    words = rows.select(key, F.explode_outer(F.filter(F.split(squeeze(F.lower(text)), " "), lambda w: w != "")).alias("w"))
-    bucket = (F.conv(F.right(F.sha1("w"), F.lit(2)), 16, 10).cast("int") % dim).cast("int")
-    counts = words.select(key, bucket.alias("b")).groupBy(key, "b").agg(F.count("b").cast("double").alias("c"))
-    flat = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"), F.map_from_entries(F.filter(F.collect_list(F.struct("b", "c")), lambda x: x["b"].isNotNull())).alias("m"))
-    part = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)
-    return flat.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), part).alias("vec"))
+    """(key, vec) for a corpus: the words of a batch are counted at once, each distinct one hashed once, and nothing is shuffled."""
+    schema = T.StructType([rows.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    size = BLOCK
+
+    def of(batches):
+        known: dict[str, int] = {}  # words that this task has met
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                words = part.column(1).flatten().dictionary_encode()
+                bucket = np.array([_bucket(w, known) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+                place = (row * 256 + bucket)[bucket >= 0]
+                c = np.bincount(place, minlength=part.num_rows * 256).reshape(part.num_rows, -1, dim).sum(axis=1).astype(float)
+                norm = np.sqrt((c * c).sum(axis=1))[:, None]
+                c = c / np.where(norm > 0, norm, 1.0)
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim), pa.array(c.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vec], names=schema.names)
+
+    words = F.split(squeeze(F.lower(text)), " ")
+    return rows.select(key, words.alias("words")).mapInArrow(of, schema)
 
 
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
