@@ -11,14 +11,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stem import stem
 from ..sources.tables import written
+from . import matching
 from .retrieval import ranked
-from .vectors import sent
+from .vectors import query_blocks, sent
 
 # Stop words of the English text search configuration.
 STOP = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
@@ -136,7 +140,12 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     def rated(groups: pa.Array, hits: pa.Array) -> pa.Array:
         return pa.array([cover_density(g, h) for g, h in zip(groups.to_pylist(), hits.to_pylist(), strict=True)], pa.float64())
 
-    asked = queries.select("query_id", parsed(F.coalesce("query", F.lit(""))).alias("groups")).where("size(groups) > 0")
+    read = written(queries.select("query_id", parsed(F.coalesce("query", F.lit(""))).alias("groups")).where("size(groups) > 0"))
+    single = F.forall("groups", lambda g: (F.size(g) == 1) & F.forall(g, lambda t: ~t["no"] & (F.size(t["words"]) == 1)))
+    counted = _any_word(read.where(single), chunks, k, stems)
+    asked = written(read.where(~single))
+    if not asked.limit(1).count():
+        return ranked(counted, k, k)
     wanted = asked.select("query_id", F.explode(F.flatten("groups")).alias("t")).select("query_id", F.explode("t.words").alias("lexeme")).distinct()
     places = word_places(chunks)
     vocabulary = chunks.select(F.explode(F.array_distinct(_words(F.concat_ws(" ", "title", "text")))).alias("word")).distinct()
@@ -146,4 +155,55 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     both = hits.join(sent(asked), "query_id").withColumn("have", F.array_distinct(F.transform("hits", lambda h: h["lexeme"])))
     fit = F.exists("groups", lambda g: F.forall(g, lambda t: t["no"] | (F.size(F.array_except(t["words"], F.col("have"))) == 0)))
     found = both.where(fit).select("query_id", "chunk_id", rated("groups", "hits").alias("score")).where("score is not null")
-    return ranked(found.withColumn("score", F.round("score", 9)), k, k)
+    return ranked(found.withColumn("score", F.round("score", 9)).unionByName(counted), k, k)
+
+
+def _any_word(asked: DataFrame, chunks: DataFrame, k: int, stems) -> DataFrame:
+    """(query_id, chunk_id, score) of queries that ask for any of single words; groups: each one word.
+
+    There every place of a searched word is a shortest stretch of its own, so the sum of a chunk's stretches is the sum of its places' weights:
+    counts of words are all that is needed. Only rows that may be among the best k of their query are handed on.
+    """
+    t = chunks.select("chunk_id", _words(F.col("title")).alias("head"), _words(F.col("text")).alias("body"))
+    terms = asked.select("query_id", F.lit(0).cast("long").alias("scope"), F.array_distinct(F.transform(F.flatten("groups"), lambda x: x["words"][0])).alias("terms"))
+    terms = written(terms.withColumns({"phrase": F.lit(""), "quoted": F.array().cast("array<string>")}))
+    parts = []
+    for block in query_blocks(terms, "terms", 1, matching.TILE // 32):
+        words = matching.Asked.read(block)
+        parts.append(matching.named(_weighed(t, words, k), block, asked.schema["query_id"]))
+    return matching.union(parts)
+
+
+def _weighed(texts: DataFrame, asked: matching.Asked, k: int) -> DataFrame:
+    """(chunk_id, q, score) from texts (chunk_id, head, body)."""
+    schema = T.StructType([texts.schema["chunk_id"], T.StructField("q", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    questions, stops = len(asked.need), pa.array(STOP)
+
+    def of(batches):
+        best, known = matching.Least(questions, k), {}
+        places = {w: i for i, w in enumerate(asked.terms.to_pylist())}
+        for part in matching.tiles(batches, questions):
+            total = np.zeros(part.num_rows * questions)
+            for column, weight in (("head", TITLE_WEIGHT), ("body", TEXT_WEIGHT)):
+                flat = part.column(column).flatten().dictionary_encode()
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(column)).to_numpy(zero_copy_only=False))
+                stop = pc.is_in(flat.dictionary, value_set=stops).to_pylist()
+                term = np.array([-1 if no else _place(w, places, known) for w, no in zip(flat.dictionary.to_pylist(), stop, strict=True)], np.int64)[flat.indices.to_numpy()]
+                # one scope: the ids of words are the places of terms
+                total += weight * np.bincount(asked.met(row[term >= 0], term[term >= 0])[1], minlength=len(total))
+            s = (total / (total + 1)).reshape(part.num_rows, questions)
+            s[s == 0] = -np.inf
+            r, q = np.nonzero(best.keep(s))
+            yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(pa.array(r)), pa.array(q.astype(np.int32)), pa.array(s[r, q])], names=schema.names)
+
+    return texts.mapInArrow(of, schema)
+
+
+def _place(word: str, places: dict[str, int], known: dict[str, int]) -> int:
+    """The place of a word's stem among the searched ones, -1 for none; known: words met before, no more than a million."""
+    at = known.get(word)
+    if at is None:
+        if len(known) >= 1_000_000:
+            known.clear()
+        at = known[word] = places.get(stem(word), -1)
+    return at

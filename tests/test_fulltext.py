@@ -64,3 +64,24 @@ def test_vector_top_k_of_odd_vectors_and_ties(spark):
         assert [(r.query_id, r.chunk_id, r.score, r["rank"]) for r in vectors.top_k(q, v, 2, 2, 2).orderBy("query_id", "rank").collect()] == got
     finally:
         vectors.MOST_SENT = most
+
+
+def test_any_word_is_counted_as_cover_density_says(spark):
+    rng = random.Random(8)
+    words = "cat cats dog dogs house run running the of red".split()
+    texts = [(str(i), rng.choice(["", "The red cats of", None]), " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(120)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, title string, text string")
+    asks = [(0, "cat or dogs or the"), (1, "running or cat or cats"), (2, "house"), (3, "cat dog"), (4, "zebra or of")]
+    rows = fulltext.search(spark.createDataFrame(asks, "query_id int, query string"), chunks, 7).collect()
+    places = {}
+    for p in fulltext.word_places(chunks).collect():
+        places.setdefault(p.chunk_id, []).append({"at": p["at"], "weight": p.weight, "lexeme": stem(p.word)})
+    for i, query in asks:
+        groups = [[{"no": n, "words": w, "steps": s} for n, w, s in g] for g in fulltext.parse(query)]
+        wanted = {w for g in groups for t in g for w in t["words"]}
+        all_ = {c: fulltext.cover_density(groups, [h for h in p if h["lexeme"] in wanted]) for c, p in places.items()}
+        want = sorted(((-round(s, 9), c) for c, s in all_.items() if s is not None))[:7]
+        assert sorted((-r.score, r.chunk_id) for r in rows if r.query_id == i) == want
+    # words alone need no row for each question and place
+    plan = fulltext.search(spark.createDataFrame(asks[:2], "query_id int, query string"), chunks, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
