@@ -84,3 +84,13 @@ def test_empty_index(spark, tmp_path):
     assert index.top_k(asked, 3).rows.count() == 0
     index.upsert(spark.createDataFrame([], CHUNK))
     assert index.top_k(asked, 3).rows.count() == index.boolean(asked).rows.count() == 0
+
+
+def test_words_of_a_long_chunk_are_counted_once(spark):
+    from collections import Counter
+
+    from quern.operators.keyword_index import counted
+
+    rows = [(0, [f"w{i % 7000}" for i in range(20_000)]), (1, []), (2, ["b", "a", "b"])]
+    got = spark.createDataFrame(rows, "id int, words array<string>").select("id", counted(F.col("words")).alias("t")).collect()
+    assert {r.id: [(x.term, x.tf) for x in r.t] for r in got} == {i: sorted(Counter(w).items()) for i, w in rows}
