@@ -55,13 +55,13 @@ def _search(asked: DataFrame, corpus: Corpus, cfg: Config) -> DataFrame:
     if corpus.keywords:
         kw = corpus.keywords.top_k(words, most=most).rows
     else:
-        kw = retrieval.ranked(retrieval.bm25_scores(words, corpus.chunks).join(words.select("query_id", "k"), "query_id"), F.col("k"), most).drop("k")
+        kw = retrieval.ranked(retrieval.bm25_scores(words, corpus.chunks, most).join(words.select("query_id", "k"), "query_id"), F.col("k"), most).drop("k")
     variants = vectors.with_hash_vector(asked.select("query_id", F.col("lim.vector_top_k").alias("k"), F.posexplode("rw.semantic_queries").alias("variant", "text")), "text")
     ve = vectors.top_k(variants.drop("text"), corpus.vectors, F.col("k"), most)
     merged = retrieval.ranked(retrieval.fuse(kw, ve, cfg.weight_vector, cfg.weight_keyword).join(lim.select("query_id", F.col("lim.merged_limit").alias("k"), F.col("lim.expansion").alias("x")), "query_id"), F.col("k"), most)
     wide = retrieval.expand(merged.where("x").drop("k", "x"), corpus.chunks, cfg.neighbour_window)
     base = retrieval.expand(merged.where("not x").drop("k", "x"), corpus.chunks, 0).unionByName(wide, allowMissingColumns=True)
-    rows = base.join(corpus.chunks, "chunk_id").join(lim, "query_id")
+    rows = written(corpus.chunks.join(vectors.sent(written(base)), "chunk_id")).join(lim, "query_id")  # a few rows for each query: they go to the chunks
     rows = rows.withColumn("sources", F.coalesce("sources", F.array(F.lit("expanded")))).na.fill(0.0, ["vector_score", "keyword_score"])
     ranked = ranking.rerank_weighted(rows.drop("rank"))
     over = Win.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
