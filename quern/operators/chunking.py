@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
+from ..functions.batches import windows
 from ..functions.scores import dot
 from ..functions.text import ascii_word_count, prose_sentences, squeeze
 from .vectors import DIM, with_hash_vector
@@ -14,6 +18,9 @@ from .vectors import DIM, with_hash_vector
 # Words that may be lower-case in a chapter title.
 CONNECTORS = ["of", "the", "and", "or", "in", "on", "at", "to", "for", "a"]
 
+#: Texts that are cut at once.
+ROWS = 256
+
 
 def _check(size: int, overlap: int) -> None:
     if size <= 0 or not 0 <= overlap < size:
@@ -50,13 +57,18 @@ def word_windows(parts: DataFrame, size: int = 600, overlap: int = 100) -> DataF
     """Sections to (document_id, section_index, title, window, text): windows of ``size`` words, each ``size - overlap`` on."""
     _check(size, overlap)
     step = size - overlap
-    cut = parts.select("document_id", "section_index", "title", squeeze(F.col("body")).alias("body")).where("body <> ''").withColumn("words", F.split("body", " "))
-    n = F.size("words")
-    k = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
-    one = cut.select("document_id", "section_index", "title", "body", "words", n.alias("n"), F.explode(F.sequence(F.lit(0), k - 1)).alias("window"))
-    text = F.array_join(F.slice("words", F.col("window") * step + 1, size), " ")
-    named = F.col("title").isNotNull() & ((F.col("n") > size) | ~F.startswith(F.lower("body"), F.lower("title")))
-    return one.select("document_id", "section_index", "title", "window", F.when(named, F.concat("title", F.lit("\n\n"), text)).otherwise(text).alias("text"))
+    title = F.col("title")
+    cut = parts.select("document_id", "section_index", "title", F.when(title.isNotNull(), F.startswith(F.lower(squeeze(F.col("body"))), F.lower(title))).alias("starts"), "body")
+    schema = T.StructType([*cut.drop("body").schema.fields, *T.StructType.fromDDL("window int, n int, text string").fields])
+
+    def of(batches):
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            row, window, n, text = windows(part.column("body"), size, step)
+            own = [part.column(c).take(pa.array(row)) for c in schema.names[:4]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(window.astype(np.int32)), pa.array(n.astype(np.int32)), text], names=schema.names)
+
+    named = title.isNotNull() & ((F.col("n") > size) | ~F.col("starts"))
+    return cut.mapInArrow(of, schema).select("document_id", "section_index", "title", "window", F.when(named, F.concat("title", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
 
 
 def numbered(chunks: DataFrame) -> DataFrame:

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import keywords, phrase
 from ..sources.tables import written
 
 #: Scores of one tile: chunks times questions.
 TILE = 1 << 20
+#: Rows of one tile: about 8 MB of text.
+ROWS = 2048
 #: More than what rounding to nine places moves.
 SLACK = 2e-9
 
@@ -83,48 +86,58 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def tiles(batches: Iterator[pa.RecordBatch], questions: int) -> Iterator[pa.RecordBatch]:
-    """Slices with no more scores than TILE."""
-    size = max(1, TILE // max(questions, 1))
+    """Slices with no more scores than TILE and no more rows than ROWS."""
+    size = min(ROWS, max(1, TILE // max(questions, 1)))
     for b in batches:
         for at in range(0, b.num_rows, size):
             yield b.slice(at, size)
 
 
+#: What chunks hold of texts, and what an index knows of them instead.
+TEXTS, INDEXED = ["title", "section_title", "text"], ["words", "title_terms", "section_terms", "said"]
 POSTED = "g int, dl int, ids array<bigint>, tfs array<bigint>, more array<double>, whole array<bigint>, said array<bigint>"
 
 
 def posted(chunks: DataFrame, asked: Asked, title: float, section: float) -> DataFrame:
-    """chunks (chunk_id, words, title_terms, section_terms, said, scope) with what they share with the questions, as POSTED names it.
+    """chunks (chunk_id, scope, text, title and section_title; or words, title_terms, section_terms, said) with what they share with the questions, as POSTED names it.
 
+    Texts are split here, a batch at once, so that no array of all words is made in between.
     ids, tfs, more: words of questions, how often they are there, what title and section add. whole: the questions all of whose words
     and quotes are there; said: those of them whose phrase is.
     """
     schema = T.StructType([chunks.schema["chunk_id"], *T.StructType.fromDDL(POSTED).fields])
+    split = "words" not in chunks.columns
 
     def of(batches):
         for part in tiles(batches, len(asked.need)):
             scope = _places(part.column("scope"), asked.scopes)
-            row, ids = asked.ids(scope, part.column("words"))
+            if split:
+                text, heads = part.column("text").fill_null(""), [part.column(c).fill_null("") for c in ("title", "section_title")]
+                words, headed = keywords(pc.binary_join_element_wise(*heads, text, " ")), [keywords(h) for h in heads]
+            else:
+                words, headed = part.column("words"), [part.column(c) for c in ("title_terms", "section_terms")]
+            row, ids = asked.ids(scope, words)
             key, tf = np.unique(row * len(asked.keys) + ids, return_counts=True)
             row, ids = np.divmod(key, max(len(asked.keys), 1))
             more = np.zeros(len(key))
-            for column, bonus in (("title_terms", title), ("section_terms", section)):
-                r, i = asked.ids(scope, part.column(column))
+            for head, bonus in zip(headed, (title, section)):
+                r, i = asked.ids(scope, head)
                 more[np.searchsorted(key, r * len(asked.keys) + i)] += bonus
             have = np.bincount(asked.met(row, ids)[1], minlength=part.num_rows * len(asked.need)).reshape(part.num_rows, -1)
-            whole, said = [], []
+            whole, said, spoken = [], [], {}
             for r, q in np.argwhere(have == asked.need).tolist() if have.size else []:
-                text = part.column("said")[r].as_py() or ""
-                if all(x in text for x in asked.quoted[q]):
+                if r not in spoken:
+                    spoken[r] = phrase(text[r].as_py()) if split else part.column("said")[r].as_py() or ""
+                if all(x in spoken[r] for x in asked.quoted[q]):
                     whole.append((r, q))
-                if asked.phrases[q] and asked.phrases[q] in text:
+                if asked.phrases[q] and asked.phrases[q] in spoken[r]:
                     said.append((r, q))
             pairs = [_lists(*np.array(x, np.int64).reshape(-1, 2).T, part.num_rows) for x in (whole, said)]
-            dl = pc.list_value_length(part.column("words")).cast(pa.int32())
+            dl = pc.list_value_length(words).cast(pa.int32())
             out = [part.column("chunk_id"), pa.array(scope.astype(np.int32)), dl, *(_lists(row, x, part.num_rows) for x in (ids, tf.astype(np.int64), more)), *pairs]
             yield pa.RecordBatch.from_arrays(out, names=schema.names).filter(pa.array(scope >= 0))
 
-    return chunks.select("chunk_id", "words", "title_terms", "section_terms", "said", "scope").mapInArrow(of, schema)
+    return chunks.select("chunk_id", "scope", *(TEXTS if split else INDEXED)).mapInArrow(of, schema)
 
 
 def counts(rows: DataFrame, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +183,7 @@ def scored(rows: DataFrame, asked: Asked, weigh, most: int | None, all_terms: bo
             w = weigh(ids, flat("tfs").astype(float), part.column("dl").to_numpy(zero_copy_only=False).astype(float)[row], part.column("g").to_numpy(zero_copy_only=False)[row])
             place, pair = asked.met(row, ids)
             shape = (part.num_rows, questions)
-            total = lambda x: np.bincount(pair, x[place], part.num_rows * questions).reshape(shape)
+            total = lambda x: np.bincount(pair, x[place], part.num_rows * questions).reshape(shape).astype(float)  # noqa: E731 (without pairs the counts are integers)
             s, more = total(w), flat("more")
             there = s > 0
             if more.any():

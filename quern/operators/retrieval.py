@@ -15,7 +15,7 @@ from .vectors import query_blocks, sent
 
 
 #: What an index knows of a chunk.
-INDEXED = ["words", "title_terms", "section_terms", "said"]
+INDEXED = matching.INDEXED
 
 
 def filtered(chunks: DataFrame, workspace: str | None = None, source_types: list[str] | None = None, document_ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -86,9 +86,10 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, most: int | None = None,
     that hold all terms, and all quoted phrases, of the query. scope: a column of queries and of the chunks' index; only equal ones meet, and n, avgdl and df are theirs.
     """
     asked = written(_asked(queries, scope))
-    held = _words(chunks).withColumn("scope", F.col(scope) if scope else F.lit(0).cast("long"))
+    own = INDEXED if "words" in chunks.columns else [F.col(c) if c in chunks.columns else F.lit("").alias(c) for c in matching.TEXTS]
+    held = chunks.select("chunk_id", *own, (F.col(scope) if scope else F.lit(0).cast("long")).alias("scope"))
     if asked.count() > matching.TILE // 256:  # more than a block: read again for each
-        held = written(held.select("chunk_id", *INDEXED, "scope"))
+        held = written(held)
     parts = []
     for block in query_blocks(asked, "terms", 1, matching.TILE // 32):
         words = matching.Asked.read(block)

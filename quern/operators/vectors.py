@@ -14,6 +14,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import spaced
 from ..functions.text import squeeze
 from ..sources.tables import written
 
@@ -59,9 +60,10 @@ def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                words = part.column(1).flatten().dictionary_encode()
+                split = spaced(part.column(1))
+                words = split.flatten().dictionary_encode()
                 bucket = np.array([_bucket(w, known) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
                 place = (row * 256 + bucket)[bucket >= 0]
                 c = np.bincount(place, minlength=part.num_rows * 256).reshape(part.num_rows, -1, dim).sum(axis=1).astype(float)
                 norm = np.sqrt((c * c).sum(axis=1))[:, None]
@@ -69,8 +71,7 @@ def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFr
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim), pa.array(c.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), vec], names=schema.names)
 
-    words = F.split(squeeze(F.lower(text)), " ")
-    return rows.select(key, words.alias("words")).mapInArrow(of, schema)
+    return rows.select(key, F.lower(text).alias("text")).mapInArrow(of, schema)
 
 
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
