@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -11,15 +14,16 @@ from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.batches import windows
-from ..functions.scores import dot
 from ..functions.text import ascii_word_count, prose_sentences, squeeze
-from .vectors import DIM, with_hash_vector
+from .vectors import DIM, batch_vectors
 
 # Words that may be lower-case in a chapter title.
 CONNECTORS = ["of", "the", "and", "or", "in", "on", "at", "to", "for", "a"]
 
 #: Texts that are cut at once.
 ROWS = 256
+#: Sections whose sentences are compared at once.
+SECTIONS = 32
 
 
 def _check(size: int, overlap: int) -> None:
@@ -104,41 +108,68 @@ def hierarchical(parts: DataFrame, parent_size: int = 1500, parent_overlap: int
     return kept.select("document_id", "section_index", "title", "window", "text", F.when(own, F.col("parent_text")).alias("parent_text"), F.when(own, name).alias("parent_chunk_id"))
 
 
-def _groups(items: Column, low: Column, least: int, most: int) -> Column:
-    """Sentence groups by one fold over (words, similarity to the sentence before), then two merges of small groups."""
-    empty = F.array().cast("array<struct<n:int,words:int>>")
-    add = lambda gs, n, w: F.concat(gs, F.array(F.struct(n.cast("int").alias("n"), w.cast("int").alias("words"))))
-    last = lambda gs: F.element_at(gs, -1)
-    front = lambda gs: F.slice(gs, 1, F.size(gs) - 1)
-
-    def step(gs: Column, x: Column) -> Column:
-        full = F.when(F.size(gs) == 0, True).otherwise((last(gs)["words"] >= least) & ((x["sim"] < low) | (last(gs)["words"] + x["words"] > most)))
-        return F.when(full, add(gs, F.lit(1), x["words"])).otherwise(add(front(gs), last(gs)["n"] + 1, last(gs)["words"] + x["words"]))
+def _groups(words: list[int], sim: list[float], low: float, least: int, target: int, most: int) -> list[int]:
+    """How many sentences each group has: one walk over words and similarities to the sentence before, then two merges of small groups."""
+    if sum(words) <= target and len(words) <= 2:
+        return [len(words)] if words else []
+    groups: list[list[int]] = []
+    for w, s in zip(words, sim):
+        if not groups or (groups[-1][1] >= least and (s < low or groups[-1][1] + w > most)):
+            groups.append([0, 0])
+        groups[-1][0], groups[-1][1] = groups[-1][0] + 1, groups[-1][1] + w
+    merged: list[list[int]] = []
+    for n, w in groups:
+        if merged and w < least:
+            merged[-1] = [merged[-1][0] + n, merged[-1][1] + w]
+        else:
+            merged.append([n, w])
+    # after the backward merge only the first group can still be small
+    if len(merged) >= 2 and merged[0][1] < least:
+        merged[:2] = [[merged[0][0] + merged[1][0], merged[0][1] + merged[1][1]]]
+    return [n for n, _ in merged]
 
-    def back(gs: Column, g: Column) -> Column:
-        return F.when((F.size(gs) > 0) & (g["words"] < least), add(front(gs), last(gs)["n"] + g["n"], last(gs)["words"] + g["words"])).otherwise(add(gs, g["n"], g["words"]))
 
-    merged = F.aggregate(F.aggregate(items, empty, step), empty, back)
-    first, second = F.get(merged, F.lit(0)), F.get(merged, F.lit(1))
-    joined = F.concat(F.array(F.struct((first["n"] + second["n"]).alias("n"), (first["words"] + second["words"]).alias("words"))), F.slice(merged, 3, F.greatest(F.size(merged), F.lit(1))))
-    # after the backward merge only the first group can still be small
-    return F.when((F.size(merged) >= 2) & (first["words"] < least), joined).otherwise(merged)
+def _percentile(values: np.ndarray, share: float) -> float:
+    """Interpolated as Spark's percentile; NaN, below which nothing lies, for no values."""
+    if not len(values):
+        return np.nan
+    ordered, at = np.sort(values), (len(values) - 1) * share
+    below, above = int(np.floor(at)), int(np.ceil(at))
+    if below == above or ordered[below] == ordered[above]:
+        return float(ordered[below])
+    return float((above - at) * ordered[below] + (at - below) * ordered[above])
 
 
 def semantic(parts: DataFrame, least: int = 200, target: int = 500, most: int = 900, share: float = 0.25) -> DataFrame:
-    """Sections to groups of like sentences: a group ends where the similarity of neighbours is in the lowest ``share``, or it is full."""
-    sents = parts.select("document_id", "section_index", "title", F.posexplode(prose_sentences(F.col("body"))).alias("no", "s"))
-    over = Win.partitionBy("document_id", "section_index").orderBy("no")
-    sents = with_hash_vector(sents.withColumn("words", F.greatest(F.lit(1), F.size(F.split("s", " ")))), "s", "v")
-    sents = sents.withColumn("sim", F.when(F.col("no") > 0, dot(F.lag("v").over(over), F.col("v"), DIM)))
-    both = sents.groupBy("document_id", "section_index", "title").agg(F.array_sort(F.collect_list(F.struct("no", "words", "sim", "s"))).alias("items"), F.percentile("sim", share).alias("low"), F.sum("words").alias("total"))
-    small = (F.col("total") <= target) & (F.size("items") <= 2)
-    groups = F.when(small, F.array(F.struct(F.size("items").alias("n"), F.col("total").cast("int").alias("words")))).otherwise(_groups(F.col("items"), F.col("low"), least, most))
-    ends = both.withColumn("g", groups).select("document_id", "section_index", "title", "items", F.posexplode("g").alias("window", "x"), "g")
-    start = F.aggregate(F.slice("g", 1, F.col("window")), F.lit(0), lambda a, g: a + g["n"])
-    text = F.array_join(F.transform(F.slice("items", start + 1, F.col("x.n")), lambda i: i["s"]), " ")
-    named = F.col("title").isNotNull() & ~((F.size("g") == 1) & F.startswith(F.lower(text), F.lower("title")))
-    return ends.select("document_id", "section_index", "title", "window", F.when(named, F.concat("title", F.lit("\n\n"), text)).otherwise(text).alias("text"))
+    """Sections to groups of like sentences: a group ends where the similarity of neighbours is in the lowest ``share``, or it is full.
+
+    Sentences of a batch of sections are counted at once and stay with their section: nothing is shuffled.
+    """
+    said = parts.select("document_id", "section_index", "title", prose_sentences(F.col("body")).alias("s")).withColumn("lower", F.transform("s", lambda x: F.lower(x)))
+    schema = T.StructType([*said.drop("s", "lower").schema.fields, *T.StructType.fromDDL("window int, alone boolean, text string").fields])
+
+    def of(batches):
+        known: dict[str, int] = {}
+        for part in (b.slice(at, SECTIONS) for b in batches for at in range(0, b.num_rows, SECTIONS)):
+            sents = part.column("s").flatten()
+            ends = np.cumsum(pc.list_value_length(part.column("s")).fill_null(0).to_numpy(zero_copy_only=False))
+            words = (pc.count_substring(sents, " ").to_numpy(zero_copy_only=False) + 1).tolist()
+            v = batch_vectors(part.column("lower").flatten(), DIM, known)
+            sim = np.full(len(v), np.nan)
+            sim[1:] = reduce(np.add, (v[:-1] * v[1:]).T) if len(v) > 1 else 0.0  # from the first component to the last, as scores.dot adds them
+            rows, window, alone, n = [], [], [], []
+            for row, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
+                groups = _groups(words[start:end], sim[start:end].tolist(), _percentile(sim[start + 1 : end], share), least, target, most)
+                rows += [row] * len(groups)
+                window += range(len(groups))
+                alone += [len(groups) == 1] * len(groups)
+                n += groups
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), sents), " ")
+            own = [part.column(c).take(pa.array(rows, pa.int64())) for c in schema.names[:3]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(window, pa.int32()), pa.array(alone, pa.bool_()), text], names=schema.names)
+
+    named = F.col("title").isNotNull() & ~(F.col("alone") & F.startswith(F.lower("text"), F.lower("title")))
+    return said.mapInArrow(of, schema).select("document_id", "section_index", "title", "window", F.when(named, F.concat("title", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
 
 
 def choose(docs: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -41,17 +41,28 @@ def with_hash_vector(df: DataFrame, text: str, out: str = "vec", dim: int = DIM)
 
 
 def _bucket(word: str, known: dict[str, int]) -> int:
-    """The last byte of a word's SHA-1, -1 for no word; known: those found before, no more than a million."""
+    """The last byte of a word's SHA-1; known: those found before, no more than a million."""
     at = known.get(word)
     if at is None:
         if len(known) >= 1_000_000:
             known.clear()
-        at = known[word] = hashlib.sha1(word.encode()).digest()[-1] if word else -1
+        at = known[word] = hashlib.sha1(word.encode()).digest()[-1]
     return at
 
 
+def batch_vectors(texts: pa.Array, dim: int, known: dict[str, int]) -> np.ndarray:
+    """A unit vector for each of the lower-cased texts, zero for blank ones: the words are counted at once, each distinct one hashed once."""
+    split = spaced(texts)
+    words = split.values.dictionary_encode()
+    bucket = np.array([_bucket(w, known) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()] % dim
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    c = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(-1, dim).astype(float)
+    norm = np.sqrt((c * c).sum(axis=1))[:, None]
+    return c / np.where(norm > 0, norm, 1.0)
+
+
 def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """(key, vec) for a corpus: the words of a batch are counted at once, each distinct one hashed once, and nothing is shuffled."""
+    """(key, vec) for a corpus: the words of a batch are counted at once, and nothing is shuffled."""
     schema = T.StructType([rows.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType()))])
     size = BLOCK
 
@@ -60,14 +71,7 @@ def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                split = spaced(part.column(1))
-                words = split.flatten().dictionary_encode()
-                bucket = np.array([_bucket(w, known) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-                place = (row * 256 + bucket)[bucket >= 0]
-                c = np.bincount(place, minlength=part.num_rows * 256).reshape(part.num_rows, -1, dim).sum(axis=1).astype(float)
-                norm = np.sqrt((c * c).sum(axis=1))[:, None]
-                c = c / np.where(norm > 0, norm, 1.0)
+                c = batch_vectors(part.column(1), dim, known)
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim), pa.array(c.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), vec], names=schema.names)
 

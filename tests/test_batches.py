@@ -41,3 +41,15 @@ def test_scores_need_no_arrays_of_all_words(spark):
 def test_windows_carry_no_words_of_the_document(spark):
     plan = chunking.word_windows(chunking.whole(spark.createDataFrame([("d", "a b")], "document_id string, text string")))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "split(" not in plan
+
+
+def test_semantic_chunks_shuffle_no_sentences(spark):
+    """Each section is one row from end to end; odd bodies give their sentences, or nothing."""
+    say = " ".join(f"{w} " * 150 + f"{w}." for w in ("Red", "Red", "Sea", "Sea", "Sea"))
+    parts = spark.createDataFrame([("a", 0, None, say), ("b", 0, "Red", say), ("c", 0, None, None), ("d", 0, None, " \n"), ("e", 0, "One", "One. Two!"), ("f", 1, None, "naïve")], "document_id string, section_index int, title string, body string")
+    out = chunking.semantic(parts)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.document_id, r.window): r.text for r in out.collect()}
+    assert " ".join(t for (d, _), t in sorted(rows.items()) if d == "a") == " ".join(say.split())
+    assert [len(rows["a", w].split()) for w in range(2)] == [302, 453] and rows["b", 0].startswith("Red\n\nRed ")
+    assert {k: t for k, t in rows.items() if k[0] in "cdef"} == {("e", 0): "One. Two!", ("f", 0): "naïve"}
