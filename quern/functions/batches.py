@@ -42,7 +42,12 @@ def keywords(texts: pa.Array) -> pa.ListArray:
 
 def phrase(text: str) -> str:
     """All words of one text, as functions.text.keyword_phrase gives them."""
-    return " ".join(_plain(pa.array([text], pa.string()))[0].as_py().split())
+    return phrases(pa.array([text], pa.string()))[0].as_py()
+
+
+def phrases(texts: pa.Array) -> pa.StringArray:
+    """All words of each text, as functions.text.keyword_phrase gives them."""
+    return pc.binary_join(spaced(_plain(texts)), " ")
 
 
 def windows(texts: pa.Array, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:

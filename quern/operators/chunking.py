@@ -44,7 +44,7 @@ def heading(line: Column) -> Column:
 def sections(docs: DataFrame) -> DataFrame:
     """(document_id, text) to (document_id, section_index, title, body): lines between headings; empty bodies are left out."""
     lines = docs.select("document_id", F.posexplode(F.split("text", r"\R|[\x1c-\x1e]")).alias("no", "raw")).select("document_id", "no", F.trim(F.regexp_replace("raw", r"[ \t]+", " ")).alias("line"))
-    lines = lines.withColumn("title", heading(F.col("line")))
+    lines = lines.withColumn("title", F.when(F.col("line").rlike("^[#1-9]"), heading(F.col("line"))))  # others are none
     over = Win.partitionBy("document_id").orderBy("no")
     lines = lines.withColumn("section_index", F.sum(F.col("title").isNotNull().cast("int")).over(over))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("no", "line")))), lambda x: x["line"]), "\n")
@@ -172,12 +172,18 @@ def semantic(parts: DataFrame, least: int = 200, target: int = 500, most: int =
     return said.mapInArrow(of, schema).select("document_id", "section_index", "title", "window", F.when(named, F.concat("title", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
 
 
+def _fixed(cfg: Config) -> str | None:
+    """The chunker of all documents, where settings name one."""
+    if cfg.chunker != "auto" and not cfg.adaptive_chunking:
+        return cfg.chunker if cfg.chunker in ("semantic", "hierarchical") else "word"
+    return None
+
+
 def choose(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(document_id, text, file_type) with word_count, heading_count, chunker and chunker_reason."""
     heads = sections(docs.select("document_id", "text")).groupBy("document_id").agg(F.count("title").alias("heading_count"))
     out = docs.withColumn("word_count", ascii_word_count(F.col("text"))).join(heads, "document_id", "left").na.fill(0, ["heading_count"])
-    if cfg.chunker != "auto" and not cfg.adaptive_chunking:
-        kind = cfg.chunker if cfg.chunker in ("semantic", "hierarchical") else "word"
+    if kind := _fixed(cfg):
         return out.withColumn("chunker", F.lit(kind)).withColumn("chunker_reason", F.lit("fixed-by-config"))
     w, h = F.col("word_count"), F.col("heading_count")
     density = h / F.greatest(F.lit(1.0), w / 1000.0)
@@ -205,7 +211,7 @@ def hierarchical_sizes(cfg: Config = Config()) -> dict[str, int]:
 
 def chunk(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(document_id, text, file_type) to numbered chunks, each document by the chunker chosen for it."""
-    put = choose(docs, cfg)
+    put = docs.withColumn("chunker", F.lit(_fixed(cfg))) if _fixed(cfg) else choose(docs, cfg)  # no headings are counted where none decides
     of = lambda kind: sections(put.where(F.col("chunker") == kind).select("document_id", "text"))
     blank = lambda d: d.withColumn("parent_text", F.lit(None).cast("string")).withColumn("parent_chunk_id", F.lit(None).cast("string"))
     size = max(100, cfg.chunk_size)

@@ -23,7 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.batches import keywords, phrases
 from ..functions.scores import bm25
 from ..functions.text import keyword_phrase
 from ..sources.keyed import Change, KeyedTable
@@ -33,6 +35,10 @@ from .vectors import sent
 
 #: Chunks of a block.
 BLOCK = 32
+#: Chunks of a bucket that one task makes postings of, about.
+PART = 8192
+#: Chunks whose words are found, or whose postings are made, at once.
+ROWS = 2048
 _CHUNKS = "document_id string, chunk_id string, dl int, terms array<struct<term:string,tf:int>>, title_terms array<string>, section_terms array<string>, said string"
 _POSTINGS = "home int, block int, term string, df int, tf_max int, dl_min int, titled boolean, sectioned boolean, postings array<struct<chunk_id:string,tf:int,dl:int,titled:boolean,sectioned:boolean>>"
 #: More than the rounding of a sum of scores.
@@ -44,19 +50,96 @@ def counted(words: Column) -> Column:
 
     @F.arrow_udf("array<struct<term:string,tf:int>>")
     def of(lists: pa.Array) -> pa.Array:
-        coded = lists.flatten().dictionary_encode()
-        order = pc.sort_indices(coded.dictionary)
-        rank = np.empty(len(order), np.int64)
-        rank[order.to_numpy()] = np.arange(len(order))
-        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-        key, tf = np.unique(row * max(len(order), 1) + rank[coded.indices.to_numpy()], return_counts=True)
-        row, at = np.divmod(key, max(len(order), 1))
-        both = pa.StructArray.from_arrays([coded.dictionary.take(order).take(pa.array(at)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)), both)
+        return _counted(lists)
 
     return of(words)
 
 
+def _counted(lists: pa.Array) -> pa.ListArray:
+    coded = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    key, tf = np.unique(row * max(len(order), 1) + rank[coded.indices.to_numpy()], return_counts=True)
+    row, at = np.divmod(key, max(len(order), 1))
+    both = pa.StructArray.from_arrays([coded.dictionary.take(order).take(pa.array(at)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)), both)
+
+
+def counted_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks (document_id, chunk_id, text[, title, section_title]) as rows of the table of chunks: the words of retrieval.indexed, found and counted a batch at once."""
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in chunks.columns else F.lit("")
+    named = chunks.select(F.col("document_id").cast("string").alias("document_id"), "chunk_id", has("title").alias("title"), has("section_title").alias("section"), has("text").alias("text"))
+
+    def of(batches):
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            title, section, text = (part.column(c) for c in ("title", "section", "text"))
+            words = keywords(pc.binary_join_element_wise(title, section, text, " "))
+            heads = [pa.array([list(dict.fromkeys(x)) for x in keywords(h).to_pylist()], pa.list_(pa.string())) for h in (title, section)]
+            dl = pc.list_value_length(words).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("document_id"), part.column("chunk_id").cast(pa.string()), dl, _counted(words), *heads, phrases(text)], names=[f.name for f in schema])
+
+    schema = T.StructType.fromDDL(_CHUNKS)
+    return named.mapInArrow(of, schema)
+
+
+def _posted(part: pa.Table, block: np.ndarray) -> pa.RecordBatch:
+    """Postings of chunks (home, chunk_id, dl, terms, title_terms, section_terms); block: that of each, with the chunks of one block and home side by side."""
+    put = {c: part.column(c).combine_chunks() for c in part.schema.names}
+    home, dl = put["home"].to_numpy(), put["dl"].to_numpy().astype(np.int32)
+    group = np.cumsum(np.append(0, (home[1:] != home[:-1]) | (block[1:] != block[:-1])))  # a number for each block
+    row = np.repeat(np.arange(len(dl)), pc.list_value_length(put["terms"]).fill_null(0).to_numpy(zero_copy_only=False))
+    flat = put["terms"].flatten()
+    coded, tf = flat.field("term").dictionary_encode(), flat.field("tf").to_numpy(zero_copy_only=False)
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def held(heads: pa.Array) -> np.ndarray:
+        at = pc.index_in(heads.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(dl)), pc.list_value_length(heads).fill_null(0).to_numpy(zero_copy_only=False))
+        return np.isin(row * len(words) + code, of[at >= 0] * len(words) + at[at >= 0])
+
+    titled, sectioned = held(put["title_terms"]), held(put["section_terms"])
+    key = group[row] * len(words) + code
+    order = np.argsort(key, kind="stable")
+    key, row, tf, titled, sectioned = key[order], row[order], tf[order], titled[order], sectioned[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    each = pa.StructArray.from_arrays([put["chunk_id"].take(pa.array(row)), pa.array(tf), pa.array(dl[row]), pa.array(titled), pa.array(sectioned)], names=["chunk_id", "tf", "dl", "titled", "sectioned"])
+    most = lambda f, x: f.reduceat(x, start) if len(start) else x
+    first = row[start]
+    out = [
+        home[first], block[first].astype(np.int32), words.take(pa.array(code[order][start])), np.diff(np.append(start, len(key))).astype(np.int32),
+        most(np.maximum, tf), most(np.minimum, dl[row]), most(np.logical_or, titled), most(np.logical_or, sectioned),
+    ]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), each)
+    return pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in out), lists], names=["home", "block", "term", "df", "tf_max", "dl_min", "titled", "sectioned", "postings"])
+
+
+def posted(chunks: DataFrame, size: int, parts: int) -> DataFrame:
+    """Postings of chunks (home, part below ``parts``, ... as _posted takes them), by blocks of ``size`` chunks; all chunks of a home and part have to come one after the other."""
+
+    def of(batches):
+        rest, at = None, (None, 0)  # rows whose block may go on in the next batch, and its part and number there
+        for b in batches:
+            for part in (b.slice(i, ROWS) for i in range(0, b.num_rows, ROWS)):
+                new = pa.Table.from_batches([part])
+                held = new if rest is None else pa.concat_tables([rest, new])
+                key = held.column("home").to_numpy().astype(np.int64) * parts + held.column("part").to_numpy()
+                edge = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+                first = np.repeat(edge, np.diff(np.append(edge, len(key))))
+                block = (np.arange(len(key)) - first) // size + np.where(key == at[0], at[1], 0)
+                last = edge[-1] + (len(key) - 1 - edge[-1]) // size * size  # where the last block begins
+                number = block * parts + key % parts
+                if last:
+                    yield _posted(held.slice(0, last), number[:last])
+                rest, at = held.slice(last), (key[-1], int(block[-1]))
+        if rest is not None and rest.num_rows:
+            key = rest.column("home").to_numpy().astype(np.int64) * parts + rest.column("part").to_numpy()
+            yield _posted(rest, np.full(rest.num_rows, at[1] * parts + key[0] % parts))
+
+    return chunks.mapInArrow(of, T.StructType.fromDDL(_POSTINGS))
+
+
 @dataclass(frozen=True)
 class Found:
     """rows: query_id, chunk_id, score, rank; reads: query_id, blocks that hold a term of the query, blocks that were scored."""
@@ -76,34 +159,35 @@ class KeywordIndex:
 
     def upsert(self, chunks: DataFrame) -> Change:
         """All chunks (document_id, chunk_id, text[, title, section_title]) of these documents, in the place of their old ones."""
-        one = retrieval.indexed(chunks).select(F.col("document_id").cast("string").alias("document_id"), "chunk_id", *retrieval.INDEXED)
-        return self.change(one.select("document_id", "chunk_id", F.size("words").alias("dl"), counted(F.col("words")).alias("terms"), "title_terms", "section_terms", "said"))
+        return self.replace(chunks)
+
+    def replace(self, chunks: DataFrame | None = None, gone: DataFrame | None = None) -> Change:
+        """upsert and delete in one change: the postings are written once."""
+        if chunks is None:
+            return self.change(gone=gone)
+        return self.change(counted_chunks(chunks), gone, chunks.select(F.col("document_id").cast("string").alias("document_id")))
 
     def delete(self, ids: DataFrame) -> Change:
         """Without the documents of ids (document_id)."""
         return self.change(gone=ids)
 
-    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> Change:
-        """Merges rows of the table of chunks; then makes the postings of the buckets whose chunks are not those the postings were made from."""
+    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None, keys: DataFrame | None = None) -> Change:
+        """Merges rows of the table of chunks (keys: as KeyedTable.merge); then makes the postings of the buckets whose chunks are not those the postings were made from."""
         base, chunks = self._now()
-        now = self.chunks.version(self.chunks.merge(rows, gone, base=chunks).version)
+        now = self.chunks.version(self.chunks.merge(rows, gone, base=chunks, keys=keys).version)
         seen = self.chunks.version(chunks)
         touched = sorted(b for b in {*seen.buckets, *now.buckets} if seen.buckets.get(b) != now.buckets.get(b))
         rows = self._postings(self.chunks.read(touched, now.number))
-        done = self.postings.replace_buckets(rows, touched, "home", base=base, mark=("chunks", now.number))
+        done = self.postings.replace_buckets(rows, touched, "home", base=base, mark=("chunks", now.number), dealt=True)
         self.number = done.version if self.number is not None else None
         return done
 
     def _postings(self, chunks: DataFrame) -> DataFrame:
-        home = self.chunks.bucket()
-        place = F.row_number().over(Win.partitionBy("home").orderBy("document_id", "chunk_id"))
-        put = chunks.select(home.alias("home"), "document_id", "chunk_id", "dl", "terms", "title_terms", "section_terms").withColumn("block", F.floor((place - 1) / self.block).cast("int"))
-        each = put.select("home", "block", "chunk_id", "dl", "title_terms", "section_terms", F.explode("terms").alias("t"))
-        each = each.select("home", "block", "t.term", "chunk_id", "t.tf", "dl", F.array_contains("title_terms", F.col("t.term")).alias("titled"), F.array_contains("section_terms", F.col("t.term")).alias("sectioned"))
-        return each.groupBy("home", "block", "term").agg(
-            F.count(F.lit(1)).cast("int").alias("df"), F.max("tf").alias("tf_max"), F.min("dl").alias("dl_min"), F.max("titled").alias("titled"), F.max("sectioned").alias("sectioned"),
-            F.collect_list(F.struct("chunk_id", "tf", "dl", "titled", "sectioned")).alias("postings"),
-        )
+        """Chunks are dealt by bucket, and by a hash of the document where a bucket has more than PART chunks: whole blocks come out of one task."""
+        parts = -(-chunks.count() // (PART * self.chunks.n_buckets)) or 1
+        put = chunks.select(self.chunks.bucket().alias("home"), F.pmod(F.xxhash64(F.lit("part"), "document_id"), F.lit(parts)).cast("int").alias("part"), "document_id", "chunk_id", "dl", "terms", "title_terms", "section_terms")
+        ordered = put.repartition("home", "part").sortWithinPartitions("home", "part", "document_id", "chunk_id")
+        return posted(ordered.drop("document_id"), self.block, parts)
 
     def vacuum(self) -> int:
         """Deletes old versions; how many files went."""

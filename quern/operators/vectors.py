@@ -61,9 +61,10 @@ def batch_vectors(texts: pa.Array, dim: int, known: dict[str, int]) -> np.ndarra
     return c / np.where(norm > 0, norm, 1.0)
 
 
-def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+def hash_vectors(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) -> DataFrame:
     """(key, vec) for a corpus: the words of a batch are counted at once, and nothing is shuffled."""
-    schema = T.StructType([rows.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    keys = [key] if isinstance(key, str) else key
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("vec", T.ArrayType(T.DoubleType()))])
     size = BLOCK
 
     def of(batches):
@@ -71,11 +72,11 @@ def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                c = batch_vectors(part.column(1), dim, known)
+                c = batch_vectors(part.column(len(keys)), dim, known)
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim), pa.array(c.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), vec], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], vec], names=schema.names)
 
-    return rows.select(key, F.lower(text).alias("text")).mapInArrow(of, schema)
+    return rows.select(*keys, F.lower(text).alias("text")).mapInArrow(of, schema)
 
 
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:

@@ -44,7 +44,7 @@ def embedded(chunks: DataFrame, cache: DataFrame | None = None, models: Provider
     if models.embedder:
         kept = providers.cache_table(spark, f"{models.cache}/vectors", providers.VECTOR) if models.cache else None
         return providers.embed(text.select("document_id", "chunk_id", "embed_text"), "embed_text", models.embedder, models.dim, kept).select("document_id", "chunk_id", "vec")
-    return vectors.hash_vectors(text, "chunk_id", "embed_text").join(chunks.select("document_id", "chunk_id"), "chunk_id").select("document_id", "chunk_id", "vec")
+    return vectors.hash_vectors(text, ["document_id", "chunk_id"], "embed_text")
 
 
 def ingest(docs: DataFrame, old: Stored | None = None, cfg: Config = Config(), cache: DataFrame | None = None, save=written, models: Providers = Providers()) -> tuple[Stored, DataFrame]:

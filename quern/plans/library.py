@@ -84,10 +84,8 @@ class Library:
             if rows[n] is not None or gone is not None:
                 versions[n] = t.merge(self.save(rows[n]) if rows[n] is not None else None, gone, base=versions[n]).version
         new = self.tables["chunks"].read(number=versions["chunks"]).join(ok, "document_id", "left_semi") if docs is not None else None
-        if new is not None:
-            index.upsert(new)
-        if gone is not None:
-            index.delete(gone)
+        if new is not None or gone is not None:
+            index.replace(new, gone)
         versions["keywords"] = index.number
         self._commit(head, versions, mark)
         return results if results is not None else self.spark.createDataFrame([], _RESULTS)

@@ -146,10 +146,10 @@ class KeyedTable:
     def _rows(self, files: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
 
-    def merge(self, rows: DataFrame | None = None, gone: DataFrame | None = None, *, base: int | None = None, mark: tuple[str, int] | None = None) -> Change:
+    def merge(self, rows: DataFrame | None = None, gone: DataFrame | None = None, *, base: int | None = None, mark: tuple[str, int] | None = None, keys: DataFrame | None = None) -> Change:
         """All rows of the keys of ``rows`` are replaced by these; the keys of ``gone`` (key column) are deleted.
 
-        base: the version to start from, the newest by default. mark (writer, step): a step that is not beyond the writer's last one has been
+        keys: the keys of rows, where they can be had without making the rows. base: the version to start from, the newest by default. mark (writer, step): a step that is not beyond the writer's last one has been
         merged before and changes nothing, so a repeated batch does no harm.
         """
         old, number = self.version(base), self._next()
@@ -157,7 +157,7 @@ class KeyedTable:
             return Change(old.number, (), 0, len(old.files))
         keyed = lambda d: d.select(self.key).where(F.col(self.key).isNotNull())
         rows = rows.select(*self.schema.names).where(F.col(self.key).isNotNull()) if rows is not None else None
-        ids = [keyed(d) for d in (rows, gone) if d is not None]
+        ids = [keyed(d) for d in (rows if keys is None else keys, gone) if d is not None]
         if not ids:
             raise ValueError("rows or gone")
         keys = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
@@ -171,15 +171,18 @@ class KeyedTable:
         made = kept if rows is None else rows if kept is None else kept.unionByName(rows)
         return self._put(old, number, self._write(made) if made is not None else {}, tuple(touched), mark)
 
-    def replace_buckets(self, rows: DataFrame, buckets, bucket: str, *, base: int | None = None, mark: tuple[str, int] | None = None, also: dict[str, int] | None = None) -> Change:
-        """The named buckets hold these rows alone, dealt by the column ``bucket``, which need not follow from the key; also: further marks."""
+    def replace_buckets(self, rows: DataFrame, buckets, bucket: str, *, base: int | None = None, mark: tuple[str, int] | None = None, also: dict[str, int] | None = None, dealt: bool = False) -> Change:
+        """The named buckets hold these rows alone, dealt by the column ``bucket``, which need not follow from the key; also: further marks.
+
+        dealt: the partitions of rows are such parts of few buckets as a task should write; they stay as they are.
+        """
         old, number = self.version(base), self._next()
-        return self._put(old, number, self._write(rows, F.col(bucket)), tuple(sorted(buckets)), mark, also)
+        return self._put(old, number, self._write(rows, F.col(bucket), dealt), tuple(sorted(buckets)), mark, also)
 
-    def _write(self, rows: DataFrame, bucket: Column | None = None) -> dict[int, list[tuple[str, int]]]:
+    def _write(self, rows: DataFrame, bucket: Column | None = None, dealt: bool = False) -> dict[int, list[tuple[str, int]]]:
         name = f"data/{uuid.uuid4().hex}"
-        dealt = rows.select(*self.schema.names, (self.bucket() if bucket is None else bucket).alias("__b")).hint("rebalance", F.col("__b"))
-        dealt.sortWithinPartitions("__b", *self.sort).write.partitionBy("__b").parquet(f"{self.path}/{name}")
+        put = rows.select(*self.schema.names, (self.bucket() if bucket is None else bucket).alias("__b"))
+        (put if dealt else put.hint("rebalance", F.col("__b"))).sortWithinPartitions("__b", *self.sort).write.partitionBy("__b").parquet(f"{self.path}/{name}")
         out: dict[int, list[tuple[str, int]]] = {}
         for path, size in self.folder.files(name):
             if "/__b=" in path:

@@ -94,3 +94,24 @@ def test_words_of_a_long_chunk_are_counted_once(spark):
     rows = [(0, [f"w{i % 7000}" for i in range(20_000)]), (1, []), (2, ["b", "a", "b"])]
     got = spark.createDataFrame(rows, "id int, words array<string>").select("id", counted(F.col("words")).alias("t")).collect()
     assert {r.id: [(x.term, x.tf) for x in r.t] for r in got} == {i: sorted(Counter(w).items()) for i, w in rows}
+
+
+def test_one_change_takes_and_drops_documents(spark, tmp_path, monkeypatch):
+    from quern.operators import keyword_index
+
+    monkeypatch.setattr(keyword_index, "PART", 20)
+    monkeypatch.setattr(keyword_index, "ROWS", 7)
+    index = KeywordIndex(spark, f"file://{tmp_path}/k", buckets=2, block=4)
+    old, new = made(60, 11), [r for r in made(70, 12) if int(r[0][1:]) >= 50]
+    index.upsert(spark.createDataFrame(old, CHUNK))
+    done = index.replace(spark.createDataFrame(new, CHUNK), spark.createDataFrame([("d1",), ("d2",)], "document_id string"))
+    assert done.version == 2 and len(index.postings.numbers()) == 2  # the postings are written once
+    held = spark.createDataFrame([r for r in old if int(r[0][1:]) < 50 and r[0] not in ("d1", "d2")] + new, CHUNK)
+    want = retrieval.term_frequencies(held).select("term", "chunk_id", "tf", "dl")
+    got = index.postings.read().select("home", "block", "term", "df", F.explode("postings").alias("p")).cache()
+    assert sorted(map(tuple, got.select("term", "p.chunk_id", "p.tf", "p.dl").collect())) == sorted(map(tuple, want.collect()))
+    blocks = got.groupBy("home", "block").agg(F.count_distinct("p.chunk_id").alias("n")).collect()
+    assert max(r.n for r in blocks) == 4 and len({r.block for r in blocks}) > 2
+    assert got.groupBy("home", "block", "term").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df")).where("n <> df").count() == 0
+    asked = spark.createDataFrame([(1, "w3 w5 w20"), (2, "w60")], "query_id int, query string")
+    assert rows(index.top_k(asked, 8).rows) == rows(retrieval.bm25_top_k(asked, held, 8))
