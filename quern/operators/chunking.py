@@ -149,7 +149,7 @@ def semantic(parts: DataFrame, least: int = 200, target: int = 500, most: int =
     schema = T.StructType([*said.drop("s", "lower").schema.fields, *T.StructType.fromDDL("window int, alone boolean, text string").fields])
 
     def of(batches):
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         for part in (b.slice(at, SECTIONS) for b in batches for at in range(0, b.num_rows, SECTIONS)):
             sents = part.column("s").flatten()
             ends = np.cumsum(pc.list_value_length(part.column("s")).fill_null(0).to_numpy(zero_copy_only=False))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.batches import keywords, phrase
 from ..sources.tables import written
+from .vectors import batch_vectors
 
 #: Scores of one tile: chunks times questions.
 TILE = 1 << 20
@@ -95,21 +96,27 @@ def tiles(batches: Iterator[pa.RecordBatch], questions: int) -> Iterator[pa.Reco
 
 #: What chunks hold of texts, and what an index knows of them instead.
 TEXTS, INDEXED = ["title", "section_title", "text"], ["words", "title_terms", "section_terms", "said"]
-POSTED = "g int, dl int, ids array<bigint>, tfs array<bigint>, more array<double>, whole array<bigint>, said array<bigint>"
+POSTED = "g int, dl int, ids array<int>, tfs array<int>, more array<double>, whole array<int>, said array<int>"
+#: Questions whose vectors are near a text's, and how near.
+NEAR = "near array<int>, cosine array<double>"
 
 
-def posted(chunks: DataFrame, asked: Asked, title: float, section: float) -> DataFrame:
+def posted(chunks: DataFrame, asked: Asked, title: float, section: float, near: np.ndarray | None = None, most: int = 0) -> DataFrame:
     """chunks (chunk_id, scope, text, title and section_title; or words, title_terms, section_terms, said) with what they share with the questions, as POSTED names it.
 
     Texts are split here, a batch at once, so that no array of all words is made in between.
-    ids, tfs, more: words of questions, how often they are there, what title and section add. whole: the questions all of whose words
-    and quotes are there; said: those of them whose phrase is.
+    ids, tfs, more: words of questions, how often they are there, what title and section add (nothing in a tile where they add nothing).
+    whole: the questions all of whose words and quotes are there; said: those of them whose phrase is.
+    near: vectors of questions as columns; the same pass then takes the hash vectors of the texts, and adds as NEAR names it the columns
+    of which a text may be among the best ``most``.
     """
-    schema = T.StructType([chunks.schema["chunk_id"], *T.StructType.fromDDL(POSTED).fields])
+    schema = T.StructType([chunks.schema["chunk_id"], *T.StructType.fromDDL(POSTED if near is None else f"{POSTED}, {NEAR}").fields])
     split = "words" not in chunks.columns
+    questions = max(len(asked.need), 0 if near is None else near.shape[1])
 
     def of(batches):
-        for part in tiles(batches, len(asked.need)):
+        known, best = {}, None if near is None else Least(near.shape[1], most)
+        for part in tiles(batches, questions):
             scope = _places(part.column("scope"), asked.scopes)
             if split:
                 text, heads = part.column("text").fill_null(""), [part.column(c).fill_null("") for c in ("title", "section_title")]
@@ -132,12 +139,18 @@ def posted(chunks: DataFrame, asked: Asked, title: float, section: float) -> Dat
                     whole.append((r, q))
                 if asked.phrases[q] and asked.phrases[q] in spoken[r]:
                     said.append((r, q))
-            pairs = [_lists(*np.array(x, np.int64).reshape(-1, 2).T, part.num_rows) for x in (whole, said)]
+            pairs = [_lists(*np.array(x, np.int32).reshape(-1, 2).T, part.num_rows) for x in (whole, said)]
             dl = pc.list_value_length(words).cast(pa.int32())
-            out = [part.column("chunk_id"), pa.array(scope.astype(np.int32)), dl, *(_lists(row, x, part.num_rows) for x in (ids, tf.astype(np.int64), more)), *pairs]
+            added = _lists(row, more, part.num_rows) if more.any() else _lists(row[:0], more[:0], part.num_rows)
+            out = [part.column("chunk_id"), pa.array(scope.astype(np.int32)), dl, *(_lists(row, x.astype(np.int32), part.num_rows) for x in (ids, tf)), added, *pairs]
+            if best is not None:
+                cosine = batch_vectors(part.column("lower"), near.shape[0], known) @ near
+                r, q = np.nonzero(best.keep(cosine))
+                out += [_lists(r, q.astype(np.int32), part.num_rows), _lists(r, cosine[r, q], part.num_rows)]
             yield pa.RecordBatch.from_arrays(out, names=schema.names).filter(pa.array(scope >= 0))
 
-    return chunks.select("chunk_id", "scope", *(TEXTS if split else INDEXED)).mapInArrow(of, schema)
+    lower = [] if near is None else [F.lower("text").alias("lower")]
+    return chunks.select("chunk_id", "scope", *(TEXTS if split else INDEXED), *lower).mapInArrow(of, schema)
 
 
 def counts(rows: DataFrame, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,9 +197,11 @@ def scored(rows: DataFrame, asked: Asked, weigh, most: int | None, all_terms: bo
             place, pair = asked.met(row, ids)
             shape = (part.num_rows, questions)
             total = lambda x: np.bincount(pair, x[place], part.num_rows * questions).reshape(shape).astype(float)  # noqa: E731 (without pairs the counts are integers)
-            s, more = total(w), flat("more")
+            s, more = total(w), np.zeros(len(ids))
             there = s > 0
-            if more.any():
+            if len(added := flat("more")):
+                some = pc.list_value_length(part.column("more")).to_numpy(zero_copy_only=False) > 0
+                more[some[row]] = added
                 s = s + total(more)
             if all_terms:
                 there = np.zeros(shape, bool)
@@ -196,7 +211,7 @@ def scored(rows: DataFrame, asked: Asked, weigh, most: int | None, all_terms: bo
             r, q = np.nonzero(best.keep(s) if best else there)
             yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(pa.array(r)), pa.array(q.astype(np.int32)), pa.array(s[r, q])], names=schema.names)
 
-    return rows.mapInArrow(of, schema)
+    return rows.select("chunk_id", *T.StructType.fromDDL(POSTED).names).mapInArrow(of, schema)
 
 
 def named(scores: DataFrame, block: pa.Table, kind: T.StructField) -> DataFrame:

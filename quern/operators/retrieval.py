@@ -11,6 +11,7 @@ from ..functions.scores import minmax
 from ..functions.text import keyword_phrase, keyword_tokens, phrase_tokens
 from ..sources.tables import written
 from . import matching
+from . import vectors
 from .vectors import query_blocks, sent
 
 
@@ -85,24 +86,32 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, most: int | None = None,
     chunks: chunks, or their index where it is kept. most: only rows that may be among the best so many of their query. all_terms: only chunks
     that hold all terms, and all quoted phrases, of the query. scope: a column of queries and of the chunks' index; only equal ones meet, and n, avgdl and df are theirs.
     """
-    asked = written(_asked(queries, scope))
-    own = INDEXED if "words" in chunks.columns else [F.col(c) if c in chunks.columns else F.lit("").alias(c) for c in matching.TEXTS]
-    held = chunks.select("chunk_id", *own, (F.col(scope) if scope else F.lit(0).cast("long")).alias("scope"))
+    asked, held = written(_asked(queries, scope)), _held(chunks, scope)
     if asked.count() > matching.TILE // 256:  # more than a block: read again for each
         held = written(held)
     parts = []
     for block in query_blocks(asked, "terms", 1, matching.TILE // 32):
         words = matching.Asked.read(block)
         rows = written(matching.posted(held, words, TITLE_BONUS, SECTION_BONUS))
-        df, n, avgdl = matching.counts(rows, words)
-        of = words.keys // max(len(words.terms), 1)
-        idf = np.log(1.0 + (n[of] - df + 0.5) / (df + 0.5))
+        parts.append(matching.named(_bm25(rows, words, most, all_terms), block, queries.schema["query_id"]))
+    return matching.union(parts)
 
-        def weigh(ids, tf, dl, g, idf=idf, avgdl=avgdl):
-            return idf[ids] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / np.maximum(avgdl[g], 1e-9)))
 
-        parts.append(matching.named(matching.scored(rows, words, weigh, most, all_terms, PHRASE_BONUS), block, queries.schema["query_id"]))
-    return matching.union(parts)
+def _held(chunks: DataFrame, scope: str | None) -> DataFrame:
+    own = INDEXED if "words" in chunks.columns else [F.col(c) if c in chunks.columns else F.lit("").alias(c) for c in matching.TEXTS]
+    return chunks.select("chunk_id", *own, (F.col(scope) if scope else F.lit(0).cast("long")).alias("scope"))
+
+
+def _bm25(rows: DataFrame, words: matching.Asked, most: int | None, all_terms: bool = False) -> DataFrame:
+    """(chunk_id, q, score) of posted rows, by the statistics of all of them."""
+    df, n, avgdl = matching.counts(rows, words)
+    of = words.keys // max(len(words.terms), 1)
+    idf = np.log(1.0 + (n[of] - df + 0.5) / (df + 0.5))
+
+    def weigh(ids, tf, dl, g):
+        return idf[ids] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / np.maximum(avgdl[g], 1e-9)))
+
+    return matching.scored(rows, words, weigh, most, all_terms, PHRASE_BONUS)
 
 
 def ranked(scores: DataFrame, k: Column | int, most: int) -> DataFrame:
@@ -115,6 +124,25 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     return ranked(bm25_scores(queries, chunks, k), k, k)
 
 
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
+    """The best k chunks of each query by keywords and by hash vectors, fused.
+
+    Questions of one block meet each text once for both legs; more of them, or none with a term, are searched leg by leg.
+    """
+    sought = vectors.hash_vectors(queries, "query_id", "query").select("query_id", F.lit(0).alias("variant"), F.col("vec").alias("qv"))
+    asked = written(_asked(queries, None))
+    if not asked.count() or queries.count() > matching.TILE // 32:
+        near = vectors.top_k(sought.withColumnRenamed("qv", "vec"), vectors.hash_vectors(chunks, "chunk_id", "text"), k, k)
+        return fuse(bm25_top_k(queries, chunks, k), near.drop("variant"))
+    block, near = asked.toArrow(), sought.toArrow()
+    words = matching.Asked.read(block)
+    rows = written(matching.posted(_held(chunks.drop(*INDEXED), None), words, TITLE_BONUS, SECTION_BONUS, vectors.query_matrix(near, vectors.DIM), k))
+    keyword = matching.named(_bm25(rows, words, k), block, queries.schema["query_id"])
+    pair = F.explode(F.arrays_zip("near", "cosine"))
+    cosine = rows.where(F.size("near") > 0).select("chunk_id", pair.alias("p")).select("chunk_id", F.col("p.near").alias("q"), F.col("p.cosine").alias("score"))
+    return fuse(ranked(keyword, k, k), vectors.ranked(vectors.named(cosine, near, sought.schema), F.lit(k), k).drop("variant"))
+
+
 def boolean_search(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     """All terms must be there (no stemming): ranked by BM25. Quoted phrases of the query must be there in full."""
     return ranked(bm25_scores(queries, chunks, k, all_terms=True), k, k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ DIM = 64
 MOST_SENT = 50_000
 #: Bytes of query vectors that go to all executors at once; more are taken in blocks.
 QUERY_BYTES = 32 << 20
+#: Words whose hashes a task keeps, about; frequent words come early.
+KNOWN = 200_000
 #: Vectors and queries of one matrix product: 32 MB of scores.
 BLOCK = 2048
 
@@ -40,21 +43,22 @@ def with_hash_vector(df: DataFrame, text: str, out: str = "vec", dim: int = DIM)
     return x.withColumn(out, F.transform(F.col(c), lambda v: F.when(F.col(n) > 0, v / F.col(n)).otherwise(0.0))).drop(b, c, n)
 
 
-def _bucket(word: str, known: dict[str, int]) -> int:
-    """The last byte of a word's SHA-1; known: those found before, no more than a million."""
-    at = known.get(word)
-    if at is None:
-        if len(known) >= 1_000_000:
-            known.clear()
-        at = known[word] = hashlib.sha1(word.encode()).digest()[-1]
+def _buckets(words: pa.Array, known: dict[bytes, int]) -> np.ndarray:
+    """The last byte of each distinct word's SHA-1; known: those of the batches before, until they are many."""
+    own = words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    at = np.array(list(map(known.get, own, repeat(-1))), np.int64)
+    new = np.flatnonzero(at < 0)
+    at[new] = found = [hashlib.sha1(own[i]).digest()[-1] for i in new.tolist()]
+    if len(known) < KNOWN:
+        known.update(zip((own[i] for i in new.tolist()), found))
     return at
 
 
-def batch_vectors(texts: pa.Array, dim: int, known: dict[str, int]) -> np.ndarray:
+def batch_vectors(texts: pa.Array, dim: int, known: dict[bytes, int]) -> np.ndarray:
     """A unit vector for each of the lower-cased texts, zero for blank ones: the words are counted at once, each distinct one hashed once."""
     split = spaced(texts)
     words = split.values.dictionary_encode()
-    bucket = np.array([_bucket(w, known) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()] % dim
+    bucket = _buckets(words.dictionary, known)[words.indices.to_numpy()] % dim
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
     c = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(-1, dim).astype(float)
     norm = np.sqrt((c * c).sum(axis=1))[:, None]
@@ -68,7 +72,7 @@ def hash_vectors(rows: DataFrame, key: str | list[str], text: str, dim: int = DI
     size = BLOCK
 
     def of(batches):
-        known: dict[str, int] = {}  # words that this task has met
+        known: dict[bytes, int] = {}  # words that this task has met
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
@@ -84,14 +88,19 @@ def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def query_matrix(queries: pa.Table, dim: int) -> np.ndarray:
+    """The vectors qv of queries as columns."""
+    flat = queries.column("qv").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return np.ascontiguousarray(flat.reshape(-1, dim).T)
+
+
 def _block_scores(queries: pa.Table, vectors: DataFrame, most: int, dim: int) -> DataFrame:
     """(chunk_id, q, score): of each batch of vectors those that may be among the best ``most`` of query row q.
 
     A matrix product for each tile of BLOCK vectors and BLOCK queries; what is within 2e-9 of the least of a tile's best
     stays, so that ties after rounding to nine places are all there.
     """
-    flat = queries.column("qv").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-    matrix = np.ascontiguousarray(flat.reshape(-1, dim).T)
+    matrix = query_matrix(queries, dim)
     key = vectors.schema["chunk_id"]
     schema = T.StructType([key, T.StructField("q", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
@@ -132,13 +141,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: Column | int, most: int, di
     A stated set of queries meets all rows: blocks of ``limit`` bytes of queries go to all executors one after the other.
     """
     q = queries.where(_sound("vec", dim)).select("query_id", "variant", F.col("vec").alias("qv"), *(["k"] if "k" in queries.columns else []))
-    parts, spark = [], q.sparkSession
-    kinds = T.StructType([*(f for f in q.schema if f.name != "qv"), T.StructField("q", T.IntegerType())])
-    for block in query_blocks(q, "qv", dim, limit):
-        names = spark.createDataFrame(block.drop_columns("qv").append_column("q", pa.array(np.arange(block.num_rows, dtype=np.int32))), kinds)
-        parts.append(_block_scores(block, vectors, most, dim).join(F.broadcast(names), "q").drop("q").withColumn("score", F.round("score", 9)))
+    parts = [named(_block_scores(block, vectors, most, dim), block, q.schema) for block in query_blocks(q, "qv", dim, limit)]
     scored = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, [save(p) for p in parts])
-    lim = F.col("k") if "k" in queries.columns else F.lit(k)
+    return ranked(scored, F.col("k") if "k" in queries.columns else F.lit(k), most)
+
+
+def named(scores: DataFrame, block: pa.Table, kinds: T.StructType) -> DataFrame:
+    """q as what the block of queries says of it, scores to nine places. kinds: the block's columns."""
+    kinds = T.StructType([*(f for f in kinds if f.name != "qv"), T.StructField("q", T.IntegerType())])
+    names = scores.sparkSession.createDataFrame(block.drop_columns("qv").append_column("q", pa.array(np.arange(block.num_rows, dtype=np.int32))), kinds)
+    return scores.join(F.broadcast(names), "q").drop("q").withColumn("score", F.round("score", 9))
+
+
+def ranked(scored: DataFrame, lim: Column, most: int) -> DataFrame:
+    """The best chunks of each query, best variant first, of (query_id, variant, chunk_id, score)."""
     per = Win.partitionBy("query_id", "variant").orderBy(F.desc("score"), "chunk_id")
     cut = scored.withColumn("r", F.row_number().over(per)).where((F.col("r") <= most) & (F.col("r") <= lim))
     best = cut.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("variant", F.struct(F.col("score"), -F.col("variant"))).alias("variant"))

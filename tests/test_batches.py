@@ -1,11 +1,14 @@
 """Words found in whole batches are those of the column functions; a long document is cut in time that grows with its words."""
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.functions import batches
 from quern.functions import text as X
-from quern.operators import chunking, matching, retrieval
+from quern.operators import chunking, matching, retrieval, vectors
 
 ODD = ["", None, "   ", "a", "The Cat's  cat_1\tsat.", "É naïve İstanbul x\x00y ' ''", "one\x1ctwo\x0bthree four", "- like -"]
 
@@ -53,3 +56,17 @@ def test_semantic_chunks_shuffle_no_sentences(spark):
     assert " ".join(t for (d, _), t in sorted(rows.items()) if d == "a") == " ".join(say.split())
     assert [len(rows["a", w].split()) for w in range(2)] == [302, 453] and rows["b", 0].startswith("Red\n\nRed ")
     assert {k: t for k, t in rows.items() if k[0] in "cdef"} == {("e", 0): "One. Two!", ("f", 0): "naïve"}
+
+
+def test_hashes_of_words_are_kept_up_to_a_number():
+    """More words than a task keeps are hashed all the same, and what is kept doesn't grow with the batches."""
+    known, usual, vectors.KNOWN = {}, vectors.KNOWN, 5
+    try:
+        for k in range(4):
+            words = [f"é{k}{i}" for i in range(5)] + ["red", "red"]
+            v = vectors.batch_vectors(pa.array([" ".join(words), None]), 64, known)
+            c = np.bincount([hashlib.sha1(w.encode()).digest()[-1] % 64 for w in words], minlength=64)
+            assert np.allclose(v[0], c / np.sqrt((c * c).sum())) and not v[1].any()
+    finally:
+        vectors.KNOWN = usual
+    assert len(known) == 6

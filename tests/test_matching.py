@@ -2,7 +2,9 @@
 
 import random
 
-from quern.operators import matching, retrieval, routed
+from pyspark.sql import functions as F
+
+from quern.operators import matching, retrieval, routed, vectors
 
 
 def corpus(spark, n=300):
@@ -31,6 +33,34 @@ def test_all_terms_and_quotes(spark):
     assert got == {r.chunk_id for r in chunks.collect() if "red cat" in r.text and {"red", "cat", "dog"} <= {*r.text.split(), *(r.title or "").lower().split()}} and got
 
 
+def test_hybrid_search_takes_each_text_once(spark):
+    """Both legs are found in one pass over the texts, as if each were searched by itself; so are more questions than a block, and none with terms."""
+    asked, chunks = corpus(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    once = retrieval.hybrid(asked, chunks.mapInArrow(passing, chunks.schema), 5).collect()
+    assert seen.value == chunks.count()
+
+    def legs(some):
+        v = vectors.hash_vectors(some, "query_id", "query").withColumn("variant", F.lit(0))
+        near = vectors.top_k(v, vectors.hash_vectors(chunks, "chunk_id", "text"), 5, 5)
+        return sorted(retrieval.fuse(retrieval.bm25_top_k(some, chunks, 5), near.drop("variant")).collect())
+
+    assert sorted(once) == legs(asked) and {r.query_id for r in once} == {r.query_id for r in asked.collect()}
+    none = asked.where("query_id = 91")
+    assert sorted(retrieval.hybrid(none, chunks, 5).collect()) == legs(none)
+    usual, matching.TILE = matching.TILE, 256
+    try:
+        assert sorted(retrieval.hybrid(asked, chunks, 5).collect()) == sorted(once)
+    finally:
+        matching.TILE = usual
+
+
 def test_routed_search_has_no_join_by_scope(spark):
     asked, chunks = corpus(spark)
     where = chunks.selectExpr("*", "chunk_id as document_id", "'w' as workspace_id", "'s' as source_type")
