@@ -2,12 +2,12 @@
 
 Two keyed tables (see sources.keyed) lie beside each other:
 
-    chunks     a row for each chunk, by document: its terms with counts, those of title and section, its words as one string
+    chunks     a row for each chunk, by document: how many terms it has, and the words of title, section and text as one string each
     postings   a row for each term and block of BLOCK chunks: how many chunks hold it, the greatest count and the least
                length among them, and the chunks
 
 A block lies in the bucket of its documents, so new and deleted documents rewrite the postings of their buckets and no
-others. Counts over the corpus (n, avgdl, df) are summed up when a question comes, so nothing stored grows stale.
+others. Postings are made where the files of the chunks are read: their words are not stored twice and nothing is shuffled. Counts over the corpus (n, avgdl, df) are summed up when a question comes, so nothing stored grows stale.
 
 A search bounds each block's score from the postings' heads alone, scores the k blocks with the highest bounds, and then
 those others whose bound reaches the k-th best score: the rows of retrieval.bm25_top_k, without reading all postings.
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -35,12 +36,12 @@ from .vectors import sent
 
 #: Chunks of a block.
 BLOCK = 32
-#: Chunks of a bucket that one task makes postings of, about.
+#: Chunks whose postings are made at once, about: a whole number of blocks.
 PART = 8192
-#: Chunks whose words are found, or whose postings are made, at once.
+#: Chunks whose words are found at once.
 ROWS = 2048
-_CHUNKS = "document_id string, chunk_id string, dl int, terms array<struct<term:string,tf:int>>, title_terms array<string>, section_terms array<string>, said string"
-_POSTINGS = "home int, block int, term string, df int, tf_max int, dl_min int, titled boolean, sectioned boolean, postings array<struct<chunk_id:string,tf:int,dl:int,titled:boolean,sectioned:boolean>>"
+_CHUNKS = "document_id string, chunk_id string, dl int, title string, section string, said string"
+_POSTINGS = "home int, block long, term string, df int, tf_max int, dl_min int, titled boolean, sectioned boolean, postings array<struct<chunk_id:string,tf:int,dl:int,titled:boolean,sectioned:boolean>>"
 #: More than the rounding of a sum of scores.
 _SLACK = 1e-7
 
@@ -74,68 +75,73 @@ def counted_chunks(chunks: DataFrame) -> DataFrame:
 
     def of(batches):
         for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            title, section, text = (part.column(c) for c in ("title", "section", "text"))
-            words = keywords(pc.binary_join_element_wise(title, section, text, " "))
-            heads = [pa.array([list(dict.fromkeys(x)) for x in keywords(h).to_pylist()], pa.list_(pa.string())) for h in (title, section)]
-            dl = pc.list_value_length(words).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("document_id"), part.column("chunk_id").cast(pa.string()), dl, _counted(words), *heads, phrases(text)], names=[f.name for f in schema])
+            heads = [part.column(c) for c in ("title", "section", "text")]
+            dl = pc.list_value_length(keywords(pc.binary_join_element_wise(*heads, " "))).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("document_id"), part.column("chunk_id").cast(pa.string()), dl, *map(phrases, heads)], names=[f.name for f in schema])
 
     schema = T.StructType.fromDDL(_CHUNKS)
     return named.mapInArrow(of, schema)
 
 
 def _posted(part: pa.Table, block: np.ndarray) -> pa.RecordBatch:
-    """Postings of chunks (home, chunk_id, dl, terms, title_terms, section_terms); block: that of each, with the chunks of one block and home side by side."""
+    """Postings of chunks (home, chunk_id, dl, title, section, said) by term and block; block: that of each, with the chunks of one block side by side."""
     put = {c: part.column(c).combine_chunks() for c in part.schema.names}
-    home, dl = put["home"].to_numpy(), put["dl"].to_numpy().astype(np.int32)
-    group = np.cumsum(np.append(0, (home[1:] != home[:-1]) | (block[1:] != block[:-1])))  # a number for each block
-    row = np.repeat(np.arange(len(dl)), pc.list_value_length(put["terms"]).fill_null(0).to_numpy(zero_copy_only=False))
-    flat = put["terms"].flatten()
-    coded, tf = flat.field("term").dictionary_encode(), flat.field("tf").to_numpy(zero_copy_only=False)
-    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    home, dl, n = put["home"].to_numpy(), put["dl"].to_numpy().astype(np.int32), part.num_rows
+    group = np.cumsum(np.append(0, block[1:] != block[:-1]))  # a number for each block
+    words = keywords(pc.binary_join_element_wise(put["title"], put["section"], put["said"], " "))
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    terms = coded.dictionary.take(order)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    at = lambda lists: np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    key, tf = np.unique(rank[coded.indices.to_numpy()] * n + at(words), return_counts=True)
 
     def held(heads: pa.Array) -> np.ndarray:
-        at = pc.index_in(heads.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        of = np.repeat(np.arange(len(dl)), pc.list_value_length(heads).fill_null(0).to_numpy(zero_copy_only=False))
-        return np.isin(row * len(words) + code, of[at >= 0] * len(words) + at[at >= 0])
-
-    titled, sectioned = held(put["title_terms"]), held(put["section_terms"])
-    key = group[row] * len(words) + code
-    order = np.argsort(key, kind="stable")
-    key, row, tf, titled, sectioned = key[order], row[order], tf[order], titled[order], sectioned[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    each = pa.StructArray.from_arrays([put["chunk_id"].take(pa.array(row)), pa.array(tf), pa.array(dl[row]), pa.array(titled), pa.array(sectioned)], names=["chunk_id", "tf", "dl", "titled", "sectioned"])
+        lists, out = keywords(heads), np.zeros(len(key), bool)
+        out[np.searchsorted(key, pc.index_in(lists.flatten(), value_set=terms).to_numpy(zero_copy_only=False).astype(np.int64) * n + at(lists))] = True
+        return out
+
+    titled, sectioned = held(put["title"]), held(put["section"])
+    code, row = np.divmod(key, n)
+    mine = group[row]
+    start = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (mine[1:] != mine[:-1]))) if len(key) else np.zeros(0, np.int64)
+    each = pa.StructArray.from_arrays([put["chunk_id"].take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(dl[row]), pa.array(titled), pa.array(sectioned)], names=["chunk_id", "tf", "dl", "titled", "sectioned"])
     most = lambda f, x: f.reduceat(x, start) if len(start) else x
     first = row[start]
     out = [
-        home[first], block[first].astype(np.int32), words.take(pa.array(code[order][start])), np.diff(np.append(start, len(key))).astype(np.int32),
-        most(np.maximum, tf), most(np.minimum, dl[row]), most(np.logical_or, titled), most(np.logical_or, sectioned),
+        home[first], block[first], terms.take(pa.array(code[start])), np.diff(np.append(start, len(key))).astype(np.int32),
+        most(np.maximum, tf).astype(np.int32), most(np.minimum, dl[row]), most(np.logical_or, titled), most(np.logical_or, sectioned),
     ]
     lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), each)
     return pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in out), lists], names=["home", "block", "term", "df", "tf_max", "dl_min", "titled", "sectioned", "postings"])
 
 
-def posted(chunks: DataFrame, size: int, parts: int) -> DataFrame:
-    """Postings of chunks (home, part below ``parts``, ... as _posted takes them), by blocks of ``size`` chunks; all chunks of a home and part have to come one after the other."""
+def posted(chunks: DataFrame, size: int) -> DataFrame:
+    """Postings of chunks (home, ... as _posted takes them), by blocks of ``size`` chunks of one home that come one after the other in a task; blocks of a task are numbered on from its own first number."""
+    least = -(-PART // size) * size
 
     def of(batches):
-        rest, at = None, (None, 0)  # rows whose block may go on in the next batch, and its part and number there
-        for b in batches:
-            for part in (b.slice(i, ROWS) for i in range(0, b.num_rows, ROWS)):
-                new = pa.Table.from_batches([part])
-                held = new if rest is None else pa.concat_tables([rest, new])
-                key = held.column("home").to_numpy().astype(np.int64) * parts + held.column("part").to_numpy()
-                edge = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
-                first = np.repeat(edge, np.diff(np.append(edge, len(key))))
-                block = (np.arange(len(key)) - first) // size + np.where(key == at[0], at[1], 0)
-                last = edge[-1] + (len(key) - 1 - edge[-1]) // size * size  # where the last block begins
-                number = block * parts + key % parts
+        rest, number, home, place = [], TaskContext.get().partitionId() << 32, None, 0  # the chunks whose postings are not made yet; the last one's block, home and place there
+        for part in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            mine = part.column("home").to_numpy()
+            edge = np.append(0, np.flatnonzero(mine[1:] != mine[:-1]) + 1)
+            blocks = []
+            for i, j in zip(edge, np.append(edge[1:], len(mine))):
+                if mine[i] != home:
+                    home, place, number = mine[i], 0, number + 1
+                where = place + np.arange(j - i)
+                blocks.append(number + where // size)
+                number, place = int(number + (place + j - i) // size), (place + j - i) % size
+            rest.append((part, np.concatenate(blocks)))
+            if sum(p.num_rows for p, _ in rest) >= least:
+                held, block = pa.Table.from_batches([p for p, _ in rest]), np.concatenate([b for _, b in rest])
+                last = int(np.searchsorted(block, block[-1]))  # where the last block begins, which may go on
                 if last:
-                    yield _posted(held.slice(0, last), number[:last])
-                rest, at = held.slice(last), (key[-1], int(block[-1]))
-        if rest is not None and rest.num_rows:
-            key = rest.column("home").to_numpy().astype(np.int64) * parts + rest.column("part").to_numpy()
-            yield _posted(rest, np.full(rest.num_rows, at[1] * parts + key[0] % parts))
+                    yield _posted(held.slice(0, last), block[:last])
+                rest = [(b, block[last:]) for b in held.slice(last).combine_chunks().to_batches()]
+        if rest:
+            yield _posted(pa.Table.from_batches([p for p, _ in rest]), np.concatenate([b for _, b in rest]))
 
     return chunks.mapInArrow(of, T.StructType.fromDDL(_POSTINGS))
 
@@ -153,7 +159,7 @@ class KeywordIndex:
         """Opens the index at path, or makes an empty one. number: the version to search and to build on, the newest by default."""
         self.spark, self.block, self.save, self.number = spark, block, save, number
         self.chunks = KeyedTable(spark, f"{path}/chunks", "document_id", _CHUNKS, buckets)
-        self.postings = KeyedTable(spark, f"{path}/postings", "term", _POSTINGS, buckets, sort=["term", "block"])
+        self.postings = KeyedTable(spark, f"{path}/postings", "term", _POSTINGS, buckets)
 
     # --- documents in and out ---
 
@@ -177,18 +183,12 @@ class KeywordIndex:
         now = self.chunks.version(self.chunks.merge(rows, gone, base=chunks, keys=keys).version)
         seen = self.chunks.version(chunks)
         touched = sorted(b for b in {*seen.buckets, *now.buckets} if seen.buckets.get(b) != now.buckets.get(b))
-        rows = self._postings(self.chunks.read(touched, now.number))
+        held = self.chunks.read(touched, now.number).select(self.chunks.bucket().alias("home"), "chunk_id", "dl", "title", "section", "said")
+        rows = posted(held, self.block)
         done = self.postings.replace_buckets(rows, touched, "home", base=base, mark=("chunks", now.number), dealt=True)
         self.number = done.version if self.number is not None else None
         return done
 
-    def _postings(self, chunks: DataFrame) -> DataFrame:
-        """Chunks are dealt by bucket, and by a hash of the document where a bucket has more than PART chunks: whole blocks come out of one task."""
-        parts = -(-chunks.count() // (PART * self.chunks.n_buckets)) or 1
-        put = chunks.select(self.chunks.bucket().alias("home"), F.pmod(F.xxhash64(F.lit("part"), "document_id"), F.lit(parts)).cast("int").alias("part"), "document_id", "chunk_id", "dl", "terms", "title_terms", "section_terms")
-        ordered = put.repartition("home", "part").sortWithinPartitions("home", "part", "document_id", "chunk_id")
-        return posted(ordered.drop("document_id"), self.block, parts)
-
     def vacuum(self) -> int:
         """Deletes old versions; how many files went."""
         postings, chunks = self._now()

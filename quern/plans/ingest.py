@@ -26,7 +26,7 @@ class Stored:
 
 def checked(docs: DataFrame) -> DataFrame:
     """Adds error_stage and error_reason: a row without a document_id fails validation, one without text extraction."""
-    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
+    blank = ~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\S"))
     stage = F.when(F.coalesce(F.trim("document_id"), F.lit("")) == "", "validate").when(blank, "extract")
     return docs.withColumn("error_stage", stage).withColumn("error_reason", F.when(stage == "validate", "document_id is empty").when(stage == "extract", "extracted text is empty"))
 

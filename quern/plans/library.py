@@ -21,7 +21,7 @@ from ..operators.keyword_index import KeywordIndex
 from ..operators.providers import Providers
 from ..sources import files
 from ..sources.keyed import Folder, KeyedTable
-from ..sources.tables import written
+from ..sources.tables import Temporary, written
 from . import ingest
 from .answer import Corpus
 
@@ -73,19 +73,24 @@ class Library:
         if mark and head["marks"].get(mark[0], -1) >= mark[1]:
             return self.spark.createDataFrame([], _RESULTS)
         versions = dict(head["versions"])
-        results, rows = None, {"documents": None, "chunks": None, "vectors": None}
-        if docs is not None:
-            made, results = ingest.ingest(self.save(docs), None, self.cfg, save=self.save, models=self.models)
-            results = self.save(results)
-            ok = self.save(results.where("status = 'ok'").select("document_id").distinct())
-            rows = {n: self._fitted(getattr(made, n), t).join(ok, "document_id", "left_semi") for n, t in self.tables.items()}
-        index = self._keywords(head)
-        for n, t in self.tables.items():
-            if rows[n] is not None or gone is not None:
-                versions[n] = t.merge(self.save(rows[n]) if rows[n] is not None else None, gone, base=versions[n]).version
-        new = self.tables["chunks"].read(number=versions["chunks"]).join(ok, "document_id", "left_semi") if docs is not None else None
-        if new is not None or gone is not None:
-            index.replace(new, gone)
+        temp, results, rows = Temporary(self.save), None, {"documents": None, "chunks": None, "vectors": None}
+        try:
+            if docs is not None:
+                made, results = ingest.ingest(temp(docs), None, self.cfg, save=temp, models=self.models)
+                results = self.save(results)
+                ok = results.where("status = 'ok'").select("document_id").distinct()
+                # chunks and vectors are those of documents that went well, and chunks are saved already
+                rows = {"documents": temp(self._fitted(made.documents, self.tables["documents"]).join(ok, "document_id", "left_semi")), "chunks": made.chunks, "vectors": temp(self._fitted(made.vectors, self.tables["vectors"]))}
+                temp.drop(*rows.values())
+            index = self._keywords(head)
+            for n, t in self.tables.items():
+                if rows[n] is not None or gone is not None:
+                    versions[n] = t.merge(self._fitted(rows[n], t) if rows[n] is not None else None, gone, base=versions[n]).version
+            temp.drop(rows["chunks"])
+            if rows["chunks"] is not None or gone is not None:
+                index.replace(rows["chunks"], gone)
+        finally:
+            temp.drop()
         versions["keywords"] = index.number
         self._commit(head, versions, mark)
         return results if results is not None else self.spark.createDataFrame([], _RESULTS)
@@ -108,10 +113,13 @@ class Library:
         head = self.head()
         chunks = self.tables["chunks"].read(number=head["versions"]["chunks"])
         some = chunks if ids is None else chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi")
-        fresh = self.save(ingest.embedded(some, models=self.models))
+        temp = Temporary(self.save)
+        fresh = temp(ingest.embedded(some, models=self.models))
         done = self.tables["vectors"].merge(fresh, base=head["versions"]["vectors"])
         self._commit(head, head["versions"] | {"vectors": done.version}, None)
-        return fresh.count()
+        n = fresh.count()
+        temp.drop()
+        return n
 
     def vacuum(self) -> int:
         """Deletes what the newest head doesn't name; how many files."""

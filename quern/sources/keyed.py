@@ -20,9 +20,15 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .tables import released
+
+#: Bytes of a file of a merged bucket, about.
+FILE_BYTES = 32 << 20
+
 
 class Conflict(Exception):
     """Another writer has put this version in place."""
@@ -155,21 +161,40 @@ class KeyedTable:
         old, number = self.version(base), self._next()
         if mark and old.marks.get(mark[0], -1) >= mark[1]:
             return Change(old.number, (), 0, len(old.files))
-        keyed = lambda d: d.select(self.key).where(F.col(self.key).isNotNull())
+        keyed = lambda d: d.select(F.col(self.key).cast(self.schema[self.key].dataType).alias(self.key)).where(F.col(self.key).isNotNull())
         rows = rows.select(*self.schema.names).where(F.col(self.key).isNotNull()) if rows is not None else None
-        ids = [keyed(d) for d in (rows if keys is None else keys, gone) if d is not None]
+        ids = [keyed(d).withColumn("n", F.lit(n)) for d, n in ((rows if keys is None else keys, 1), (gone, 0)) if d is not None]
         if not ids:
             raise ValueError("rows or gone")
         keys = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
-        touched = sorted(r[0] for r in keys.select(self.bucket()).distinct().collect())  # numbers of buckets, no more than there are
+        new = {r[0]: r[1] for r in keys.groupBy(self.bucket()).agg(F.sum("n")).collect()}  # numbers of buckets, no more than there are
+        touched = sorted(new)
         if not touched:
             if not mark:
                 return Change(old.number, (), 0, len(old.files))
             return self._put(old, number, {}, (), mark)
-        files = [p for b in touched for p, _ in old.buckets.get(b, [])]
-        kept = self._rows(files).join(keys.distinct(), self.key, "left_anti") if files else None
-        made = kept if rows is None else rows if kept is None else kept.unionByName(rows)
-        return self._put(old, number, self._write(made) if made is not None else {}, tuple(touched), mark)
+        files = [f for b in touched for f in old.buckets.get(b, [])]
+        if files:
+            made = self._write(self._merged(files, rows, keyed(gone) if gone is not None else None, touched, sum(new.values())), F.col("__b"), dealt=True)
+        else:
+            made = self._write(rows) if rows is not None else {}
+        return self._put(old, number, made, tuple(touched), mark)
+
+    def _merged(self, files: list[tuple[str, int]], rows: DataFrame | None, gone: DataFrame | None, touched: list[int], n: int) -> DataFrame:
+        """The rows of files without the keys of rows (n, about) and gone, and rows: old and new ones meet in one exchange, dealt by bucket, and by key where a bucket needs several files."""
+        held = self._rows([p for p, _ in files])
+        size = sum(s for _, s in files) * (1 + (n / max(held.count(), 1) if rows is not None else 0))
+        parts = int(-(-size // (FILE_BYTES * len(touched)))) or 1
+        both = held.withColumn("__new", F.lit(0))
+        if gone is not None:
+            both = both.unionByName(gone.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+        if rows is not None:
+            both = both.unionByName(rows.withColumn("__new", F.lit(2)))
+        place = F.array_position(F.lit(touched), F.col("__b")).cast("int") - 1
+        part = F.pmod(F.xxhash64(F.lit("file"), F.col(self.key).cast("string")), F.lit(parts)).cast("int")
+        dealt = both.withColumn("__b", self.bucket()).withColumn("__p", place * parts + part).repartitionById(len(touched) * parts, F.col("__p"))
+        last = dealt.withColumn("__last", F.max("__new").over(Win.partitionBy("__b", "__p", self.key)))
+        return last.where((F.col("__new") == 2) | (F.col("__last") == 0))
 
     def replace_buckets(self, rows: DataFrame, buckets, bucket: str, *, base: int | None = None, mark: tuple[str, int] | None = None, also: dict[str, int] | None = None, dealt: bool = False) -> Change:
         """The named buckets hold these rows alone, dealt by the column ``bucket``, which need not follow from the key; also: further marks.
@@ -182,7 +207,9 @@ class KeyedTable:
     def _write(self, rows: DataFrame, bucket: Column | None = None, dealt: bool = False) -> dict[int, list[tuple[str, int]]]:
         name = f"data/{uuid.uuid4().hex}"
         put = rows.select(*self.schema.names, (self.bucket() if bucket is None else bucket).alias("__b"))
-        (put if dealt else put.hint("rebalance", F.col("__b"))).sortWithinPartitions("__b", *self.sort).write.partitionBy("__b").parquet(f"{self.path}/{name}")
+        ordered = (put if dealt else put.hint("rebalance", F.col("__b"))).sortWithinPartitions("__b", *self.sort)
+        with released(self.spark):
+            ordered.write.partitionBy("__b").option("compression", "zstd").parquet(f"{self.path}/{name}")
         out: dict[int, list[tuple[str, int]]] = {}
         for path, size in self.folder.files(name):
             if "/__b=" in path:

@@ -90,3 +90,20 @@ def test_vacuum_keeps_what_versions_name(spark, tmp_path):
     assert t.numbers() == [3, 4] and len(held(t)) == 5 and len(held(t, number=3)) == 4
     t.merge(gone=t.read().select("k"))
     assert held(t) == [] and t.vacuum() > 0
+
+
+def test_a_merge_is_one_exchange(spark, tmp_path, monkeypatch):
+    from quern.sources import keyed
+
+    monkeypatch.setattr(keyed, "FILE_BYTES", 600)
+    t = table(spark, tmp_path, buckets=2)
+    first = [(f"k{i % 60}", i, "old") for i in range(200)]
+    t.merge(spark.createDataFrame(first, SCHEMA))
+    files = [f for fs in t.version().buckets.values() for f in fs]
+    new = spark.createDataFrame([(f"k{i}", i, "new") for i in range(50, 70)] + [(None, 1, "no")], SCHEMA)
+    gone = spark.createDataFrame([("k1",), ("k55",), (None,), ("k999",)], "k string")
+    put = t._merged(files, new.where("k is not null"), gone.where("k is not null"), [0, 1], 20)
+    plan = put._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    done = t.merge(new, gone)
+    assert done.written > 2 and sorted(held(t)) == sorted([(k, v, s) for k, v, s in first if int(k[1:]) < 50 and k != "k1"] + [(f"k{i}", i, "new") for i in range(50, 70)])

@@ -115,3 +115,20 @@ def test_one_change_takes_and_drops_documents(spark, tmp_path, monkeypatch):
     assert got.groupBy("home", "block", "term").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df")).where("n <> df").count() == 0
     asked = spark.createDataFrame([(1, "w3 w5 w20"), (2, "w60")], "query_id int, query string")
     assert rows(index.top_k(asked, 8).rows) == rows(retrieval.bm25_top_k(asked, held, 8))
+
+
+def test_words_are_stored_once(spark, tmp_path):
+    from quern.sources import tables
+
+    saved = []
+
+    def save(df):
+        saved.append(tables.written(df))
+        return saved[-1]
+
+    index = KeywordIndex(spark, f"file://{tmp_path}/k", buckets=2, block=4, save=save)
+    now = made(120, 21)
+    index.upsert(spark.createDataFrame(now, CHUNK))
+    assert not [f.name for f in index.chunks.schema if "array" in f.dataType.simpleString()]
+    ids = [r.block for r in index.postings.read().select("home", "block").distinct().collect()]
+    assert len(ids) == len(set(ids)) > 2  # a block of one bucket has a number of its own

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quern.config import Config
 from quern.operators import vectors
 from quern.plans import answer as plans
 from quern.plans.library import Library
@@ -89,3 +90,21 @@ def test_answers_from_stored_tables(spark, tmp_path):
     cols = ["query_id", "context", "confidence", "coverage_gaps", "answer"]
     assert sorted(map(str, plans.answer(q, corpus).select(cols).collect())) == sorted(map(str, plans.answer(q, plain).select(cols).collect()))
     assert lib.reindex(docs.where("document_id in ('d1', 'd7')").select("document_id")) == 1 and lib.reindex() == 11
+
+
+def test_a_change_leaves_no_temporary_tables(spark, tmp_path):
+    from quern.sources import tables
+
+    made = []
+
+    def save(df):
+        made.append(tables.written(df))
+        return made[-1]
+
+    lib = Library(spark, f"file://{tmp_path}/lib", Config(chunker="word", adaptive_chunking=False), buckets=2, save=save)
+    docs = spark.createDataFrame([("a", "one two three", "text", "A"), ("b", "four five", "text", "B"), ("c", " \t", "text", "C")], "document_id string, text string, file_type string, title string")
+    results = lib.change(docs)
+    lib.reindex()
+    assert len(made) > 5 and [t for t in made if t in tables._PATHS] == [results]
+    assert {r.document_id: r.status for r in results.collect()} == {"a": "ok", "b": "ok", "c": "error"}
+    assert {r.document_id for r in lib.read("chunks").collect()} == {r.document_id for r in lib.read("vectors").collect()} == {r.document_id for r in lib.read("documents").collect()} == {"a", "b"}
