@@ -216,16 +216,25 @@ class KeywordIndex:
         part = heads.join(known, "term").select("home", "block", "term", most.alias("most")).join(sent(terms), "term")
         return known, part.groupBy("query_id", "home", "block").agg(F.sum("most").alias("bound"), F.count(F.lit(1)).alias("holds"))
 
-    def _scores(self, pairs: DataFrame, terms: DataFrame, known: DataFrame, asked: DataFrame, versions: tuple[int, int]) -> DataFrame:
-        """(query_id, chunk_id, have, score) of all chunks of the blocks in pairs (query_id, home, block) that share a term; only their buckets are read."""
+    def _scores(self, pairs: DataFrame, terms: DataFrame, known: DataFrame, asked: DataFrame, versions: tuple[int, int], most: int | None = None) -> DataFrame:
+        """(query_id, chunk_id, have, score) of the chunks of the blocks in pairs (query_id, home, block) that share a term; only their buckets are read.
+
+        most: chunks that can't be among a query's best ``most`` may be left out; they stay in the task that scores their block.
+        """
         homes = [r[0] for r in pairs.select("home").distinct().collect()]  # no more than there are buckets
-        want = pairs.join(sent(terms), "query_id")
-        rows = self.postings.read(homes, versions[0]).select("home", "block", "term", "postings").join(sent(want), ["home", "block", "term"])
-        one = rows.select("query_id", "term", "home", F.explode("postings").alias("p")).join(sent(known), "term")
+        asking = pairs.groupBy("home", "block").agg(F.collect_list("query_id").alias("asking"))
+        rows = self.postings.read(homes, versions[0]).select("home", "block", "term", "postings").join(sent(terms.select("term").distinct()), "term", "left_semi")
+        whole = rows.repartition("home", "block").join(asking, ["home", "block"])  # a block is scored in one task, before its rows multiply by queries
+        own = whole.join(sent(terms), "term").where(F.array_contains("asking", F.col("query_id"))).drop("asking").join(sent(known), "term")
+        one = own.select("query_id", "home", "block", "df_all", "n", "avgdl", F.explode("postings").alias("p"))
         score = bm25(F.col("p.tf"), F.col("df_all"), F.col("p.dl"), F.col("n"), F.col("avgdl"))
         more = F.when(F.col("p.titled"), retrieval.TITLE_BONUS).otherwise(0.0) + F.when(F.col("p.sectioned"), retrieval.SECTION_BONUS).otherwise(0.0)
-        base = one.groupBy("query_id", "home", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(score).alias("s"), F.sum(more).alias("x"), F.count(F.lit(1)).alias("have"))
-        base = self.save(base.join(sent(asked), "query_id"))
+        base = one.groupBy("query_id", "home", "block", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(score).alias("s"), F.sum(more).alias("x"), F.count(F.lit(1)).alias("have"))
+        base = base.join(sent(asked), "query_id")
+        if isinstance(most, int):  # chunks that may hold the phrase stay, each in a group of its own
+            over = Win.partitionBy("query_id", "alone").orderBy(F.desc(F.round(F.col("s") + F.col("x"), 9)), "chunk_id")
+            base = base.withColumn("alone", F.when(F.expr("have = need and phrase <> ''"), F.col("chunk_id")).otherwise("")).withColumn("place", F.row_number().over(over)).where(F.col("place") <= most)
+        base = self.save(base.drop("block", "alone", "place"))
         full = base.where("have = need and phrase <> ''").select("query_id", "chunk_id", "home", "phrase")
         homes = [r[0] for r in full.select("home").distinct().collect()]
         said = self.chunks.read(homes, versions[1]).select("chunk_id", "said").join(sent(full), "chunk_id").where(F.contains("said", F.col("phrase"))).select("query_id", "chunk_id", F.lit(retrieval.PHRASE_BONUS).alias("p"))
@@ -246,10 +255,10 @@ class KeywordIndex:
         bounds = self.save(bounds.withColumn("place", F.row_number().over(over)))
         first = bounds.where(F.col("place") <= F.col("k")).select("query_id", "home", "block")
         asked = asked.select("query_id", "phrase", "need", "k")
-        best = self.save(self._scores(first, terms, known, asked.drop("k"), versions))
+        best = self.save(self._scores(first, terms, known, asked.drop("k"), versions, most))
         kth = retrieval.ranked(best.join(sent(asked.select("query_id", "k")), "query_id"), F.col("k"), most).where("rank = k").select("query_id", F.col("score").alias("least"))
         rest = self.save(bounds.where("place > k").join(sent(kth), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + _SLACK >= F.col("least"))).select("query_id", "home", "block"))
-        others = self._scores(rest, terms, known, asked.drop("k"), versions)
+        others = self._scores(rest, terms, known, asked.drop("k"), versions, most)
         both = best.unionByName(others).join(sent(asked.select("query_id", "k")), "query_id")
         rows = retrieval.ranked(both, F.col("k"), most).select("query_id", "chunk_id", "score", "rank")
         scored = first.unionByName(rest).groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks_read"))

@@ -118,6 +118,15 @@ def test_one_change_takes_and_drops_documents(spark, tmp_path, monkeypatch):
 
 
 def test_words_are_stored_once(spark, tmp_path):
+    index = KeywordIndex(spark, f"file://{tmp_path}/k", buckets=2, block=4)
+    now = made(120, 21)
+    index.upsert(spark.createDataFrame(now, CHUNK))
+    assert not [f.name for f in index.chunks.schema if "array" in f.dataType.simpleString()]
+    ids = [r.block for r in index.postings.read().select("home", "block").distinct().collect()]
+    assert len(ids) == len(set(ids)) > 2  # a block of one bucket has a number of its own
+
+
+def test_a_search_keeps_only_possible_best_chunks(spark, tmp_path):
     from quern.sources import tables
 
     saved = []
@@ -129,6 +138,7 @@ def test_words_are_stored_once(spark, tmp_path):
     index = KeywordIndex(spark, f"file://{tmp_path}/k", buckets=2, block=4, save=save)
     now = made(120, 21)
     index.upsert(spark.createDataFrame(now, CHUNK))
-    assert not [f.name for f in index.chunks.schema if "array" in f.dataType.simpleString()]
-    ids = [r.block for r in index.postings.read().select("home", "block").distinct().collect()]
-    assert len(ids) == len(set(ids)) > 2  # a block of one bucket has a number of its own
+    asked = spark.createDataFrame([(i, f"w{i} w1 w3 unheard") for i in range(12)], "query_id int, query string")
+    assert rows(index.top_k(asked, 2).rows) == rows(retrieval.bm25_top_k(asked, spark.createDataFrame(now, CHUNK), 2))
+    scores = [t.count() for t in saved if "have" in t.columns]
+    assert scores and max(scores) <= 12 * 2  # k for each question, not all chunks with a term
