@@ -216,10 +216,10 @@ class KeywordIndex:
         part = heads.join(known, "term").select("home", "block", "term", most.alias("most")).join(sent(terms), "term")
         return known, part.groupBy("query_id", "home", "block").agg(F.sum("most").alias("bound"), F.count(F.lit(1)).alias("holds"))
 
-    def _scores(self, pairs: DataFrame, terms: DataFrame, known: DataFrame, asked: DataFrame, versions: tuple[int, int], most: int | None = None) -> DataFrame:
+    def _scores(self, pairs: DataFrame, terms: DataFrame, known: DataFrame, asked: DataFrame, versions: tuple[int, int], most: int | None = None, every: bool = False) -> DataFrame:
         """(query_id, chunk_id, have, score) of the chunks of the blocks in pairs (query_id, home, block) that share a term; only their buckets are read.
 
-        most: chunks that can't be among a query's best ``most`` may be left out; they stay in the task that scores their block.
+        most: chunks that can't be among a query's best ``most`` may be left out; they stay in the task that scores their block. every: only chunks with all terms.
         """
         homes = [r[0] for r in pairs.select("home").distinct().collect()]  # no more than there are buckets
         asking = pairs.groupBy("home", "block").agg(F.collect_list("query_id").alias("asking"))
@@ -231,6 +231,8 @@ class KeywordIndex:
         more = F.when(F.col("p.titled"), retrieval.TITLE_BONUS).otherwise(0.0) + F.when(F.col("p.sectioned"), retrieval.SECTION_BONUS).otherwise(0.0)
         base = one.groupBy("query_id", "home", "block", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(score).alias("s"), F.sum(more).alias("x"), F.count(F.lit(1)).alias("have"))
         base = base.join(sent(asked), "query_id")
+        if every:
+            base = base.where("have = need")
         if isinstance(most, int):  # chunks that may hold the phrase stay, each in a group of its own
             over = Win.partitionBy("query_id", "alone").orderBy(F.desc(F.round(F.col("s") + F.col("x"), 9)), "chunk_id")
             base = base.withColumn("alone", F.when(F.expr("have = need and phrase <> ''"), F.col("chunk_id")).otherwise("")).withColumn("place", F.row_number().over(over)).where(F.col("place") <= most)
@@ -273,9 +275,9 @@ class KeywordIndex:
         known, bounds = self._bounds(terms, versions[0])
         bounds = self.save(bounds.join(sent(asked.select("query_id", "need")), "query_id"))
         whole = bounds.where("holds = need").select("query_id", "home", "block")
-        fit = self._scores(whole, terms, known, asked, versions).where("have = need")
+        fit = self.save(self._scores(whole, terms, known, asked, versions, every=True))
         quoted = queries.select("query_id", F.explode(F.regexp_extract_all("query", F.lit('"([^"]+)"'), F.lit(1))).alias("q"))
-        bad = fit.join(sent(quoted), "query_id").join(self.chunks.read(number=versions[1]).select("chunk_id", "said"), "chunk_id").where(~F.contains("said", keyword_phrase(F.col("q")))).select("query_id", "chunk_id")
+        bad = sent(self.save(fit.select("query_id", "chunk_id").join(sent(quoted), "query_id"))).join(self.chunks.read(number=versions[1]).select("chunk_id", "said"), "chunk_id").where(~F.contains("said", keyword_phrase(F.col("q")))).select("query_id", "chunk_id")
         rows = retrieval.ranked(fit.join(bad, ["query_id", "chunk_id"], "left_anti"), k, k).select("query_id", "chunk_id", "score", "rank")
         scored = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks_read"))
         return Found(rows, bounds.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks")).join(scored, "query_id", "left"))

@@ -142,3 +142,21 @@ def test_a_search_keeps_only_possible_best_chunks(spark, tmp_path):
     assert rows(index.top_k(asked, 2).rows) == rows(retrieval.bm25_top_k(asked, spark.createDataFrame(now, CHUNK), 2))
     scores = [t.count() for t in saved if "have" in t.columns]
     assert scores and max(scores) <= 12 * 2  # k for each question, not all chunks with a term
+
+
+def test_a_search_for_all_terms_writes_only_chunks_that_have_them(spark, tmp_path):
+    from quern.sources import tables
+
+    saved = []
+
+    def save(df):
+        saved.append(tables.written(df))
+        return saved[-1]
+
+    now = made(120, 22)
+    index = KeywordIndex(spark, f"file://{tmp_path}/k", buckets=2, block=4, save=save)
+    index.upsert(spark.createDataFrame(now, CHUNK))
+    asked = spark.createDataFrame([(1, "w3 w9 w14"), (2, 'w5 "w1 w2"'), (3, "w2")], "query_id int, query string")
+    assert rows(index.boolean(asked, 20).rows) == rows(retrieval.boolean_search(asked, spark.createDataFrame(now, CHUNK), 20))
+    scores = [t for t in saved if {"have", "need"} <= set(t.columns)]
+    assert scores and not any(t.where("have < need").count() for t in scores)
