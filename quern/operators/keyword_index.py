@@ -30,7 +30,7 @@ from ..functions.batches import keywords, phrases
 from ..functions.scores import bm25
 from ..functions.text import keyword_phrase
 from ..sources.keyed import Change, KeyedTable
-from ..sources.tables import written
+from ..sources.tables import setting, written
 from . import retrieval
 from .vectors import sent
 
@@ -38,6 +38,8 @@ from .vectors import sent
 BLOCK = 32
 #: Chunks whose postings are made at once, about: a whole number of blocks.
 PART = 8192
+#: Files of chunks that one task makes postings of: what it sorts should fit into memory.
+TASK_BYTES = "8m"
 #: Chunks whose words are found at once.
 ROWS = 2048
 _CHUNKS = "document_id string, chunk_id string, dl int, title string, section string, said string"
@@ -185,7 +187,8 @@ class KeywordIndex:
         touched = sorted(b for b in {*seen.buckets, *now.buckets} if seen.buckets.get(b) != now.buckets.get(b))
         held = self.chunks.read(touched, now.number).select(self.chunks.bucket().alias("home"), "chunk_id", "dl", "title", "section", "said")
         rows = posted(held, self.block)
-        done = self.postings.replace_buckets(rows, touched, "home", base=base, mark=("chunks", now.number), dealt=True)
+        with setting(self.spark, "spark.sql.files.maxPartitionBytes", TASK_BYTES):
+            done = self.postings.replace_buckets(rows, touched, "home", base=base, mark=("chunks", now.number), dealt=True)
         self.number = done.version if self.number is not None else None
         return done
 

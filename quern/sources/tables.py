@@ -25,17 +25,21 @@ def work_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def released(spark: SparkSession):
-    """What is written inside leaves no shuffle files behind: they go when the write is over, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, key: str, value: str):
+    """The session's setting ``key`` while what is inside runs."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def released(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind: they go when the write is over, not when the driver happens to collect its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, name: str = "") -> DataFrame:
     """df as a table of its own: a short plan, and rows that outlive executors. name: what a trace calls the step."""
     spark = df.sparkSession
